@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_digests
 from .common import table
 from .mixing import mix_sources
 from .sharding import minimax_shards
+from .wavelet import new_folder, read_shards, write_shards
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +48,27 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "wavelet")
+    manifest = write_shards(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
+    return read_shards(manifest, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op6_sharding": op6_sharding,
+    "op7_bpe": op7_bpe,
+    "op8_wavelet": op8_wavelet,
 }
 
 ORACLES: dict[str, str] = {
