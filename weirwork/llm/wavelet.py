@@ -289,7 +289,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     if shards is None:
         scanned = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         shards = max(partitions(spark), min(-(-scanned // SHARD_BYTES), 1 << 20))
-    bounds = narrow.agg(F.percentile_approx("doc_id", [F.lit(i / shards) for i in range(1, shards)], F.lit(100 * shards)).alias("b")).first()["b"] if shards > 1 else None
+    bounds = narrow.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards).alias("b")).first()["b"] if shards > 1 else None
     bounds = sorted(set(bounds or []))
 
     keyed = narrow.withColumn("shard", _bucket("doc_id", bounds))
