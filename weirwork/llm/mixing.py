@@ -20,8 +20,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 CHUNK = 16.0
 TAIL = 80  # terms of the distribution of a part; what lies beyond is under 1e-30 for CHUNK
+FEW_SOURCES = 10_000  # rates of so many sources at most are broadcast; more are joined by shuffle
 OWN = ("copy_no", "n_copies", "mix_rate", "shuffle_key")
 
 
@@ -74,6 +77,9 @@ def mix_sources(
     """
     docs = docs.drop(*OWN)
     rates = source_rates(docs, weights, scale, id_col, source_col, text_col)
+    rates = cut(rates)
+    if rates.count() <= FEW_SOURCES:
+        rates = F.broadcast(rates)
     joined = docs.join(rates, docs[source_col].eqNullSafe(rates["__source"]))
     draw = lambda i: F.size(F.filter("__cdf", lambda c: c <= hashed_uniform(F.lit(seed), F.col(id_col), i)))
     one = F.when(F.col("__parts") == 1, F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
