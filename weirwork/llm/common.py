@@ -53,6 +53,18 @@ def strings(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+NO_ID = -(1 << 63)
+
+
+def ids_of(column: pa.Array) -> np.ndarray:
+    """Ids as int64; a null becomes NO_ID."""
+    return pc.fill_null(column, NO_ID).to_numpy(zero_copy_only=False)
+
+
+def ids_back(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, pa.int64(), mask=ids == NO_ID)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a large_string array and its len+1 offsets, both starting at 0."""
     _, offs, data = column.buffers()

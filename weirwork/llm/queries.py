@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .bpe import encode_digests
 from .common import table
 from .mixing import mix_sources
+from .ngram_join import jaccard_components
+from .quality import quality_rules
 from .sharding import minimax_shards
 from .wavelet import new_folder, read_shards, write_shards
 
@@ -64,13 +66,41 @@ def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(manifest, folder)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE lowered AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+worded AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM lowered),
+gram AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+3], ' ') END AS g
+  FROM worded, generate_series(1, greatest(len(w) - 3, 1)) s(i) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM gram x JOIN gram y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(s, t) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.s, both_ways.b FROM reach JOIN both_ways ON reach.t = both_ways.a)
+SELECT doc_id, coalesce(any_value(size.n), 0) AS n_shingles, min(t) AS component_id
+FROM reach JOIN documents ON s = doc_id LEFT JOIN size USING (doc_id) GROUP BY doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op4_quality": op4_quality,
     "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
     "op8_wavelet": op8_wavelet,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1_SQL,
+    "op10_ngram_join": OP10_SQL,
 }

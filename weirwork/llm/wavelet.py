@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import checkpoint_dir, cut, partitions, slices, strings
+from .common import checkpoint_dir, cut, ids_back, ids_of, partitions, slices, strings
 
 MAGIC = b"WWM1"
 BLOCK = 1 << 13  # bytes of a plane in a block
@@ -301,7 +301,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             shard = part.column("shard")[0].as_py()
             texts = strings(part.column("text")).to_pylist()
             got, counts = coder.encode(texts)
-            doc_ids.append(part.column("doc_id").to_numpy(zero_copy_only=False))
+            doc_ids.append(ids_of(part.column("doc_id")))
             lengths.append(counts + 1)
             ids.append(np.insert(got, np.cumsum(counts), np.uint32(end_id)))
         if shard is None:
@@ -349,7 +349,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 ends = np.cumsum(file.lengths)
                 starts = ends - file.lengths
                 crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids), pa.array(starts + base), pa.array(file.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([ids_back(file.doc_ids), pa.array(starts + base), pa.array(file.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed.repartition(files).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
