@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .quality import quality_rules
 from .sharding import minimax_shards
+from .toxicity import tag_toxicity, train
 from .wavelet import new_folder, read_shards, write_shards
 
 
@@ -66,6 +67,12 @@ def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(manifest, folder)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tagged = tag_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    return tagged.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -93,6 +100,7 @@ FROM reach JOIN documents ON s = doc_id LEFT JOIN size USING (doc_id) GROUP BY d
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_toxicity": op2_toxicity,
     "op4_quality": op4_quality,
     "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
