@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_digests
 from .common import table
+from .ego_join import near_duplicates
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .quality import quality_rules
@@ -73,6 +74,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op3_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE vec AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v,
+         coalesce(len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok
+  FROM embeddings),
+link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vec x JOIN vec y ON x.vec_id <> y.vec_id AND x.ok AND y.ok
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.95::DOUBLE),
+reach(s, t) AS (SELECT vec_id, vec_id FROM vec UNION SELECT reach.s, link.b FROM reach JOIN link ON reach.t = link.a),
+comp AS (SELECT s AS vec_id, min(t) AS component_id FROM reach GROUP BY s),
+deg AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM comp LEFT JOIN deg USING (vec_id)
+"""
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -101,6 +122,7 @@ FROM reach JOIN documents ON s = doc_id LEFT JOIN size USING (doc_id) GROUP BY d
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
+    "op3_ego_join": op3_ego_join,
     "op4_quality": op4_quality,
     "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
@@ -110,5 +132,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1_SQL,
+    "op3_ego_join": OP3_SQL,
     "op10_ngram_join": OP10_SQL,
 }
