@@ -15,6 +15,9 @@ from .ngram_join import jaccard_components
 from .quality import quality_rules
 from .sharding import minimax_shards
 from .toxicity import tag_toxicity, train
+from .transcripts import parse_transcripts, raw_transcripts
+from .transcripts import train as train_roles
+from .url_rules import judge_urls
 from .wavelet import new_folder, read_shards, write_shards
 
 
@@ -48,6 +51,15 @@ FROM counted, generate_series(0, n_copies - 1) s(j)
 """
 
 
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of urls: those of the document whose number is the last part of the path."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract("url", r"://[^?#]*/([0-9]{1,18})(?:[./][^/?#]*)?(?:[?#].*)?\z", 1)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("number"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    labelled = pages.select("url", number.alias("number")).join(labels, "number").select("url", "blocked")
+    return judge_urls(pages, labelled)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"))
 
@@ -119,14 +131,22 @@ FROM reach JOIN documents ON s = doc_id LEFT JOIN size USING (doc_id) GROUP BY d
 """
 
 
+def op9_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = raw_transcripts(table(spark, sf_dir, "conversations"))
+    turns = parse_transcripts(lines, train_roles(lines))
+    return turns.select("conv_id", "turn", "role", F.length("text").alias("n_chars"), F.md5(F.col("canonical").cast("binary")).alias("canonical_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_ego_join": op3_ego_join,
     "op4_quality": op4_quality,
+    "op5_url_rules": op5_url_rules,
     "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
     "op8_wavelet": op8_wavelet,
+    "op9_transcripts": op9_transcripts,
     "op10_ngram_join": op10_ngram_join,
 }
 
