@@ -305,3 +305,16 @@ def _remaining(open_: DataFrame, judged: DataFrame, fits, limit: float) -> DataF
     pairs = both.select(F.col("cls_1").alias("a"), F.col("cls_2").alias("b")).distinct()
     seen = judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(seen, ["a", "b"], "left_anti")
+
+
+def one_per_component(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of the smallest id of each component, with all its columns.
+
+    Rows that repeat an id with the same text are one document; rows without an id all stay.
+    """
+    found = jaccard_components(docs, n=n, percent=percent, id_col=id_col, text_col=text_col)
+    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(heads, id_col, "left_semi")
+    if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():
+        kept = kept.withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"]).drop("__text")
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -27,6 +27,8 @@ from .common import slices, strings, utf8
 
 MEMO_WORDS = 300_000
 DEFAULT = ""
+MIN_WORDS = 50
+MOST_REPEATED = 50  # percent of words in repeated windows
 BLOCK = 96  # tokens over which entropy is measured, so that it does not grow with the text
 #: Language: (least, most) characters per token, most byte-fallback share, least block entropy (bits).
 BANDS: dict[str, tuple[float, float, float, float]] = {
@@ -153,6 +155,19 @@ def base_counts(raw: np.ndarray, at: np.ndarray) -> tuple[dict[str, np.ndarray],
     return counts, (starts, ends, of, hashes)
 
 
+def judge(fertility: Fertility, text: pa.Array, lang: pa.Array, bands: Mapping[str, tuple[float, float, float, float]]) -> tuple[dict[str, np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Counts, measures, base verdict and verdict of a slice of texts."""
+    raw, at = utf8(strings(text))
+    counts, words = base_counts(raw, at)
+    tokens, byte_tokens, entropy = fertility.measure(raw, *words, len(text))
+    some = np.maximum(tokens, 1)
+    per, share = counts["word_chars"] / some, byte_tokens / some
+    low, high, most, least = np.array([bands.get(x or DEFAULT, bands[DEFAULT]) for x in lang.to_pylist()]).T
+    failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED * counts["n_words"])
+    kept = ~failed & (per >= low) & (per <= high) & (share <= most) & (entropy >= least)
+    return counts, [per, share, entropy], failed, kept
+
+
 def quality_rules(docs: DataFrame, vocabulary: str, bands: Mapping[str, tuple[float, float, float, float]] = BANDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The counts, the measures and the verdict of every row."""
     bands = dict(bands)
@@ -160,18 +175,23 @@ def quality_rules(docs: DataFrame, vocabulary: str, bands: Mapping[str, tuple[fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fertility = Fertility(vocabulary)
         for part in slices(batches, "text"):
-            raw, at = utf8(strings(part.column("text")))
-            counts, words = base_counts(raw, at)
-            tokens, byte_tokens, entropy = fertility.measure(raw, *words, part.num_rows)
-            some = np.maximum(tokens, 1)
-            per, share = counts["word_chars"] / some, byte_tokens / some
-            low, high, most, least = np.array([bands.get(x or DEFAULT, bands[DEFAULT]) for x in part.column("lang").to_pylist()]).T
-            failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
-            kept = ~failed & (per >= low) & (per <= high) & (share <= most) & (entropy >= least)
+            counts, measures, failed, kept = judge(fertility, part.column("text"), part.column("lang"), bands)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in counts.values()), pa.array(failed), pa.array(kept), pa.array(per), pa.array(share), pa.array(entropy)],
+                [part.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in counts.values()), pa.array(failed), pa.array(kept), *map(pa.array, measures)],
                 ["doc_id", *counts, "base_failed", "kept", "chars_per_token", "byte_share", "block_entropy"],
             )
 
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     return narrow.mapInArrow(run, OUT)
+
+
+def keep_quality(docs: DataFrame, vocabulary: str, bands: Mapping[str, tuple[float, float, float, float]] = BANDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that the rules keep, with all their columns."""
+    bands = dict(bands)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fertility = Fertility(vocabulary)
+        for part in slices(batches, text_col):
+            yield part.filter(pa.array(judge(fertility, part.column(text_col), part.column(lang_col), bands)[3]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -311,3 +311,14 @@ def tag_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", t
 
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return narrow.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<begin:long,end:long,marginal:double>>")
+
+
+def drop_toxic(docs: DataFrame, model: Model | None, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores under the limit, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            raw, at = utf8(strings(part.column(text_col)))
+            yield part.filter(pa.array(score_slice(model, raw, at)[0] < limit))
+
+    return docs.mapInArrow(run, docs.schema)
