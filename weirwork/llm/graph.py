@@ -1,4 +1,4 @@
-"""Connected components over edges of any number, by alternating star contractions."""
+"""Connected components over edges of any number, by hooking and contraction."""
 
 from __future__ import annotations
 
@@ -7,29 +7,47 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+JUMPS = 2
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
+
+def hooked(edges: DataFrame, jumps: int = JUMPS) -> DataFrame:
+    """node and label: each node follows its neighbour with the most edges, up to 2**jumps times.
+
+    Nodes of one label are connected. Ties go by a hash of the node, so chains are short.
+    """
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    degrees = both.groupBy("node").agg(F.count("*").alias("degree"))
+    mine = degrees.select("node", F.struct("degree", F.xxhash64("node").alias("h"), F.col("node").alias("v")).alias("me"))
+    theirs = mine.select(F.col("node").alias("other"), F.col("me").alias("they"))
+    best = both.join(theirs, "other").groupBy("node").agg(F.max("they").alias("they"))
+    labels = cut(best.join(mine, "node").select("node", F.greatest("they", "me")["v"].alias("label")))
+    for _ in range(jumps):
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = labels.join(up, "label").select("node", F.col("next").alias("label"))
+    return labels
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the least node of its component) for every node of an edge (columns a, b).
+    """node and root (a node of its component, the same for all) for every node of an edge (columns a, b).
 
-    Every round first ties each node's larger neighbours to its least one, then each node's smaller
-    neighbours; the number of edges never grows and the rounds grow with the log of the diameter.
-    Null ends and loops are ignored.
+    Every round lets each node follow its largest neighbours and draws the edges between the labels
+    that are left; the number of labels falls by a factor a round. Null ends and loops are ignored.
     """
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = _state(now)
-    while state[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        now, before = cut(small), state
-        state = _state(now)
-        if state == before:
+    now = cut(edges.filter("a <> b").select("a", "b").distinct())
+    place = None
+    while True:
+        if now.isEmpty():
             break
-    roots = now.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+        labels = cut(hooked(now))
+        la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        left = now.join(la, "a").join(lb, "b").filter("la <> lb")
+        now = cut(left.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+        if place is None:
+            place = labels.withColumnRenamed("label", "root")
+        else:
+            moved = labels.withColumnsRenamed({"node": "root", "label": "moved"})
+            place = cut(place.join(moved, "root", "left").select("node", F.coalesce("moved", "root").alias("root")))
+    if place is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    return place

@@ -11,8 +11,8 @@ unshared n-grams fill its prefix links with none and goes no further.
 2. They are gathered by class, put in global order, and classes with no hope are dropped.
 3. Candidates: within the bucket of each prefix n-gram every class meets one centre, and after
    each round only classes that are not yet connected meet others; at the end every pair of
-   unconnected classes that shares a bucket has been compared, unless the triangle inequality of
-   Jaccard distances to a common centre rules it out.
+   unconnected classes that shares a bucket has been compared, unless the places of what their
+   prefixes share rule it out.
 4. The global order is cut into fragments; the overlap of a candidate pair is counted in every
    fragment by itself and summed per pair. Links are judged by the exact counts.
 
@@ -36,14 +36,17 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .common import cut, ids_back, ids_of, partitions, slices, strings, utf8
-from .graph import components
+from .graph import components, hooked
 
 TOKEN_BITS = 52
 DF_CAP = (1 << (63 - TOKEN_BITS)) - 1
 FLUSH = 2_000_000
 TASK_BYTES = 12 << 20  # of the scanned input, for each range of n-grams
-FRAGMENTS = 8
-STAR_ROUNDS = 3
+FRAGMENTS = 4
+PARITY = 512
+BROADCAST_ROWS = 50_000  # pairs or class ids that are broadcast (under 2 MB); more are joined by shuffle
+STAR_ROUNDS = 2
+FEW_PAIRS = 100_000  # so many pairs of bucket members are compared at once, without a round of centres before
 U = np.uint64
 
 
@@ -109,6 +112,16 @@ def _rows(parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
+def parity_bits(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """PARITY bits (as longs) of each run of keys: the parity of the keys that fall on each bit.
+
+    Two sets differ in at least as many keys as their bits do.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    odd = np.bincount(owner * PARITY + (K.mix(keys.view(U)) % U(PARITY)).astype(np.int64), minlength=len(sizes) * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of documents (doc_id, cls, n_shingles) and of classes with hope (doc_id null, keys in global order, prefix)."""
     spark = docs.sparkSession
@@ -203,7 +216,7 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             return
         ids, cls, size = (np.concatenate([r[i] for r in rows]) for i in range(3))
         none = pa.nulls(len(ids), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([ids_back(ids.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(size.view(np.int64)), none, pa.nulls(len(ids), pa.int32())], names)
+        yield pa.RecordBatch.from_arrays([ids_back(ids.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(size.view(np.int64)), none, pa.nulls(len(ids), pa.int32()), none], names)
         known, first = np.unique(cls[size > 0], return_index=True)
         sizes = size[size > 0][first].astype(np.int64)
         owner, key = np.repeat(np.concatenate(heads), np.concatenate(runs)), np.concatenate(keys)
@@ -216,17 +229,23 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             these = np.flatnonzero((prefix > 0) & (shared > 0) & (np.arange(len(known)) // 2000 == k // 2000))
             if len(these):
                 take = [key[start[i] : start[i] + shared[i]].view(np.int64) for i in these.tolist()]
+                bits = parity_bits(np.concatenate(take), shared[these])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(shared[these])]).astype(np.int32)), pa.array(np.concatenate(take)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(these), pa.int64()), pa.array(known[these].view(np.int64)), pa.array(sizes[these]), lists, pa.array(np.minimum(prefix, shared)[these].astype(np.int32))], names
+                    [pa.nulls(len(these), pa.int64()), pa.array(known[these].view(np.int64)), pa.array(sizes[these]), lists, pa.array(np.minimum(prefix, shared)[these].astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(bits), PARITY // 64).cast(pa.list_(pa.int64()))], names
                 )
 
-    names = ["doc_id", "cls", "n_shingles", "keys", "prefix"]
+    names = ["doc_id", "cls", "n_shingles", "keys", "prefix", "bits"]
     blobs = "part int, kind int, blob binary"
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     ranged = narrow.mapInArrow(to_ranges, blobs).repartitionById(parts, F.col("part"))
     gathered = ranged.mapInArrow(count, blobs).repartitionById(parts, F.col("part"))
-    return gathered.mapInArrow(gather, "doc_id long, cls long, n_shingles long, keys array<long>, prefix int")
+    return gathered.mapInArrow(gather, "doc_id long, cls long, n_shingles long, keys array<long>, prefix int, bits array<long>")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Rows of two longs already cut, marked for broadcast only if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def overlaps(pairs: DataFrame, classes: DataFrame, pivots: list[int]) -> DataFrame:
@@ -236,11 +255,12 @@ def overlaps(pairs: DataFrame, classes: DataFrame, pivots: list[int]) -> DataFra
     def between(lo: int, hi: int):
         return F.filter("keys", lambda k: (k > F.lit(lo)) & (k <= F.lit(hi)))
 
-    cuts = [between(lo, hi) for lo, hi in zip(bounds, bounds[1:], strict=False)]
-    parts = classes.select("cls", "n_shingles", F.posexplode(F.array(*cuts)).alias("fragment", "part")).filter(F.size("part") > 0)
-    left = parts.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"), "fragment", F.col("part").alias("part_a"))
-    right = parts.select(F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"), "fragment", F.col("part").alias("part_b"))
-    each = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("part"))
+    cuts = F.array(*(between(lo, hi) for lo, hi in zip(bounds, bounds[1:], strict=False)))
+    pairs = _small(pairs)
+    ends = classes.join(_small(cut(pairs.select(F.col("b").alias("cls")).distinct())), "cls", "left_semi")
+    left = classes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"), F.posexplode(cuts).alias("fragment", "part_a"))
+    right = ends.select(F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"), F.posexplode(cuts).alias("fragment", "part_b"))
+    each = left.join(pairs, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("part"))
     return each.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("both"))
 
 
@@ -248,7 +268,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, fragments
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links of at least percent/100) of every row."""
     found = cut(shared_ngrams(docs, n, percent, id_col, text_col))
     rows = found.filter("keys IS NULL").select("doc_id", "cls", "n_shingles")
-    classes = found.filter("keys IS NOT NULL").select("cls", "n_shingles", "keys", "prefix")
+    classes = found.filter("keys IS NOT NULL").select("cls", "n_shingles", "keys", "prefix", "bits")
     roots = class_roots(classes, percent, fragments)
     placed = rows.join(roots, rows["cls"] == roots["node"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "cls")).alias("comp"))
     least = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
@@ -256,54 +276,79 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, fragments
 
 
 def class_roots(classes: DataFrame, percent: int, fragments: int) -> DataFrame:
-    """node (class) and root (least class of its component) for all linked classes."""
+    """node (class) and root (a class of its component, the same for all) for all linked classes."""
     spark = classes.sparkSession
     pivots = classes.select(F.explode("keys").alias("k")).agg(F.percentile_approx("k", [i / fragments for i in range(1, fragments)], 1000).alias("p")).first()["p"] or []
     pivots = sorted(set(pivots))
-    buckets = classes.select("cls", "n_shingles", F.explode(F.slice("keys", F.lit(1), F.col("prefix"))).alias("key"))
+    # how far a class is from sharing all it has, in powers of two: those near 0 are the cores of their groups
+    own = F.floor(F.log2(F.col("n_shingles") - F.size("keys") + 1)).cast("int").alias("own")
+    buckets = classes.select("cls", "n_shingles", own, F.size("keys").alias("shared"), F.posexplode(F.slice("keys", F.lit(1), F.col("prefix"))).alias("place", "key"))
+    # the first n-grams of a set, of which a set of at least its size must have one
+    early = F.col("place") <= F.col("shared") - F.ceil(2 * percent * F.col("n_shingles") / (100 + percent))
+    buckets = buckets.select("cls", "n_shingles", "own", "key", early.alias("early"))
     buckets = cut(buckets)
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    judged = None  # a, b (its centre), dist, linked
-    roots = None
-    limit = (100 - percent) / 100
+    judged = None  # a, b, linked
+    labels = None  # classes of one label are known to be connected
     for turn in range(STAR_ROUNDS + 1):
-        now = buckets if roots is None else buckets.join(roots, buckets["cls"] == roots["node"], "left").drop("node")
-        now = now.withColumn("comp", F.coalesce("root", "cls") if roots is not None else F.col("cls")).drop("root")
-        mixed = now.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key")
-        open_ = cut(now.join(mixed, "key", "left_semi"))
-        if open_.isEmpty():
+        now = buckets.withColumn("comp", F.col("cls")) if labels is None else buckets.join(labels, buckets["cls"] == labels["node"], "left").withColumn("comp", F.coalesce("label", "cls")).drop("node", "label")
+        # of each bucket with several components: its largest, and one member of that, another each turn
+        member = F.struct("own", F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"))
+        per = now.groupBy("key", "comp").agg(F.count("*").alias("members"), F.min(member).alias("m"))
+        mixed = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("members").alias("members"), F.max(F.struct("members", "m", "comp")).alias("x")).filter("comps > 1")
+        mixed = cut(mixed.select("key", "members", F.col("x.comp").alias("centre"), F.col("x.m.b").alias("b"), F.col("x.m.n_b").alias("n_b")))
+        size = mixed.agg(F.sum("members").alias("rows"), F.sum(F.col("members") * F.col("members")).alias("pairs")).first()
+        if not size["rows"]:
             break
-        if turn < STAR_ROUNDS:
-            # the largest component of each bucket, and one member of it, another each time
-            per = open_.groupBy("key", "comp").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"))).alias("m"))
-            centre = per.groupBy("key").agg(F.max(F.struct("members", "comp", "m")).alias("x")).select("key", F.col("x.comp").alias("centre_comp"), F.col("x.m.b").alias("b"), F.col("x.m.n_b").alias("n_b"))
-            met = open_.join(centre, "key").filter((F.col("comp") != F.col("centre_comp")) & fits("n_shingles", "n_b"))
+        last = turn == STAR_ROUNDS or size["pairs"] <= FEW_PAIRS + 4 * size["rows"]
+        open_ = now.join(mixed, "key")
+        if not last:
+            met = open_.filter((F.col("comp") != F.col("centre")) & fits("n_shingles", "n_b"))
             tries = met.groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("times"))
             if judged is not None:
                 tries = tries.join(judged.select("a", "b"), ["a", "b"], "left_anti")
             pairs = tries.groupBy("a").agg(F.max(F.struct("times", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
         else:
-            pairs = _remaining(open_, judged, fits, limit)
-        done = cut(overlaps(pairs, classes, pivots).withColumn("either", F.col("n_a") + F.col("n_b") - F.col("both")).select("a", "b", (1 - F.col("both") / F.col("either")).alias("dist"), (F.col("both") * 100 >= F.col("either") * percent).alias("linked")))
+            pairs = _remaining(open_.select("key", "cls", "n_shingles", "comp", "early"), classes, judged, percent)
+        either = F.col("n_a") + F.col("n_b") - F.col("both")
+        done = cut(overlaps(cut(pairs), classes, pivots).select("a", "b", (F.col("both") * 100 >= either * percent).alias("linked")))
         judged = done if judged is None else judged.unionByName(done)
-        roots = components(judged.filter("linked").select("a", "b"))
-    return roots if roots is not None else spark.createDataFrame([], "node long, root long")
+        if last:
+            break
+        labels = cut(hooked(judged.filter("linked")))
+    if judged is None:
+        return spark.createDataFrame([], "node long, root long")
+    return components(judged.filter("linked"))
 
 
-def _remaining(open_: DataFrame, judged: DataFrame, fits, limit: float) -> DataFrame:
-    """All pairs of unconnected classes that share a bucket and may still be linked."""
-    # each class's distance to the centres it has met; a centre is at distance 0 of itself
-    met = judged.select(F.col("a").alias("cls"), F.struct(F.col("b").alias("c"), "dist").alias("m")).unionByName(
-        judged.select(F.col("b").alias("cls"), F.struct(F.col("b").alias("c"), F.lit(0.0).alias("dist")).alias("m")).distinct()
-    )
-    near = met.groupBy("cls").agg(F.map_from_entries(F.collect_set("m")).alias("met"))
-    side = open_.join(near, "cls", "left").select("key", "cls", "n_shingles", "comp", F.coalesce("met", F.expr("cast(map() as map<bigint,double>)")).alias("met"))
-    one = side.select("key", *(F.col(c).alias(f"{c}_1") for c in ("cls", "n_shingles", "comp", "met")))
-    two = side.select("key", *(F.col(c).alias(f"{c}_2") for c in ("cls", "n_shingles", "comp", "met")))
-    apart = F.exists(F.map_keys("met_1"), lambda c: F.abs(F.element_at("met_1", c) - F.element_at("met_2", c)) > limit + 1e-9)
-    both = one.join(two, "key").filter((F.col("cls_1") < F.col("cls_2")) & (F.col("comp_1") != F.col("comp_2")) & fits("n_shingles_1", "n_shingles_2") & ~F.coalesce(apart, F.lit(False)))
-    pairs = both.select(F.col("cls_1").alias("a"), F.col("cls_2").alias("b")).distinct()
-    seen = judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _remaining(open_: DataFrame, classes: DataFrame, judged: DataFrame | None, percent: int) -> DataFrame:
+    """All pairs of unconnected classes that share a bucket and may still be linked.
+
+    The larger set of a pair is met in all of its prefix, the smaller one in its first n-grams
+    only. A pair is given in the bucket of its first common n-gram, and only if neither parity bits
+    of the sets nor the places of what both prefixes share rule it out.
+    """
+    prefixes = classes.select("cls", F.slice("keys", F.lit(1), F.col("prefix")).alias("head"), (F.col("n_shingles") - F.size("keys")).alias("own"), "bits")
+    side = open_.join(prefixes, "cls")
+    one = side.select("key", *(F.col(c).alias(f"{c}_1") for c in ("cls", "n_shingles", "comp", "head", "own", "bits")))
+    two = side.filter("early").select("key", *(F.col(c).alias(f"{c}_2") for c in ("cls", "n_shingles", "comp", "head", "own", "bits")))
+    ordered = F.struct("n_shingles_1", "cls_1") > F.struct("n_shingles_2", "cls_2")
+    common = F.array_intersect("head_1", "head_2")
+    least_last = F.least(F.element_at("head_1", -1), F.element_at("head_2", -1))
+    left = lambda k: F.col(f"n_shingles_{k}") - F.col(f"own_{k}") - F.size(F.filter(f"head_{k}", lambda x: x <= least_last))
+    most = F.size(common) + F.least(left(1), left(2))
+    enough = most * (100 + percent) >= (F.col("n_shingles_1") + F.col("n_shingles_2")) * percent
+    # what surely differs: the n-grams that nobody else has, and the shared ones by their parity bits
+    differ = F.col("own_1") + F.col("own_2")
+    for i in range(PARITY // 64):
+        differ = differ + F.bit_count(F.get("bits_1", F.lit(i)).bitwiseXOR(F.get("bits_2", F.lit(i))))
+    alike = differ * (100 + percent) <= (F.col("n_shingles_1") + F.col("n_shingles_2")) * (100 - percent)
+    fits = F.col("n_shingles_2") * 100 >= F.col("n_shingles_1") * percent
+    met = one.join(two, (one["key"] == two["key"]) & ordered & (F.col("comp_1") != F.col("comp_2")) & fits & alike & (F.array_min(common) == one["key"]) & enough)
+    pairs = met.select(F.col("cls_1").alias("a"), F.col("cls_2").alias("b"))
+    if judged is None:
+        return pairs
+    seen = judged.select("a", "b").unionByName(judged.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return pairs.join(seen, ["a", "b"], "left_anti")
 
 
