@@ -120,10 +120,10 @@ class Chain:
         emit = np.stack([np.ones(n), self.plain[1] * np.exp(np.minimum(weight, 50.0))], axis=1)
         emit = _normal(emit)
         gap = self.power(before)
-        # the first token of a text has no transition before it
-        start = np.ones((n, 2))
+        # the first token of a text follows as if after a plain one
+        start = np.tile(self.trans[0], (n, 1))
         long = begin & (before > 0)
-        start[long] = np.einsum("j,njk,kl->nl", self.plain, self.power(before[long] - 1), self.trans)
+        start[long] = np.einsum("j,njk,kl->nl", self.trans[0] * self.plain, self.power(before[long] - 1), self.trans)
         alpha, beta = np.zeros((n, 2)), np.ones((n, 2))
         tail = head + counts - 1
         beta[tail] = _normal(self.power(after[tail]).sum(axis=2))

@@ -63,7 +63,9 @@ def fit(conversations: Iterable[list[tuple[str, bool, str, bool]]]) -> Model:
     """From lines with known states: (role, begins, line, blank before)."""
     n = len(STATES)
     start, trans = np.ones(n), np.full((n, n), 0.1)
-    kind, shape = np.full((n, len(KINDS)), 0.1), np.full((n, N_LENGTH * 4), 0.5)
+    kind, shape = np.full((n, len(KINDS)), 0.01), np.full((n, N_LENGTH * 4), 0.5)  # a marker is rarely another role's
+    for s, (role, begins) in enumerate(STATES):
+        kind[s, KINDS.index(role) if begins else 0] += 1
     for lines in conversations:
         last = None
         for role, begins, line, blank in lines:
