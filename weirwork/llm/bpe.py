@@ -277,7 +277,7 @@ class WordCoder:
         inside = K.classes()[cp] > 0
         hashes = K.run_hashes(K.codepoint_table()[cp[inside]], lengths)
         unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        coded: list[Coded | None] = [self.memo.get(h) for h in unique.tolist()]
+        coded: list[Coded | None] = self.memo.get_all(unique.tolist())
         missing = [i for i, c in enumerate(coded) if c is None]
         if missing:
             begin, size = starts[first].tolist(), lengths[first].tolist()

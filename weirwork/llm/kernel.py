@@ -186,6 +186,14 @@ class Memo:
                 self.put(key, found)
         return found
 
+    def get_all(self, keys: list) -> list:
+        found = list(map(self.new.get, keys))
+        if self.old:
+            for i, value in enumerate(found):
+                if value is None:
+                    found[i] = self.get(keys[i])
+        return found
+
     def put(self, key, value) -> None:
         if len(self.new) >= self.limit:
             self.old, self.new = self.new, {}

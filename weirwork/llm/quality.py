@@ -64,7 +64,7 @@ class Fertility:
             return np.zeros(texts), np.zeros(texts), np.zeros(texts)
         unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         keys = unique.tolist()
-        coded = [self.memo.get(h) for h in keys]
+        coded = self.memo.get_all(keys)
         missing = [i for i, c in enumerate(coded) if c is None]
         if missing:
             data, begin, end = raw.tobytes(), starts[first].tolist(), ends[first].tolist()

@@ -35,7 +35,7 @@ from .common import checkpoint_dir, cut, ids_back, ids_of, partitions, slices, s
 MAGIC = b"WWM1"
 BLOCK = 1 << 13  # bytes of a plane in a block
 SHARD_BYTES = 16 << 20  # of the scanned input, for each shard
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -228,6 +228,28 @@ class PieceCoder:
         self.tokenizer.encode_special_tokens = True  # they are cut out before
         self.cut = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
         self.memo = K.Memo(MEMO_WORDS)
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = line[0] if len(line) == 1 else None
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. Pieces go to the library in lines of one text: a newline between them is a
+        piece of its own there, and no other piece has its id."""
+        out: list[bytes | None] = [None] * len(pieces)
+        inline = [i for i, p in enumerate(pieces) if not p.isspace()] if self.newline is not None else []
+        for k in range(0, len(inline), 20_000):
+            part = inline[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([pieces[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(ids == self.newline)
+            if len(stops) != len(part) - 1:
+                continue  # not as expected: piece by piece below
+            start = 0
+            for i, stop in zip(part, [*stops.tolist(), len(ids)], strict=True):
+                out[i] = ids[start:stop].tobytes()
+                start = stop + 1
+        rest = [i for i, c in enumerate(out) if c is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit) and how many each text has."""
@@ -247,13 +269,13 @@ class PieceCoder:
         starts, lengths = K.gpt_pieces(cp, at)
         unique, first, which = np.unique(K.run_hashes(K.codepoint_table()[cp], lengths), return_index=True, return_inverse=True)
         keys = unique.tolist()
-        coded = [self.memo.get(h) for h in keys]
+        coded = self.memo.get_all(keys)
         missing = [i for i, c in enumerate(coded) if c is None]
         if missing:
             begin, size = starts[first].tolist(), lengths[first].tolist()
-            fresh = self.tokenizer.encode_batch_fast([joined[begin[i] : begin[i] + size[i]] for i in missing], add_special_tokens=False)
-            for i, e in zip(missing, fresh, strict=True):
-                coded[i] = c = np.array(e.ids, np.uint32).tobytes()
+            fresh = self.encode_pieces([joined[begin[i] : begin[i] + size[i]] for i in missing])
+            for i, c in zip(missing, fresh, strict=True):
+                coded[i] = c
                 self.memo.put(keys[i], c)
         segment = K.owners(at, starts)
         if marked:
