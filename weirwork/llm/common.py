@@ -58,8 +58,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+UNKNOWN_BYTES = 1 << 52  # plans without statistics claim more than this
+
+
+def partitions(spark: SparkSession, scanned: DataFrame | None = None, each: int = 1) -> int:
+    """The session's number of shuffle partitions, or more if the scanned files have more than `each` bytes for one."""
+    least = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if scanned is None:
+        return least
+    size = int(str(scanned._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size > UNKNOWN_BYTES else max(least, -(-size // each))
 
 
 def text_or_empty(name: str = "text"):

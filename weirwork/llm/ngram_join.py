@@ -64,7 +64,7 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     while i < len(data):
         n, width, size = int.from_bytes(data[i : i + 8], "little"), data[i + 8], int.from_bytes(data[i + 9 : i + 17], "little")
         raw = np.frombuffer(expand.decompress(data[i + 17 : i + 17 + size]), np.uint8)
-        out.append(np.ascontiguousarray(raw.reshape(width, n).T).view(f"<u{width}").reshape(n))
+        out.append(np.array(raw.reshape(width, n).T, order="C").view(f"<u{width}").reshape(n))
         i += 17 + size
     return out
 
@@ -125,8 +125,7 @@ def parity_bits(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of documents (doc_id, cls, n_shingles) and of classes with hope (doc_id null, keys in global order, prefix)."""
     spark = docs.sparkSession
-    scanned = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(partitions(spark), min(-(-scanned // TASK_BYTES), 1 << 20))
+    parts = partitions(spark, docs, TASK_BYTES)
     width = -(-(1 << TOKEN_BITS) // parts)
 
     def flush(sets: list[tuple]) -> pa.RecordBatch:

@@ -309,8 +309,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     spark = docs.sparkSession
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     if shards is None:
-        scanned = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        shards = max(partitions(spark), min(-(-scanned // SHARD_BYTES), 1 << 20))
+        shards = partitions(spark, docs, SHARD_BYTES)
     bounds = narrow.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards).alias("b")).first()["b"] if shards > 1 else None
     bounds = sorted(set(bounds or []))
 
