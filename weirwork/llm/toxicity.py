@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import ids_back, ids_of, slices, strings, utf8
 
-TRAIN_DOCS = 6000
+TRAIN_DOCS = 4000
+CHUNK = 1 << 20
 PREFIXES = (3, 4, 5, 6)
 MIN_CONTEXTS = 4  # different words before a feature in toxic training documents (copies of one text have the same)
 MIN_LIFT = 12.0  # times as frequent in toxic documents as in others, smoothed
@@ -164,61 +165,88 @@ def summarise(of: np.ndarray, p: np.ndarray, texts: int) -> np.ndarray:
     return np.stack([top, np.log1p(total)], axis=1)
 
 
-def select_features(grid: np.ndarray, of: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Features that toxic documents have far more often than others."""
-    width = grid.shape[1]
-    key, doc = grid.reshape(-1), np.repeat(of, width)
-    some = key != 0
-    key, doc = key[some], doc[some]
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    key, doc = key[fresh], doc[fresh]
-    features, which = np.unique(key, return_inverse=True)
-    bad = np.bincount(which, weights=toxic[doc], minlength=len(features))
-    good = np.bincount(which, minlength=len(features)) - bad
-    contexts = np.bincount(np.searchsorted(features, _contexts(grid, of, toxic)), minlength=len(features))
+def _pairs(keys: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs with a key that is not 0, ascending by key."""
+    some = keys != 0
+    keys, others = keys[some], others[some]
+    order = np.lexsort((others, keys))
+    keys, others = keys[order], others[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (others[1:] != others[:-1])
+    return keys[fresh], others[fresh]
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First text, number of texts, text index and features of the tokens of consecutive texts of about CHUNK characters."""
+    start = 0
+    while start < len(texts):
+        stop, size = start, 0
+        while stop < len(texts) and size < CHUNK:
+            size += len(texts[stop])
+            stop += 1
+        raw, at = utf8(strings(pa.array(texts[start:stop], pa.large_string())))
+        _, _, of, grid = tokens(raw, at)
+        yield start, stop - start, of, grid
+        start = stop
+
+
+def select_features(texts: list[str], toxic: np.ndarray) -> np.ndarray:
+    """Features that toxic documents have far more often than others, after enough different words."""
+    keys, docs, befores = [np.zeros(0, U)], [np.zeros(0, np.int64)], ([np.zeros(0, U)], [np.zeros(0, U)])
+    bad_texts = [t for t, y in zip(texts, toxic.tolist(), strict=True) if y]
+    for start, _, of, grid in _chunks(bad_texts):
+        width = grid.shape[1]
+        k, d = _pairs(grid.reshape(-1), np.repeat(of, width))
+        keys.append(k)
+        docs.append(d + start)
+        before = np.concatenate([np.zeros(1, U), grid[:-1, 0]])
+        before[1:][of[1:] != of[:-1]] = 0
+        k, w = _pairs(grid.reshape(-1), np.repeat(before, width))
+        befores[0].append(k)
+        befores[1].append(w)
+    features, bad = np.unique(np.concatenate(keys), return_counts=True)
+    k, _ = _pairs(np.concatenate(befores[0]), np.concatenate(befores[1]))
+    contexts = np.bincount(np.searchsorted(features, k), minlength=len(features))
+    enough = contexts >= MIN_CONTEXTS
+    features, bad = features[enough], bad[enough]
+    if not len(features):
+        return features
+    good = np.zeros(len(features), np.int64)
+    for _, _, of, grid in _chunks([t for t, y in zip(texts, toxic.tolist(), strict=True) if not y]):
+        at = np.minimum(np.searchsorted(features, grid), len(features) - 1)
+        hit = features[at] == grid
+        k, _ = _pairs(at[hit].astype(U) + U(1), np.broadcast_to(of[:, None], grid.shape)[hit])
+        good += np.bincount((k - U(1)).astype(np.int64), minlength=len(features))
     lift = ((bad + 0.1) / (toxic.sum() + 0.2)) / ((good + 0.5) / ((~toxic).sum() + 1.0))
     # how unlikely so many toxic documents are by chance, against the number of features tried
-    chance = bad * np.log(np.maximum(bad, 1e-9) / (bad + good) / toxic.mean())
-    found = np.flatnonzero((contexts >= MIN_CONTEXTS) & (chance >= np.log(len(features) + 1) + CHANCE) & (lift >= MIN_LIFT))
+    chance = bad * np.log(bad / (bad + good) / toxic.mean())
+    found = np.flatnonzero((chance >= np.log(len(features) + 1) + CHANCE) & (lift >= MIN_LIFT))
     best = found[np.argsort(-bad[found], kind="stable")][:MAX_FEATURES]
     return np.sort(features[best])
 
 
-def _contexts(grid: np.ndarray, of: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Each feature once for every different word before it in toxic documents."""
-    before = np.concatenate([np.zeros(1, U), grid[:-1, 0]])
-    before[1:][of[1:] != of[:-1]] = 0
-    bad = toxic[of]
-    pairs = np.stack([grid[bad].reshape(-1), np.repeat(before[bad], grid.shape[1])])
-    pairs = pairs[:, pairs[0] != 0]
-    pairs = pairs[:, np.lexsort(pairs[::-1])]
-    fresh = np.ones(pairs.shape[1], bool)
-    fresh[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
-    return pairs[0, fresh]
-
-
 def fit(texts: list[str], toxic: np.ndarray) -> Model | None:
     """A model from whole texts and their labels; None without both kinds."""
     toxic = toxic.astype(bool)
     if not toxic.any() or toxic.all():
         return None
-    raw, at = utf8(strings(pa.array(texts, pa.large_string())))
-    _, _, of, grid = tokens(raw, at)
-    features = select_features(grid, of, toxic)
+    features = select_features(texts, toxic)
     trans = np.zeros((2, 2))
     model = Model(features, np.zeros(len(features)), -4.0, trans, (0.0, 1.0, 0.0))
-    active, _ = emissions(model, grid)
-    lengths = np.bincount(of, minlength=len(texts))
-    first = np.cumsum(lengths) - lengths
-    steps = active_steps(of, active)
-    where, place = of[steps], steps - first[of[steps]]
-    hits = np.searchsorted(features, grid[steps]) if len(features) else np.zeros((len(steps), 1), np.int64)
+    held: list[tuple[np.ndarray, ...]] = []
+    lengths = np.zeros(len(texts), np.int64)
+    for start, count, of, grid in _chunks(texts):
+        size = np.bincount(of, minlength=count)
+        lengths[start : start + count] = size
+        active, _ = emissions(model, grid)
+        steps = active_steps(of, active)
+        held.append((of[steps] + start, steps - (np.cumsum(size) - size)[of[steps]], active[steps], grid[steps]))
+    where, place, active, grid = (np.concatenate(x) for x in zip(*held, strict=True))
+    steps = np.arange(len(where))
+    hits = np.searchsorted(features, grid) if len(features) else np.zeros((len(steps), 1), np.int64)
     hits = np.minimum(hits, max(len(features) - 1, 0))
-    real = features[hits] == grid[steps] if len(features) else np.zeros(hits.shape, bool)
-    label = (active[steps] & toxic[where]).astype(float)
+    real = features[hits] == grid if len(features) else np.zeros(hits.shape, bool)
+    label = (active & toxic[where]).astype(float)
     plain_tokens = lengths.sum() - len(steps)
     # neighbours in the text, for the transition counts
     next_to = np.flatnonzero((where[1:] == where[:-1]) & (place[1:] == place[:-1] + 1)) if len(steps) > 1 else np.zeros(0, np.int64)
@@ -256,8 +284,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, id_col: s
     """Fit on at most `limit` labelled documents that are not held out."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), "toxic")
     chosen = known.groupBy("__id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id"), "__id").limit(limit)
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id").orderBy("__id").collect()
-    return fit([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows])) if rows else None
+    found = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
+    rows = found.select("__id", "text", (F.col("toxic") == 1).alias("toxic")).toArrow().sort_by("__id")
+    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy()) if rows.num_rows else None
 
 
 def score_slice(model: Model | None, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
