@@ -177,35 +177,44 @@ def _blocks(classes: DataFrame, width: int, basis: np.ndarray, epsilon: float) -
                 lead = _unit(_matrix(b.column("vector"), width)) @ basis
                 yield b.append_column("grid", pa.array(grid_key(lead, epsilon)))
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, held, count, serial = TaskContext.get().partitionId(), [], 0, 0
-
-        def emit(rows: pa.Table, serial: int) -> pa.RecordBatch:
-            x = _matrix(rows.column("vector"), width)
-            lead = _unit(x) @ basis
-            box = [*lead.min(axis=0), *lead.max(axis=0)]
-            cells = [part, serial, *box, rows.column("cls").to_numpy().tobytes(), rows.column("copies").to_numpy().tobytes(), x.tobytes()]
-            kinds = [pa.int32(), pa.int32(), *[pa.float64()] * len(box), *[pa.binary()] * 3]
-            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], ["part", "serial", *BOX, "ids", "copies", "vectors"])
-
+        part, n = TaskContext.get().partitionId(), 0
         for b in batches:
-            held.append(b.select(["cls", "copies", "vector"]))
-            count += b.num_rows
-            while count >= BLOCK:
-                rows = pa.Table.from_batches(held).combine_chunks()
-                yield emit(rows.slice(0, BLOCK), serial)
-                held, count, serial = rows.slice(BLOCK).to_batches(), count - BLOCK, serial + 1
-        if count:
-            yield emit(pa.Table.from_batches(held), serial)
+            yield b.drop_columns(["grid"]).append_column("part", pa.array(np.full(b.num_rows, part, np.int32))).append_column("place", pa.array(np.arange(n, n + b.num_rows)))
+            n += b.num_rows
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            blocks = rows.column("block").to_numpy()
+            for block in np.unique(blocks).tolist():
+                part = rows.filter(pa.array(blocks == block)).combine_chunks()
+                x = _matrix(part.column("vector"), width)
+                lead = _unit(x) @ basis
+                box = [*lead.min(axis=0), *lead.max(axis=0)]
+                cells = [block, *box, part.column("cls").to_numpy().tobytes(), part.column("copies").to_numpy().tobytes(), x.tobytes()]
+                kinds = [pa.int64(), *[pa.float64()] * len(box), *[pa.binary()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], ["block", *BOX, "ids", "copies", "vectors"])
+
+        for b in batches:  # a block a partition
+            held.append(b)
+        if held:
+            yield from emit()
 
     n = classes.count()
-    parts = max(1, n // (2 * BLOCK))
     kind = "cls long, copies long, vector array<float>"
-    order = classes.select("cls", "copies", "vector").mapInArrow(keyed, f"{kind}, grid long").repartitionByRange(parts, "grid", "cls").sortWithinPartitions("grid", "cls")
-    blocks = cut(order.mapInArrow(packed, f"part int, serial int, {', '.join(f'{c} double' for c in BOX)}, ids binary, copies binary, vectors binary"))
-    return cut(blocks.select("part", "serial").withColumn("block", F.row_number().over(Window.orderBy("part", "serial")) - 1)).join(blocks, ["part", "serial"]).drop("part", "serial")
+    order = classes.select("cls", "copies", "vector").mapInArrow(keyed, f"{kind}, grid long").repartitionByRange(max(1, n // (2 * BLOCK)), "grid", "cls").sortWithinPartitions("grid", "cls")
+    places = cut(order.mapInArrow(numbered, f"{kind}, part int, place long"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = places.groupBy("part").agg(F.count("*").alias("rows")).select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+    # blocks are equal intervals of the whole sequence, however many partitions it was sorted in
+    block = F.floor((F.col("offset") + F.col("place")) / F.lit(BLOCK)).cast("long")
+    spread = places.join(offsets, "part").select("cls", "copies", "vector", block.alias("block")).repartitionById(-(-n // BLOCK), F.col("block").cast("int"))
+    return spread.mapInArrow(packed, f"block long, {', '.join(f'{c} double' for c in BOX)}, ids binary, copies binary, vectors binary")
 
 
 def _near_pairs(blocks: DataFrame, epsilon2: float) -> DataFrame:
@@ -235,7 +244,7 @@ def _links(classes: DataFrame, width: int, cosine: float) -> DataFrame:
     epsilon = float(np.sqrt(2 - 2 * cosine))
     sample = classes.orderBy("cls").limit(SAMPLE).select("vector").toArrow()
     basis = principal(_matrix(sample.column("vector"), width), width)
-    blocks = cut(_blocks(classes, width, basis, epsilon).select("block", *BOX, "ids", "copies", "vectors"))
+    blocks = cut(_blocks(classes, width, basis, epsilon))
     pairs = _near_pairs(blocks, epsilon**2 + 1e-9)
     todo = pairs.count()
 
