@@ -93,6 +93,8 @@ def even_cuts(sizes: list[int], shards: int, capacity: int) -> list[int]:
         if k > at and k <= n and goal - prefix[k - 1] < prefix[min(k, n)] - goal:
             k -= 1
         last = bisect.bisect_right(prefix, prefix[at] + capacity) - 1
+        # no shard is left empty while there are groups for all
+        k = min(max(k, at + 1), max(n - left + 1, at))
         k = max(min(k, last, n), earliest[left - 1], at)
         cuts.append(k)
         at = k
