@@ -263,18 +263,18 @@ def overlaps(pairs: DataFrame, classes: DataFrame, pivots: list[int]) -> DataFra
     return each.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("both"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, fragments: int = FRAGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, fragments: int = FRAGMENTS, rounds: int = STAR_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links of at least percent/100) of every row."""
     found = cut(shared_ngrams(docs, n, percent, id_col, text_col))
     rows = found.filter("keys IS NULL").select("doc_id", "cls", "n_shingles")
     classes = found.filter("keys IS NOT NULL").select("cls", "n_shingles", "keys", "prefix", "bits")
-    roots = class_roots(classes, percent, fragments)
+    roots = class_roots(classes, percent, fragments, rounds)
     placed = rows.join(roots, rows["cls"] == roots["node"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "cls")).alias("comp"))
     least = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def class_roots(classes: DataFrame, percent: int, fragments: int) -> DataFrame:
+def class_roots(classes: DataFrame, percent: int, fragments: int, rounds: int) -> DataFrame:
     """node (class) and root (a class of its component, the same for all) for all linked classes."""
     spark = classes.sparkSession
     pivots = classes.select(F.explode("keys").alias("k")).agg(F.percentile_approx("k", [i / fragments for i in range(1, fragments)], 1000).alias("p")).first()["p"] or []
@@ -289,7 +289,7 @@ def class_roots(classes: DataFrame, percent: int, fragments: int) -> DataFrame:
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     judged = None  # a, b, linked
     labels = None  # classes of one label are known to be connected
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(rounds + 1):
         now = buckets.withColumn("comp", F.col("cls")) if labels is None else buckets.join(labels, buckets["cls"] == labels["node"], "left").withColumn("comp", F.coalesce("label", "cls")).drop("node", "label")
         # of each bucket with several components: its largest, and one member of that, another each turn
         member = F.struct("own", F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"))
@@ -299,7 +299,7 @@ def class_roots(classes: DataFrame, percent: int, fragments: int) -> DataFrame:
         size = mixed.agg(F.sum("members").alias("rows"), F.sum(F.col("members") * F.col("members")).alias("pairs")).first()
         if not size["rows"]:
             break
-        last = turn == STAR_ROUNDS or size["pairs"] <= FEW_PAIRS + 4 * size["rows"]
+        last = turn == rounds or size["pairs"] <= FEW_PAIRS + 4 * size["rows"]
         open_ = now.join(mixed, "key")
         if not last:
             met = open_.filter((F.col("comp") != F.col("centre")) & fits("n_shingles", "n_b"))
@@ -351,12 +351,12 @@ def _remaining(open_: DataFrame, classes: DataFrame, judged: DataFrame | None, p
     return pairs.join(seen, ["a", "b"], "left_anti")
 
 
-def one_per_component(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_per_component(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of the smallest id of each component, with all its columns.
 
     Rows that repeat an id with the same text are one document; rows without an id all stay.
     """
-    found = jaccard_components(docs, n=n, percent=percent, id_col=id_col, text_col=text_col)
+    found = jaccard_components(docs, n=n, percent=percent, rounds=rounds, id_col=id_col, text_col=text_col)
     heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     kept = docs.join(heads, id_col, "left_semi")
     if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():
