@@ -1,15 +1,20 @@
+import collections
 import json
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weirwork.operators import compare as C
 from weirwork.operators import search as S
+from weirwork.plans import queries as Q
 from weirwork.sources.files import read_bytes, read_manifests, read_yaml
 from weirwork.sources.outlines import outline_markdown, read_outlines
 from weirwork.sources.registry import lookup_latest
 from weirwork.streaming.incremental import clear, compact, index_stream, read_index
 
+from .conftest import SMALL
+
 
 def test_bm25_and_top(spark):
     docs = spark.createDataFrame([(1, "cat dog"), (2, "cat cat bird fish"), (3, None), (4, "dog"), (5, "dog")], "doc_id long, text string")
@@ -29,6 +34,30 @@ def test_hybrid_and_nearest(spark):
     assert [r["vec_id"] for r in rows] == [2, 4]
 
 
+def test_nearest_in_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 16)
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(300, 8)).astype(np.float32)
+    x[200:230] = x[7]  # ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (320, [0.0] * 8), (340, [1.0]), (None, [1.0] * 8)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = {q: sorted((i for i in range(300) if i != q), key=lambda i: (-round(unit[q] @ unit[i], 6), i))[:4] for q in range(0, 300, 20)}
+    want |= {q: [0, 1, 2, 3] for q in (300, 320, 340)}  # no scores: by id
+    got = collections.defaultdict(list)
+    for r in S.nearest(vectors.filter("vec_id % 20 = 0"), vectors, 4).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+        assert (r["score"] is None) == (r["query_id"] >= 300)
+    assert got == want
+
+
+def test_queries_are_not_broadcast(spark):
+    plan = Q.QUERIES["search_nearest_twentieth"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    found = Q.QUERIES["search_nearest_twentieth"](spark, SMALL).select("query_id").distinct().count()
+    assert found == spark.read.parquet(f"{SMALL}/embeddings.parquet").filter("vec_id % 20 = 0").count() == 25
+
+
 def test_sections_and_snippets(spark):
     docs = spark.createDataFrame([(1, "a\n\n b\n"), (2, None)], "doc_id long, text string")
     assert [tuple(r) for r in S.sections(docs).collect()] == [(1, 0, "a"), (1, 2, " b")]

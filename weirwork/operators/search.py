@@ -6,12 +6,19 @@ before ranking and ties go to the smaller id.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 K1, B, DIGITS = 1.2, 0.75, 6
+BLOCK = 4096  # vectors of a block
+LANE_BLOCKS = 8  # blocks of vectors that a task compares with one block of queries
+SLICE = 256  # queries compared at once
 
 
 def tokens(text: Column) -> Column:
@@ -60,14 +67,98 @@ def cosine(a: Column, b: Column) -> Column:
     return total(a, b) / (F.sqrt(total(a, a)) * F.sqrt(total(b, b)))
 
 
+def _packed(rows: DataFrame, lanes: int, name: str, dtype: str) -> DataFrame:
+    """Rows (id, vector) dealt evenly over `lanes` partitions, as blocks: vectors of one width side by side."""
+    most = BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        lane, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            widths = pc.fill_null(pc.list_value_length(b.column("vector")), 0).to_numpy(zero_copy_only=False)
+            for width in np.unique(widths).tolist():
+                mine = np.flatnonzero(widths == width)
+                for at in range(0, len(mine), most):
+                    part = b.take(pa.array(mine[at : at + most]))
+                    x = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(dtype)  # a null component is nan
+                    cells = [lane, (lane << 32) + n, width, part.column("id").to_numpy().tobytes(), x.tobytes()]
+                    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], [f"{name}_{c}" for c in ("lane", "block", "width", "ids", "data")])
+                    n += 1
+
+    schema = ", ".join(f"{name}_{c}" for c in ("lane int", "block long", "width int", "ids binary", "data binary"))
+    # dealt once more by lane, so that blocks are read from shuffle files instead of packed again for each pair
+    return rows.repartition(lanes).mapInArrow(run, schema).repartitionById(lanes, F.col(f"{name}_lane"))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, vec_id, score and rank of the k vectors nearest to each query by cosine, exactly.
 
-    queries is a stated, small set; each vector meets all of them and only k rows a query and task
-    go on.
+    Queries and vectors are both cut into blocks; a task compares a block of queries with some
+    blocks of vectors and gives only its k best rows a query, which are merged by query.
+
+    Defined cases: a row without an id is neither query nor neighbour, and no row is its own
+    neighbour. Null and zero vectors, vectors with null or non-finite components and pairs of
+    different length have a null score and come last.
     """
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("query"))
-    scored = vectors.join(F.broadcast(q)).filter(F.col(id_col) != F.col("query_id")).select("query_id", F.col(id_col).alias("vec_id"), F.round(cosine(F.col(vector_col), F.col("query")), DIGITS).alias("score"))
+    single = all(d.schema[vector_col].dataType.elementType == FloatType() for d in (queries, vectors))
+    dtype, kind = ("float32", "array<float>") if single else ("float64", "array<double>")
+    rows = lambda d: d.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector"))
+    q, v = rows(queries), rows(vectors)
+    least = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes_q, lanes_v = max(1, -(-q.count() // BLOCK)), max(least, -(-v.count() // (BLOCK * LANE_BLOCKS)))
+    unit, none, gone, steps = 10**DIGITS, -2 * 10**DIGITS, -3 * 10**DIGITS, SLICE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(row: dict, c: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Ids, unit vectors and whether a vector has a direction, in the order of ids."""
+            ids = np.frombuffer(row[f"{c}_ids"], np.int64)
+            order = np.argsort(ids, kind="stable")
+            x = np.frombuffer(row[f"{c}_data"], dtype).reshape(len(ids), row[f"{c}_width"])[order].astype(np.float64)
+            ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            x[~ok] = 0
+            x /= np.where(ok, np.abs(x).max(axis=1, initial=0), 1)[:, None]  # so that squares neither overflow nor vanish
+            return ids[order], x / np.where(ok, np.sqrt(np.einsum("ij,ij->i", x, x)), 1)[:, None], ok
+
+        def best(ids_q: np.ndarray, found: list[tuple]) -> pa.RecordBatch:
+            at, ids, points = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((ids, -points, at))
+            at, ids, points = at[order], ids[order], points[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            keep = (place < k) & (points > gone)
+            at, ids, points = at[keep], ids[keep], points[keep]
+            return pa.RecordBatch.from_arrays([pa.array(ids_q[at]), pa.array(ids), pa.array(points / unit, mask=points == none)], ["query_id", "vec_id", "score"])
+
+        block, found = None, []
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {name: b.column(name)[i].as_py() for name in b.schema.names}
+                if row["q_block"] != block:
+                    if found:
+                        yield best(ids_q, found)
+                    block, found = row["q_block"], []
+                    ids_q, x_q, ok_q = side(row, "q")
+                ids_v, x_v, ok_v = side(row, "v")
+                n = len(ids_v)
+                take = min(k, n)
+                for at in range(0, len(ids_q), steps):
+                    s = slice(at, at + steps)
+                    if row["q_width"] == row["v_width"]:
+                        dots = x_q[s] @ x_v.T
+                        points = np.copysign(np.floor(np.abs(dots) * unit + 0.5), dots).astype(np.int64)
+                        points[~(ok_q[s, None] & ok_v)] = none
+                    else:
+                        points = np.full((len(ids_q[s]), n), none, np.int64)
+                    points[ids_q[s, None] == ids_v] = gone
+                    key = points * n + np.arange(n - 1, -1, -1)  # no two alike: ties go to the smaller id
+                    top_ = np.argpartition(key, n - take, axis=1)[:, n - take :]
+                    found.append((np.repeat(np.arange(at, at + len(points)), take), ids_v[top_].ravel(), np.take_along_axis(points, top_, axis=1).ravel()))
+        if found:
+            yield best(ids_q, found)
+
+    pairs = _packed(q, lanes_q, "q", dtype).hint("shuffle_replicate_nl").crossJoin(_packed(v, lanes_v, "v", dtype))
+    scored = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -330,6 +330,16 @@ def search_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.nearest(vectors.filter(F.col("vec_id") < QUERY_VECTORS), vectors, 3)
 
 
+@query("""
+WITH vec AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+scored AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM vec q, vec d WHERE q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored QUALIFY rank <= 3""")
+def search_nearest_twentieth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest vectors of every vector whose id is divisible by 20, against all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return S.nearest(vectors.filter(F.col("vec_id") % 20 == 0), vectors, 3)
+
+
 @query(f"""
 WITH {BM25}, vec AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 semantic AS (SELECT d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS sem FROM vec q, vec d WHERE q.vec_id = 0),
