@@ -172,6 +172,17 @@ def test_mined_rules_against_counting(spark):
     assert np.isclose(rules[0]["support"], sum(hit) / len(rows))
 
 
+def test_rules_hold_where_most_urls_are_blocked(spark):
+    rows = [(["host:spam", f"path:{i % 2}"], True) for i in range(80)] + [(["host:good", f"path:{i % 2}"], False) for i in range(20)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    rules = {tuple(r["tokens"]): r for r in url_rules.mine_rules(labelled).collect()}
+    assert np.isclose(rules["host:spam",]["confidence"], 1)
+    assert np.isclose(rules["host:spam",]["lift"], 1.25)
+    assert all("host:good" not in t for t in rules)
+    every = url_rules.mine_rules(labelled.filter("blocked")).collect()
+    assert ["host:spam"] in [r["tokens"] for r in every]
+
+
 def test_transcripts_recover_roles(spark):
     rnd = random.Random(6)
     rows = []

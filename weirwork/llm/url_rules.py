@@ -2,8 +2,9 @@
 
 A listed rule is a host suffix and a path prefix with a verdict; the longest that fits wins. Urls
 without one are judged by association rules: FP-growth mines combinations of URL tokens from
-labelled urls, rules 'tokens => block' are pruned by support, confidence, lift and redundancy, and
-an inverted index of each rule's rarest token finds the rules whose tokens a url all has.
+labelled urls, rules 'tokens => block' are pruned by support, confidence and redundancy (their lift is
+given, but decides nothing), and an inverted index of each rule's rarest token finds the rules
+whose tokens a url all has.
 
 Defined cases: a null url, or one without '://', has an empty host and path, fits no listed rule
 and is allowed. Null labels are no labels. Ties between listed rules of one length go to the
@@ -27,7 +28,6 @@ BLOCKED = "=block"
 MIN_ROWS = 20  # labelled urls that a rule must hold for, at least
 MIN_SUPPORT = 0.002  # and as a share of the labelled urls
 MIN_CONFIDENCE = 0.8
-MIN_LIFT = 1.5
 MOST_TOKENS = 4  # tokens of a rule
 
 
@@ -61,7 +61,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, last, parts, keys))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """tokens, confidence, support and lift of the rules for blocking. labelled: tokens, blocked (boolean)."""
     labelled = cut(labelled.filter("blocked IS NOT NULL").select("tokens", "blocked"))
     spark = labelled.sparkSession
@@ -72,7 +72,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows:
         return none
     items = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=least / counts["n"], minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.size("antecedent") <= MOST_TOKENS) & (F.col("lift") >= min_lift))
+    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.size("antecedent") <= MOST_TOKENS))
     rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift"))
     # a rule is redundant if part of its tokens already blocks with as much confidence
     part = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"), F.element_at("tokens", 1).alias("first"))
