@@ -183,6 +183,13 @@ def test_rules_hold_where_most_urls_are_blocked(spark):
     assert ["host:spam"] in [r["tokens"] for r in every]
 
 
+def test_a_rule_may_need_five_tokens(spark):
+    all_five = [f"path:{c}" for c in "abcde"]
+    rows = [(all_five, True)] * 60 + [([t for t in all_five if t != gone], False) for gone in all_five for _ in range(60)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    assert [(r["tokens"], r["confidence"]) for r in url_rules.mine_rules(labelled).collect()] == [(all_five, 1.0)]
+
+
 def test_transcripts_recover_roles(spark):
     rnd = random.Random(6)
     rows = []

@@ -28,7 +28,6 @@ BLOCKED = "=block"
 MIN_ROWS = 20  # labelled urls that a rule must hold for, at least
 MIN_SUPPORT = 0.002  # and as a share of the labelled urls
 MIN_CONFIDENCE = 0.8
-MOST_TOKENS = 4  # tokens of a rule
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -72,7 +71,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows:
         return none
     items = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=least / counts["n"], minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.size("antecedent") <= MOST_TOKENS))
+    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED))
     rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift"))
     # a rule is redundant if part of its tokens already blocks with as much confidence
     part = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"), F.element_at("tokens", 1).alias("first"))
