@@ -223,6 +223,13 @@ def test_transcript_defined_cases(spark):
     assert transcripts.parse_transcripts(lines.limit(0), model).count() == 0
 
 
+def test_transcripts_keep_blank_lines(spark):
+    model = transcripts.fit([[("user", True, "User: hi", False), ("assistant", True, "Assistant: hello there", False), ("assistant", False, "more", True)]] * 20)
+    text = [None, "User: x", "", "", "Assistant: y", "", None, " ", "z", "", "z", ""]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "conv_id long, line_no int, line string")
+    assert [(r["role"], r["text"]) for r in transcripts.parse_transcripts(lines, model).orderBy("turn").collect()] == [("user", "x"), ("assistant", "y\n\n\n\nz\n\nz")]
+
+
 def test_viterbi_equals_all_paths():
     import itertools
 

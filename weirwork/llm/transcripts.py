@@ -10,7 +10,8 @@ rendered in one fixed form.
 Rows of a transcript are streamed in order; decoding passes lines on as soon as all surviving
 paths agree on them, so what is held does not grow with the transcript where markers occur.
 
-Defined cases: null and empty lines count as blank lines. A null conversation id is a
+Defined cases: null lines, empty ones and those of white space only count as blank lines; each
+stays an empty line within a turn, and those at the ends of a turn go. A null conversation id is a
 conversation of its own. Ties between paths go to the earlier state in STATES. Repeated rows are
 lines of their own, in any order among themselves. An empty table gives no rows. Extra columns
 are ignored.
@@ -161,7 +162,7 @@ def parse_transcripts(lines: DataFrame, model: Model, id_col: str = "conv_id", o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        decoder, now, blank, turn, open_turn = Decoder(model), (), False, 0, None
+        decoder, now, blanks, turn, open_turn = Decoder(model), (), 0, 0, None
 
         def take(settled: list, last: bool) -> None:
             nonlocal open_turn, turn
@@ -182,13 +183,13 @@ def parse_transcripts(lines: DataFrame, model: Model, id_col: str = "conv_id", o
                 if now != (conv,):
                     if now:
                         take(decoder.finish(), True)
-                    now, blank, turn, open_turn = (conv,), False, 0, None
+                    now, blanks, turn, open_turn = (conv,), 0, 0, None
                 if not line or not line.strip():
-                    blank = True
+                    blanks += 1
                     continue
-                kind, shape, rest = observe(line, blank)
-                settled = decoder.push(kind, shape, ("\n" if blank and kind == 0 else "") + rest)
-                blank = False
+                kind, shape, rest = observe(line, blanks > 0)
+                settled = decoder.push(kind, shape, "\n" * blanks + rest)  # where a turn begins they are stripped
+                blanks = 0
                 if settled:
                     take(settled, False)
             yield batch()
