@@ -135,6 +135,13 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
     assert {r["vec_id"] - 10: (r["n_links"], r["component_id"] - 10, r["kept"]) for r in found} == {i: (int(near[i].sum()), of[i], of[i] == i) for i in range(len(x))}
 
 
+def test_doubles_stay_doubles(spark):
+    at = lambda c: [c, (1 - c * c) ** 0.5]
+    rows = [(1, [1.0, 0.0]), (2, at(0.95 + 1e-9)), (3, at(0.95 - 1e-9)), (4, [0.0, -1e300]), (5, [0.0, -2e300])]
+    found = ego_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == {1: (1, 1), 2: (2, 1), 3: (1, 1), 4: (1, 4), 5: (1, 4)}
+
+
 def test_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (7, [1.0, 0.0]), (None, [3.0, 0.0]), (11, [1e-30, 0.0])]

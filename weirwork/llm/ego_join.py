@@ -12,6 +12,8 @@ Equal vectors are one class with a number of copies. A pair of blocks gives each
 links and the edges of a spanning forest of its links, so a dense group costs rows in proportion
 to its size, not to its square.
 
+Vectors of floats are kept and packed as floats, all others as doubles.
+
 The principal dimensions come from at most SAMPLE classes; they steer the order only, any basis
 gives the same links.
 
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import cut
 from .graph import components
@@ -45,7 +48,7 @@ BOX = [f"{side}_{i}" for side in ("lo", "hi") for i in range(LEAD)]
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(column), width)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -206,7 +209,7 @@ def _blocks(classes: DataFrame, width: int, basis: np.ndarray, epsilon: float) -
             yield from emit()
 
     n = classes.count()
-    kind = "cls long, copies long, vector array<float>"
+    kind = f"cls long, copies long, vector {classes.schema['vector'].dataType.simpleString()}"
     order = classes.select("cls", "copies", "vector").mapInArrow(keyed, f"{kind}, grid long").repartitionByRange(max(1, n // (2 * BLOCK)), "grid", "cls").sortWithinPartitions("grid", "cls")
     places = cut(order.mapInArrow(numbered, f"{kind}, part int, place long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
@@ -247,10 +250,11 @@ def _links(classes: DataFrame, width: int, cosine: float) -> DataFrame:
     blocks = cut(_blocks(classes, width, basis, epsilon))
     pairs = _near_pairs(blocks, epsilon**2 + 1e-9)
     todo = pairs.count()
+    dtype = np.float32 if classes.schema["vector"].dataType.elementType == FloatType() else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(row: dict, k: int) -> tuple[Side, np.ndarray]:
-            x = np.frombuffer(row[f"vectors_{k}"], np.float32).reshape(-1, width)
+            x = np.frombuffer(row[f"vectors_{k}"], dtype).reshape(-1, width)
             return Side.of(x, np.frombuffer(row[f"copies_{k}"], np.int64), basis), np.frombuffer(row[f"ids_{k}"], np.int64)
 
         for b in batches:
@@ -276,7 +280,8 @@ def _links(classes: DataFrame, width: int, cosine: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id (smallest vec_id reachable by links) and kept of every row."""
-    vector = F.col(vector_col).cast("array<float>")
+    single = vectors.schema[vector_col].dataType.elementType == FloatType()
+    vector = F.col(vector_col).cast("array<float>" if single else "array<double>")
     usable = F.coalesce(
         F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0), F.lit(False)
     )
