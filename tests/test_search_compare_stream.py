@@ -11,7 +11,7 @@ from weirwork.plans import queries as Q
 from weirwork.sources.files import read_bytes, read_manifests, read_yaml
 from weirwork.sources.outlines import outline_markdown, read_outlines
 from weirwork.sources.registry import lookup_latest
-from weirwork.streaming.incremental import clear, compact, index_stream, read_index
+from weirwork.streaming.incremental import clear, compact, export, index_stats, index_stream, read_index, upsert
 
 from .conftest import SMALL
 
@@ -65,6 +65,25 @@ def test_sections_and_snippets(spark):
     assert [r["snippet"] for r in rows] == ["Needle", ""]
 
 
+def test_edges_and_section_filter(spark):
+    docs = spark.createDataFrame([(1, "b a\nb b c"), (2, "c b"), (3, None), (4, "a")], "doc_id long, text string")
+    assert sorted(map(tuple, S.edges(docs).collect())) == [("a", "b", 2), ("b", "c", 2)]
+    found = S.sections(docs)
+    assert sorted(map(tuple, S.filter_sections(found, ["c", "x"]).collect())) == [(1, 1, "b b c"), (2, 0, "c b")]
+    assert S.filter_sections(found, []).count() == 0
+
+
+def test_export_and_index_stats(spark, tmp_path):
+    for i, rows in enumerate(([(1, "cat cat"), (2, "dog")], [(2, "cat"), (3, None)])):
+        upsert(spark.createDataFrame(rows, "doc_id long, text string"), i, str(tmp_path / "index"))
+    stats = index_stats(spark, str(tmp_path / "index"))
+    assert stats.first().asDict() == {"documents": 3, "terms": 1, "postings": 2, "occurrences": 3}
+    for kind in ("json", "csv", "parquet"):
+        export(stats, str(tmp_path / kind), kind)
+        back = spark.read.options(header=True, inferSchema=True).format(kind).load(str(tmp_path / kind))
+        assert back.select("documents", "terms", "postings", "occurrences").first() == (3, 1, 2, 3)
+
+
 def test_compare(spark):
     left = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, digest string")
     right = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "path string, digest string")

@@ -31,6 +31,13 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def edges(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """source, target and weight of the graph of terms: how often two different terms stand side by side, in either order."""
+    toks = docs.select(tokens(F.col(text_col)).alias("toks")).withColumn("n", F.greatest(F.size("toks") - 1, F.lit(0)))
+    pairs = toks.select(F.explode(F.arrays_zip(F.slice("toks", 1, F.col("n")).alias("a"), F.slice("toks", 2, F.col("n")).alias("b"))).alias("p")).select("p.a", "p.b").filter("a <> b")
+    return pairs.groupBy(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target")).agg(F.count("*").alias("weight"))
+
+
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.size(tokens(F.col(text_col))).alias("n_tokens"))
 
@@ -177,6 +184,11 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return lines.filter(F.length(F.trim("section")) > 0)
 
 
+def filter_sections(found: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """The rows of sections() that have one of the terms as a token."""
+    return found.filter(F.arrays_overlap(tokens(F.col("section")), F.array(*map(F.lit, terms)).cast("array<string>")))
+
+
 def snippets(docs: DataFrame, terms: Sequence[str], length: int = 80, text_col: str = "text") -> DataFrame:
     """docs with snippet: `length` characters from the first query term, or from the beginning."""
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))

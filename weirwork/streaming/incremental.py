@@ -46,6 +46,19 @@ def compact(spark: SparkSession, folder: str, target: str, parts: int) -> None:
     read_index(spark, folder).withColumn("version", F.lit(0).cast("long")).withColumn("batch", F.lit(0).cast("long")).repartition(parts, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{target}/postings/part=0")
 
 
+def index_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """One row about the live index: documents (until compaction also those without terms), terms, postings and occurrences."""
+    rows = spark.read.schema("term string, doc_id long, tf long, version long, batch long").parquet(f"{folder}/postings")
+    held = rows.agg(F.count_distinct("doc_id").alias("documents"))
+    live = read_index(spark, folder).agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("occurrences"))
+    return held.crossJoin(live)  # a row each
+
+
+def export(report: DataFrame, target: str, kind: str = "json") -> None:
+    """Write a report or search results as files (json, csv with a header, parquet); an existing target is an error."""
+    report.write.mode("error").options(**({"header": True} if kind == "csv" else {})).format(kind).save(target)
+
+
 def index_stream(docs: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Keep the index up to date with a stream of documents (doc_id, text)."""
     return docs.writeStream.foreachBatch(lambda b, i: upsert(b, i, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
