@@ -46,6 +46,24 @@ def test_both_trees_merge_alike():
     assert bpe.encode_words(table, words) == alone
 
 
+def test_full_memos_change_nothing(monkeypatch):
+    some, t = texts(600, 9), library(BYTE)
+    coder = wavelet.PieceCoder(BYTE)
+    coder.memo.limit = 40
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 30)
+    words, w = bpe.WordCoder(WORD), library(WORD)
+    for k in range(0, len(some), 50):
+        part = some[k : k + 50]
+        raw = np.frombuffer("".join(part).encode(), np.uint8)
+        ids, counts = coder.encode(raw, np.cumsum([0, *(len(x.encode()) for x in part)]))
+        want = [e.ids for e in t.encode_batch(part, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want))
+        assert ids.tolist() == [x for y in want for x in y]
+        coded, which, _ = words.pieces(part)
+        assert [int(x) for c in which.tolist() for x in coded[c].ids.split()] == [x for e in w.encode_batch(part, add_special_tokens=False) for x in e.ids]
+        assert len(words.memo) <= 30 + len(coded)
+
+
 def test_digests(spark):
     rows = [(1, "Hello world", "x"), (2, None, "x"), (3, "", "x"), (3, "", "x"), (None, "a", "x"), (5, "word " * 20000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids_sha256 string")
@@ -67,7 +85,10 @@ def test_pieces_equal_the_pattern():
     import public_tokenizers
 
     some = texts(800, 2)
-    joined, cp, at = kernel.codepoints(some)
+    joined = "".join(some)
+    cp, _ = kernel.codepoints(np.frombuffer(joined.encode(), np.uint8))
+    assert cp.tolist() == list(map(ord, joined))
+    at = np.cumsum([0, *map(len, some)])
     starts, sizes = kernel.gpt_pieces(cp, at)
     got = [[] for _ in some]
     for s, n, o in zip(starts.tolist(), sizes.tolist(), kernel.owners(at, starts).tolist(), strict=True):

@@ -254,53 +254,66 @@ class WordCoder:
 
     def __init__(self, path: str):
         self.table = merge_table(path)
-        self.memo = K.Memo(MEMO_WORDS)
+        self.memo: dict[bytes, Coded] = {}
         self.cut = re.compile("(" + "|".join(sorted(map(re.escape, self.table.special), key=len, reverse=True)) + ")") if self.table.special else None
         self.marks = {t: Coded([i], self.table) for t, i in self.table.special.items()}
 
+    def words(self, distinct: list[bytes]) -> list[Coded]:
+        """The coded form of distinct words; when the memo is full, only these stay in it."""
+        coded: list[Coded | None] = list(map(self.memo.get, distinct))
+        missing = [i for i, c in enumerate(coded) if c is None]
+        if missing:
+            for i, ids in zip(missing, encode_words(self.table, [distinct[i] for i in missing]), strict=True):
+                coded[i] = self.memo[distinct[i]] = Coded(ids, self.table)
+            if len(self.memo) > MEMO_WORDS:
+                self.memo = dict(zip(distinct, coded, strict=True))
+        return coded
+
     def pieces(self, texts: list[str]) -> tuple[list[Coded], np.ndarray, np.ndarray]:
         """Distinct coded words, the index among them of every word of the texts, and the text of every word."""
-        parts, of, marked = [], [], []
+        parts: list[bytes] = []
+        of, marked = [], []
         for i, text in enumerate(texts):
             if self.cut is not None and "<|" in text:
                 for k, part in enumerate(self.cut.split(text)):
                     if k % 2:
                         marked.append((len(parts), self.marks[part]))
                         part = ""
-                    parts.append(normalise(part))
+                    parts.append(normalise(part).encode())
                     of.append(i)
             else:
-                parts.append(normalise(text))
+                parts.append(normalise(text).encode())
                 of.append(i)
-        joined, cp, at = K.codepoints(parts)
-        starts, lengths = K.clip_pieces(cp, at)
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        cp, first = K.codepoints(raw)
+        starts, _ = K.clip_pieces(cp, at if first is None else np.searchsorted(first, at))
         inside = K.classes()[cp] > 0
-        hashes = K.run_hashes(K.codepoint_table()[cp[inside]], lengths)
-        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        coded: list[Coded | None] = self.memo.get_all(unique.tolist())
-        missing = [i for i, c in enumerate(coded) if c is None]
-        if missing:
-            begin, size = starts[first].tolist(), lengths[first].tolist()
-            fresh = encode_words(self.table, [joined[begin[i] : begin[i] + size[i]].encode() for i in missing])
-            keys = unique.tolist()
-            for i, ids in zip(missing, fresh, strict=True):
-                coded[i] = c = Coded(ids, self.table)
-                self.memo.put(keys[i], c)
-        segment = K.owners(at, starts)
+        width = 1 if first is None else np.diff(np.append(first, len(raw)))
+        upto = np.concatenate([[0], np.cumsum(inside * width)])  # bytes inside words
+        which, distinct = K.dictionary(raw[inside if first is None else np.repeat(inside, width)], np.append(upto[starts], upto[-1]))
+        coded = self.words(distinct.to_numpy(zero_copy_only=False).tolist())
+        segment = K.owners(at, starts if first is None else first[starts])
         if marked:
             which = np.concatenate([which, np.arange(len(marked)) + len(coded)])
             segment = np.concatenate([segment, [s for s, _ in marked]])
-            coded += [c for _, c in marked]
+            coded = coded + [c for _, c in marked]
             order = np.argsort(segment, kind="stable")
             which, segment = which[order], segment[order]
         return coded, which, np.asarray(of, np.int64)[segment] if len(segment) else np.zeros(0, np.int64)
 
 
+@cache
+def word_coder(path: str) -> WordCoder:
+    """One a process: workers that take several tasks keep what they have learnt."""
+    return WordCoder(path)
+
+
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(path)
+        coder = word_coder(path)
         for part in slices(batches, "text"):
             texts = strings(part.column("text")).to_pylist()
             coded, which, of = coder.pieces(texts)
@@ -328,7 +341,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """doc_id, ids and the decoded text of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(path)
+        coder = word_coder(path)
         for part in slices(batches, "text"):
             texts = strings(part.column("text")).to_pylist()
             coded, which, of = coder.pieces(texts)

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernel import contents as utf8
+
 SLICE_BYTES = 4 << 20
 
 
@@ -70,6 +72,31 @@ def partitions(spark: SparkSession, scanned: DataFrame | None = None, each: int
     return least if size > UNKNOWN_BYTES else max(least, -(-size // each))
 
 
+HOT_KEYS = 10_000
+
+
+def skewed_join(many: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of many rows with facts about their keys (one row a key; n_rows: how many rows of `many` it has).
+
+    Keys with more than 1/HOT_KEYS of all rows are broadcast: there are at most HOT_KEYS of them,
+    whatever the data. All others are joined by shuffle. Both sides should be cheap to read twice.
+    """
+    names = [c for c in facts.columns if c not in (*keys, "n_rows")]
+    share = facts.agg(F.sum("n_rows").alias("n")).first()["n"] or 0
+    hot = F.broadcast(facts.filter(F.col("n_rows") * HOT_KEYS > F.lit(max(share, HOT_KEYS))).select(*keys, *names))
+    cold = facts.filter(F.col("n_rows") * HOT_KEYS <= F.lit(max(share, HOT_KEYS))).select(*keys, *names)
+    rest = many.join(hot.select(*keys), keys, "left_anti").join(cold, keys, "left")
+    return many.join(hot, keys).unionByName(rest)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -93,17 +120,6 @@ def ids_back(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NO_ID)
 
 
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a large_string array and its len+1 offsets, both starting at 0."""
-    _, offs, data = column.buffers()
-    n = len(column)
-    if n == 0:
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    at = np.frombuffer(offs, dtype=np.int64)[column.offset : column.offset + n + 1]
-    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return raw[at[0] : at[-1]], at - at[0]
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices whose text column holds about `limit` bytes; a longer text is a slice of its own."""
     for batch in batches:

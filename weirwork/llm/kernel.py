@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
@@ -25,41 +28,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@cache
-def byte_table(fold_case: bool) -> np.ndarray:
-    t = mix(np.arange(256, dtype=U))
-    if fold_case:
-        t[65:91] = t[97:123]
-    return t
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SHORT = 1 << 16
 
 
 @cache
-def codepoint_table() -> np.ndarray:
-    return mix(np.arange(0x110000, dtype=U))
+def byte_table() -> np.ndarray:
+    return mix(np.arange(256, dtype=U))
+
 
+@cache
+def _short_places() -> np.ndarray:
+    return mix(np.arange(SHORT, dtype=U) ^ _BASE)
 
-_powers = np.ones(1, U)
 
+def places(n: int) -> np.ndarray:
+    """A random factor for each of n places (no powers of a base: patterns of letters cannot cancel)."""
+    return _short_places() if n <= SHORT else mix(np.arange(n, dtype=U) ^ _BASE)
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 4096), _BASE, U)
-        steps[0] = 1
-        _powers = np.cumprod(steps)
-    return _powers
 
+def run_hashes(raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the consecutive non-empty runs of bytes.
 
-def run_hashes(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A hash of each of the consecutive non-empty runs of table values."""
+    Each byte's random value is multiplied by its place's random factor, so two runs that differ
+    agree by chance only. Where equality decides a result, compare `dictionary` codes instead.
+    """
     if not len(lengths):
         return np.zeros(0, U)
     begin = np.cumsum(lengths) - lengths
-    place = np.arange(len(values)) - np.repeat(begin, lengths)
-    sums = np.add.reduceat(values * powers(int(lengths.max()))[place], begin)
+    place = np.arange(len(raw)) - np.repeat(begin, lengths)
+    sums = np.add.reduceat(byte_table()[raw] * places(int(lengths.max()))[place], begin)
     return mix(sums + lengths.astype(U) * _ODD)
 
 
+def dictionary(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The index of each run of bytes among the distinct runs, and these, compared byte by byte."""
+    if len(offsets) < 2:
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = runs.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def contents(runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large_binary or large_string array and their len+1 offsets."""
+    _, offs, data = runs.buffers()
+    if not len(runs):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(offs, np.int64)[runs.offset : runs.offset + len(runs) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def hashes_of(runs: pa.Array) -> np.ndarray:
+    """run_hashes of the (non-empty) elements of an array."""
+    raw, at = contents(runs)
+    return run_hashes(raw, np.diff(at))
+
+
 def owners(at: np.ndarray, places: np.ndarray) -> np.ndarray:
     """The index of the text that holds each place; at: offsets of the texts."""
     return np.searchsorted(at, places, side="right") - 1
@@ -80,10 +107,11 @@ def segments(raw: np.ndarray, at: np.ndarray, outside: np.ndarray) -> tuple[np.n
     return np.flatnonzero(first), np.flatnonzero(last) + 1, inside
 
 
-def words(raw: np.ndarray, at: np.ndarray, fold_case: bool, outside: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, text index and hash of every word."""
+def words(raw: np.ndarray, at: np.ndarray, outside: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Starts, ends, text index and code of every word, and the distinct words by code."""
     starts, ends, inside = segments(raw, at, outside)
-    return starts, ends, owners(at, starts), run_hashes(byte_table(fold_case)[raw[inside]], ends - starts)
+    codes, vocabulary = dictionary(raw[inside], np.concatenate([[0], np.cumsum(ends - starts)]))
+    return starts, ends, owners(at, starts), codes, vocabulary
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -111,12 +139,12 @@ def classes() -> np.ndarray:
     return out
 
 
-def codepoints(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    """The texts as one string, its code points, and the offsets of the texts."""
-    joined = "".join(texts)
-    at = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)), out=at[1:])
-    return joined, np.frombuffer(joined.encode("utf-32-le"), np.uint32), at
+def codepoints(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The code points of valid UTF-8, and the place of the first byte of each (None: all have one byte)."""
+    text = raw.tobytes()
+    if text.isascii():
+        return raw, None
+    return np.frombuffer(text.decode().encode("utf-32-le"), np.uint32), np.flatnonzero((raw & 0xC0) != 0x80)
 
 
 def _contractions(cp: np.ndarray, first: np.ndarray, at: np.ndarray, kind: np.ndarray, candidates: np.ndarray) -> None:
@@ -173,28 +201,47 @@ def gpt_pieces(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Memo:
-    """A dictionary of bounded size in two generations: what is in use moves on, the rest is forgotten."""
-
-    def __init__(self, limit: int):
-        self.limit, self.new, self.old = limit, {}, {}
-
-    def get(self, key):
-        found = self.new.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
-
-    def get_all(self, keys: list) -> list:
-        found = list(map(self.new.get, keys))
-        if self.old:
-            for i, value in enumerate(found):
-                if value is None:
-                    found[i] = self.get(keys[i])
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.limit:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
+    """Runs of numbers by word, of bounded size: when it is full, only what was asked for again stays."""
+
+    def __init__(self, limit: int, dtype):
+        self.limit, self.dtype = limit, dtype
+        self.index: dict[str, int] = {}
+        self.begin = self.size = np.zeros(0, np.int64)
+        self.flat, self.again = np.zeros(0, dtype), np.zeros(0, bool)
+
+    def get(self, keys: list, make: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and size of each (distinct) key's run, and the numbers that they lie in.
+
+        make: sizes and numbers, one after another, of keys that are not known.
+        """
+        at = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
+        if len(new):
+            fresh = [keys[i] for i in new.tolist()]
+            size, flat = make(fresh)
+            at[new] = np.arange(len(new)) + len(self.index)
+            self.index.update(zip(fresh, at[new].tolist(), strict=True))
+            self.begin = np.concatenate([self.begin, np.cumsum(size) - size + len(self.flat)])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, flat.astype(self.dtype, copy=False)])
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+        begin, size, flat = self.begin[at], self.size[at], self.flat
+        if len(self.index) > self.limit:
+            self._forget()
+        return begin, size, flat
+
+    def _forget(self) -> None:
+        stay = np.flatnonzero(self.again)
+        if len(stay) > self.limit // 2:
+            stay = stay[:0]
+        known = list(self.index)
+        self.index = {known[i]: k for k, i in enumerate(stay.tolist())}
+        self.flat = self.flat[spread(self.begin[stay], self.size[stay])]
+        self.size = self.size[stay]
+        self.begin, self.again = np.cumsum(self.size) - self.size, np.zeros(len(stay), bool)
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of every run, one run after another."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)

@@ -1,13 +1,16 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
-A document's set holds the hashes of its distinct word n-grams. Documents with equal sets form one
-class; all further work is on classes. The global order puts rare n-grams first (by the number of
-classes that have them, then by hash). Whoever shares enough with another class must share one of
-its first n-grams, and an n-gram that only one class has is shared with nobody: so a class whose
+A document's set holds the 64-bit hashes of its distinct word n-grams. Documents with equal sets form
+one class; all further work is on classes. The global order puts rare n-grams first (by the number
+of classes that have them, then by name). Whoever shares enough with another class must share one
+of its first n-grams, and an n-gram that only one class has is shared with nobody: so a class whose
 unshared n-grams fill its prefix links with none and goes no further.
 
 1. Slices of texts become packed, sorted runs of (n-gram, class), dealt by ranges of n-gram hashes;
-   each range counts its n-grams and passes on those that at least two classes have.
+   each range counts its n-grams and passes on those that at least two classes have. Classes are
+   collapsed before they travel, once a batch of slices. An n-gram that HOT or more classes of a
+   batch have goes straight to its classes as one of the most frequent, and its range is only told
+   so: no task gets more than HOT - 1 entries of one n-gram from a batch.
 2. They are gathered by class, put in global order, and classes with no hope are dropped.
 3. Candidates: within the bucket of each prefix n-gram every class meets one centre, and after
    each round only classes that are not yet connected meet others; at the end every pair of
@@ -15,13 +18,17 @@ unshared n-grams fill its prefix links with none and goes no further.
    prefixes share rule it out.
 4. The global order is cut into fragments; the overlap of a candidate pair is counted in every
    fragment by itself and summed per pair. Links are judged by the exact counts.
+5. Documents get their class's component by a join in which classes and components that hold more
+   than a share of all rows (few, by their share) are broadcast, so none is a hot key.
 
-N-grams are known by TOKEN_BITS bits of a hash; only two different n-grams of one pair that agree
-in all of them can change a count.
+What is exact: words and sets of n-grams are known by hashes, words and n-grams by 64 bits (one
+in 2^51 names of those that travel as HOT), sets by 128 bits. Two different n-grams of one pair of
+documents that agree in all bits would change a count; nothing else rests on a hash.
 
 Defined cases: null and empty texts have no n-grams, and each is a component of its own. A text of
-fewer words than n has its whole sequence as its only n-gram. Repeated rows share a class. An
-empty table gives no rows. Extra columns are ignored.
+fewer words than n has its whole sequence as its only n-gram. Repeated rows share a class. A null
+id counts as no id: its row's component is the least id it is linked with, else null. An empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,15 +37,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import cut, ids_back, ids_of, partitions, slices, strings, utf8
+from .common import NO_ID, cut, free_name, ids_back, ids_of, partitions, skewed_join, slices, strings, utf8
 from .graph import components, hooked
 
-TOKEN_BITS = 52
+TOKEN_BITS = 52  # of an n-gram's name: the top one set and hash bits, or its range and number
 DF_CAP = (1 << (63 - TOKEN_BITS)) - 1
 FLUSH = 2_000_000
 TASK_BYTES = 12 << 20  # of the scanned input, for each range of n-grams
@@ -48,6 +56,10 @@ BROADCAST_ROWS = 50_000  # pairs or class ids that are broadcast (under 2 MB); m
 STAR_ROUNDS = 2
 FEW_PAIRS = 100_000  # so many pairs of bucket members are compared at once, without a round of centres before
 U = np.uint64
+HOT = 64  # classes of one batch of slices: an n-gram that so many have does not travel by its range
+SALTS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344))
+MOST_ID = (1 << 63) - 1
+RUNS, DOCS, CLASSES, KEYS, HEAVY, TOLD = range(6)  # kinds of packed rows
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -70,9 +82,10 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes of every text (ascending within it), how many each has, and a hash of each set."""
+    """Distinct n-gram hashes of every text (ascending within it), how many each has, and 128 bits of each set."""
     texts = len(at) - 1
-    _, _, of, hashes = K.words(raw, at, fold_case=True)
+    _, _, of, codes, vocabulary = K.words(K.LOWER[raw], at)
+    hashes = K.hashes_of(vocabulary)[codes]
     words = np.bincount(of, minlength=texts)
     grams = K.windows(hashes, n)
     whole = np.flatnonzero(of[n - 1 :] == of[: len(grams)]) if len(grams) else np.zeros(0, np.int64)
@@ -83,11 +96,10 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, n
         sums = np.zeros(len(short), U)
         for k in range(n - 1):
             has = words[short] > k
-            sums[has] += K.mix(hashes[first[has] + k] + U(k + 1))
+            sums[has] += K.mix(K.mix(hashes[first[has] + k]) ^ K.mix(np.full(has.sum(), k + 1, U)))
         gram, owner = np.concatenate([gram, K.mix(sums ^ words[short].astype(U))]), np.concatenate([owner, short])
         order = np.argsort(owner, kind="stable")
         gram, owner = gram[order], owner[order]
-    gram = gram >> U(64 - TOKEN_BITS)
     stops = np.searchsorted(owner, np.arange(texts + 1)).tolist()
     for s, e in zip(stops, stops[1:], strict=False):
         gram[s:e].sort()
@@ -95,11 +107,13 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, n
     fresh[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
     gram, owner = gram[fresh], owner[fresh]
     sizes = np.bincount(owner, minlength=texts)
-    sums = np.zeros(texts, U)
+    sets = np.zeros((texts, 2), U)
     some = sizes > 0
     if len(gram):
-        sums[some] = np.add.reduceat(K.mix(gram), (np.cumsum(sizes) - sizes)[some])
-    return gram, sizes, K.mix(sums ^ (sizes.astype(U) << U(40)))
+        begin = (np.cumsum(sizes) - sizes)[some]
+        for i, salt in enumerate(SALTS):
+            sets[some, i] = K.mix(np.add.reduceat(K.mix(gram ^ salt), begin) ^ sizes[some].astype(U))
+    return gram, sizes, sets
 
 
 def _spread(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -122,124 +136,207 @@ def parity_bits(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _distinct(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the distinct rows of two columns, and the index among them of every row."""
+    order = np.lexsort((sets[:, 1], sets[:, 0]))
+    ranked = sets[order]
+    fresh = np.ones(len(sets), bool)
+    fresh[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
+    which = np.empty(len(sets), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return order[fresh], which
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal neighbours, and the end."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+
+
 def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents (doc_id, cls, n_shingles) and of classes with hope (doc_id null, keys in global order, prefix)."""
+    """Rows of documents (cls null), of all classes (n_docs not null) with the keys of those with hope, in global order."""
     spark = docs.sparkSession
     parts = partitions(spark, docs, TASK_BYTES)
-    width = -(-(1 << TOKEN_BITS) // parts)
-
-    def flush(sets: list[tuple]) -> pa.RecordBatch:
-        gram = np.concatenate([s[0] for s in sets])
-        sizes = np.concatenate([s[1] for s in sets])
-        cls = np.concatenate([s[2] for s in sets])
-        ids = np.concatenate([s[3] for s in sets])
-        order = np.argsort(gram)
-        gram, local = gram[order], np.repeat(np.arange(len(cls), dtype=np.uint32), sizes)[order]
+    width = -(-(1 << 64) // parts)
+    edges = np.array([b * width for b in range(1, parts)], U)
+    number_bits = TOKEN_BITS - 1 - (parts - 1).bit_length()
+
+    def by_class(kind: int, sets: np.ndarray, owner: np.ndarray, key: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """Packed keys for the task that gathers each class (owner: index into sets)."""
+        target = _spread(sets[owner, 0], parts)
+        order = np.lexsort((key, owner, target))
+        target, owner, key = target[order], owner[order], key[order]
+        cuts = np.searchsorted(target, np.arange(parts + 1))
         out = []
-        cuts = np.searchsorted(gram, np.arange(parts + 1, dtype=U) * U(width))
         for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            o, k = owner[cuts[b] : cuts[b + 1]], key[cuts[b] : cuts[b + 1]]
+            head = _runs(o)
+            out.append((b, kind, _pack(sets[o[head[:-1]], 0], sets[o[head[:-1]], 1], np.diff(head).astype(np.uint32), k)))
+        return out
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        gram, sizes, sets, ids = (np.concatenate([h[i] for h in held]) for i in range(4))
+        first, which = _distinct(sets)
+        least, copies = np.full(len(first), MOST_ID, np.int64), np.bincount(which, minlength=len(first))
+        some = ids != NO_ID
+        np.minimum.at(least, which[some], ids[some])
+        out = []
+        # one copy of each class sends its n-grams
+        one = np.zeros(len(sizes), bool)
+        one[first] = True
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        mine = one[owner]
+        gram, owner = gram[mine], which[owner[mine]]
+        sets_of, size_of = sets[first], sizes[first]
+        order = np.argsort(gram, kind="stable")
+        gram, owner = gram[order], owner[order]
+        edge = _runs(gram)
+        here = np.repeat(np.diff(edge), np.diff(edge))
+        # what many classes have here goes to them at once, known by its hash; its range hears of it
+        hot = here >= HOT
+        out += by_class(HEAVY, sets_of, owner[hot], (U(DF_CAP) << U(TOKEN_BITS)) | U(1 << (TOKEN_BITS - 1)) | (gram[hot] >> U(64 - TOKEN_BITS + 1)))
+        told = np.unique(gram[hot])
+        cuts = [0, *np.searchsorted(told, edges).tolist(), len(told)]
+        out += [(b, TOLD, _pack(told[cuts[b] : cuts[b + 1]])) for b in range(parts) if cuts[b + 1] > cuts[b]]
+        gram, owner = gram[~hot], owner[~hot]
+        cuts = [0, *np.searchsorted(gram, edges).tolist(), len(gram)]
+        for b in range(parts):
             s, e = cuts[b], cuts[b + 1]
-            used, place = np.unique(local[s:e], return_inverse=True)
-            place = place.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
-            out.append((b, 0, _pack(np.diff(gram[s:e], prepend=gram[s : s + 1]), gram[s : s + 1], place, cls[used])))
-        target = np.where(sizes > 0, _spread(cls, parts), _spread(ids.view(U), parts))
-        order = np.argsort(target, kind="stable")
-        cuts = np.searchsorted(target[order], np.arange(parts + 1))
-        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            these = order[cuts[b] : cuts[b + 1]]
-            out.append((b, 1, _pack(ids[these].view(U), cls[these], sizes[these].astype(np.uint64))))
+            if e > s:
+                used, place = np.unique(owner[s:e], return_inverse=True)
+                place = place.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+                out.append((b, RUNS, _pack(np.diff(gram[s:e], prepend=gram[s : s + 1]), gram[s : s + 1], place, sets_of[used, 0], sets_of[used, 1])))
+        target = _spread(sets_of[:, 0], parts)
+        for b in np.unique(target[size_of > 0]).tolist():
+            these = np.flatnonzero((target == b) & (size_of > 0))
+            out.append((b, CLASSES, _pack(sets_of[these, 0], sets_of[these, 1], size_of[these].astype(np.uint64), least[these].view(U), copies[these].astype(np.uint64))))
+        target = _spread(ids.view(U) ^ sets[:, 1], parts)
+        for b in np.unique(target).tolist():
+            these = np.flatnonzero(target == b)
+            out.append((b, DOCS, _pack(ids[these].view(U), sets[these, 0], sets[these, 1], sizes[these].astype(np.uint64))))
         return _rows(out)
 
     def to_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sets = 0, []
+        size, held = 0, []
         for part in slices(batches, "text"):
-            raw, at = utf8(strings(part.column("text")))
-            sets.append((*shingle_sets(raw, at, n), ids_of(part.column("doc_id"))))
-            held += len(sets[-1][0])
-            if held >= FLUSH:
-                yield flush(sets)
-                held, sets = 0, []
-        if sets:
-            yield flush(sets)
+            held.append((*shingle_sets(*utf8(strings(part.column("text"))), n), ids_of(part.column("doc_id"))))
+            size += len(held[-1][0])
+            if size >= FLUSH:
+                yield flush(held)
+                size, held = 0, []
+        if held:
+            yield flush(held)
+
+    def blobs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        for b in batches:
+            yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, classes = [np.zeros(0, U)], [np.zeros(0, U)]
-        for b in batches:
-            for part, kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if kind:
-                    yield _rows([(part, 1, blob)])
-                    continue
-                step, first, place, cls = _unpack(blob)
+        grams, places, sets, told, base, here = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros((0, 2), U)], [np.zeros(0, U)], 0, 0
+        for part, kind, blob in blobs_of(batches):
+            if kind == RUNS:
+                step, first, place, one, two = _unpack(blob)
                 step[0] = first[0]
                 grams.append(np.cumsum(step, dtype=U))
-                classes.append(cls[place])
-        gram, cls = np.concatenate(grams), np.concatenate(classes)
-        grams = classes = None
+                places.append(place.astype(np.int64) + base)
+                sets.append(np.stack([one, two], axis=1))
+                base += len(one)
+                here = part
+            elif kind == TOLD:
+                told += _unpack(blob)
+            else:
+                yield _rows([(part, kind, blob)])
+        gram, place, sets, told = np.concatenate(grams), np.concatenate(places), np.concatenate(sets), np.unique(np.concatenate(told))
+        grams = places = None
+        if not len(gram):
+            return
         order = np.argsort(gram)
-        gram, cls = gram[order], cls[order]
-        # drop what only one row has before looking at classes
+        gram, place = gram[order], place[order]
+        # drop what only one run has before looking at classes
         again = gram[1:] == gram[:-1]
-        many = np.concatenate([[False], again]) | np.concatenate([again, [False]]) if len(gram) else np.zeros(0, bool)
-        gram, cls = gram[many], cls[many]
+        heavy = told[np.minimum(np.searchsorted(told, gram), len(told) - 1)] == gram if len(told) else np.zeros(len(gram), bool)
+        many = np.concatenate([[False], again]) | np.concatenate([again, [False]]) | heavy
+        gram, place, heavy = gram[many], place[many], heavy[many]
+        first, which = _distinct(sets)
+        sets, cls = sets[first], which[place]
         order = np.lexsort((cls, gram))
-        gram, cls = gram[order], cls[order]
+        gram, cls, heavy = gram[order], cls[order], heavy[order]
         fresh = np.ones(len(gram), bool)
         fresh[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])
-        gram, cls = gram[fresh], cls[fresh]
-        edge = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1], [True]])) if len(gram) else np.zeros(1, np.int64)
+        gram, cls, heavy = gram[fresh], cls[fresh], heavy[fresh]
+        edge = _runs(gram)
         df = np.repeat(np.diff(edge), np.diff(edge))
-        shared = df > 1
-        gram, cls, df = gram[shared], cls[shared], df[shared]
-        key = (np.minimum(df, DF_CAP).astype(U) << U(TOKEN_BITS)) | gram
-        target = _spread(cls, parts)
-        order = np.lexsort((key, cls, target))
-        target, cls, key = target[order], cls[order], key[order]
-        cuts = np.searchsorted(target, np.arange(parts + 1))
-        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            c, k = cls[cuts[b] : cuts[b + 1]], key[cuts[b] : cuts[b + 1]]
-            head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            yield _rows([(b, 0, _pack(c[head], np.diff(np.concatenate([head, [len(c)]])).astype(np.uint32), k))])
+        shared = (df > 1) | heavy
+        gram, cls, df, heavy = gram[shared], cls[shared], df[shared], heavy[shared]
+        if not len(gram):
+            return
+        # an n-gram is known by its range and its number there, a heavy one by its hash
+        edge = _runs(gram)
+        if len(edge) > 1 << number_bits:
+            raise ValueError("too many n-grams in a range")
+        number = np.repeat(np.arange(len(edge) - 1, dtype=U), np.diff(edge)) | (U(here) << U(number_bits))
+        name = np.where(heavy, U(1 << (TOKEN_BITS - 1)) | (gram >> U(64 - TOKEN_BITS + 1)), number)
+        key = (np.where(heavy, DF_CAP, np.minimum(df, DF_CAP)).astype(U) << U(TOKEN_BITS)) | name
+        for row in by_class(KEYS, sets, cls, key):
+            yield _rows([row])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, runs, keys, rows = [np.zeros(0, U)], [np.zeros(0, np.uint32)], [np.zeros(0, U)], []
-        for b in batches:
-            for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                got = _unpack(blob)
-                if kind:
-                    rows.append(got)
-                else:
-                    heads.append(got[0])
-                    runs.append(got[1])
-                    keys.append(got[2])
-        if not rows:
+        known, heads, runs, keys, here = [], [np.zeros((0, 2), U)], [np.zeros(0, np.uint32)], [np.zeros(0, U)], 0
+        for part, kind, blob in blobs_of(batches):
+            here = part
+            got = _unpack(blob)
+            if kind == DOCS:
+                null = pa.nulls(len(got[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [ids_back(got[0].view(np.int64)), *(pa.array(x.view(np.int64)) for x in got[1:]), null, null, pa.nulls(len(null), pa.list_(pa.int64())), pa.nulls(len(null), pa.int32()), pa.nulls(len(null), pa.list_(pa.int64()))], names
+                )
+            elif kind == CLASSES:
+                known.append(np.stack(got, axis=1))
+            else:
+                heads.append(np.stack(got[:2], axis=1))
+                runs.append(got[2])
+                keys.append(got[3])
+        if not known:
             return
-        ids, cls, size = (np.concatenate([r[i] for r in rows]) for i in range(3))
-        none = pa.nulls(len(ids), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([ids_back(ids.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(size.view(np.int64)), none, pa.nulls(len(ids), pa.int32()), none], names)
-        known, first = np.unique(cls[size > 0], return_index=True)
-        sizes = size[size > 0][first].astype(np.int64)
-        owner, key = np.repeat(np.concatenate(heads), np.concatenate(runs)), np.concatenate(keys)
+        known = np.concatenate(known)
+        first, which = _distinct(known[:, :2])
+        sets, sizes = known[first, :2], known[first, 2].astype(np.int64)
+        least, copies = np.full(len(first), MOST_ID, np.int64), np.zeros(len(first), np.int64)
+        np.minimum.at(least, which, known[:, 3].view(np.int64))
+        np.add.at(copies, which, known[:, 4].astype(np.int64))
+        cls = (here << 40) + np.arange(len(first), dtype=np.int64)
+        # the keys of each class, in global order
+        heads = np.concatenate(heads)
+        found, which = _distinct(np.concatenate([sets, heads]))
+        owner, key = np.repeat(which[len(sets) :], np.concatenate(runs)), np.concatenate(keys)
         order = np.lexsort((key, owner))
         owner, key = owner[order], key[order]
-        start = np.searchsorted(owner, known)
-        shared = np.searchsorted(owner, known, side="right") - start
+        if len(key):  # a heavy one that its range has named too
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+            owner, key = owner[fresh], key[fresh]
+        start = np.searchsorted(owner, which[: len(sets)])
+        shared = np.searchsorted(owner, which[: len(sets)], side="right") - start
         prefix = sizes - (percent * sizes + 99) // 100 + 1 - (sizes - shared)  # what is left of it after the unshared n-grams
-        for k in range(0, len(known), 2000):
-            these = np.flatnonzero((prefix > 0) & (shared > 0) & (np.arange(len(known)) // 2000 == k // 2000))
-            if len(these):
-                take = [key[start[i] : start[i] + shared[i]].view(np.int64) for i in these.tolist()]
-                bits = parity_bits(np.concatenate(take), shared[these])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(shared[these])]).astype(np.int32)), pa.array(np.concatenate(take)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(these), pa.int64()), pa.array(known[these].view(np.int64)), pa.array(sizes[these]), lists, pa.array(np.minimum(prefix, shared)[these].astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(bits), PARITY // 64).cast(pa.list_(pa.int64()))], names
-                )
-
-    names = ["doc_id", "cls", "n_shingles", "keys", "prefix", "bits"]
+        hope = (prefix > 0) & (shared > 0)
+        for k in range(0, len(cls), 2000):
+            these = np.arange(k, min(k + 2000, len(cls)))
+            size = np.where(hope[these], shared[these], 0)
+            some = key[K.spread(start[these], size)]
+            bits = pa.array(parity_bits(some, size)) if size.any() else pa.array(np.zeros(len(these) * (PARITY // 64), np.int64))
+            gone = pa.array(~hope[these])
+            lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(some.view(np.int64))).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(least[these], pa.int64(), mask=least[these] == MOST_ID), pa.array(sets[these, 0].view(np.int64)), pa.array(sets[these, 1].view(np.int64)), pa.array(sizes[these]), pa.array(cls[these]), pa.array(copies[these]),
+                    pc.if_else(gone, pa.nulls(len(these), lists.type), lists), pa.array(np.minimum(prefix, shared)[these].astype(np.int32)), pa.FixedSizeListArray.from_arrays(bits, PARITY // 64).cast(pa.list_(pa.int64())),
+                ], names,
+            )
+
+    names = ["doc_id", "set1", "set2", "n_shingles", "cls", "n_docs", "keys", "prefix", "bits"]
     blobs = "part int, kind int, blob binary"
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     ranged = narrow.mapInArrow(to_ranges, blobs).repartitionById(parts, F.col("part"))
     gathered = ranged.mapInArrow(count, blobs).repartitionById(parts, F.col("part"))
-    return gathered.mapInArrow(gather, "doc_id long, cls long, n_shingles long, keys array<long>, prefix int, bits array<long>")
+    return gathered.mapInArrow(gather, "doc_id long, set1 long, set2 long, n_shingles long, cls long, n_docs long, keys array<long>, prefix int, bits array<long>")
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -266,12 +363,19 @@ def overlaps(pairs: DataFrame, classes: DataFrame, pivots: list[int]) -> DataFra
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, fragments: int = FRAGMENTS, rounds: int = STAR_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links of at least percent/100) of every row."""
     found = cut(shared_ngrams(docs, n, percent, id_col, text_col))
-    rows = found.filter("keys IS NULL").select("doc_id", "cls", "n_shingles")
-    classes = found.filter("keys IS NOT NULL").select("cls", "n_shingles", "keys", "prefix", "bits")
-    roots = class_roots(classes, percent, fragments, rounds)
-    placed = rows.join(roots, rows["cls"] == roots["node"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "cls")).alias("comp"))
-    least = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    rows = found.filter("cls IS NULL").select("doc_id", "set1", "set2", "n_shingles")
+    known = found.filter("cls IS NOT NULL")
+    roots = class_roots(known.filter("keys IS NOT NULL").select("cls", "n_shingles", "keys", "prefix", "bits"), percent, fragments, rounds)
+    # the least document of each class's component; most classes are alone
+    linked = known.select("cls", "set1", "set2", "doc_id", "n_docs").join(roots, known["cls"] == roots["node"], "left").drop("node", "cls")
+    linked = cut(linked)
+    least = linked.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows"))
+    least = skewed_join(linked.filter("root IS NOT NULL").select("root", "set1", "set2", "n_docs"), least, ["root"]).drop("root")
+    alone = linked.filter("root IS NULL").select("set1", "set2", "n_docs", F.col("doc_id").alias("least"))
+    # a document alone in its class is its own component if its class is
+    classes = least.unionByName(alone.filter("n_docs > 1")).withColumnRenamed("n_docs", "n_rows")
+    placed = skewed_join(rows.filter("n_shingles > 0"), cut(classes), ["set1", "set2"]).select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return placed.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def class_roots(classes: DataFrame, percent: int, fragments: int, rounds: int) -> DataFrame:
@@ -360,5 +464,6 @@ def one_per_component(docs: DataFrame, n: int = 5, percent: int = 80, rounds: in
     heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     kept = docs.join(heads, id_col, "left_semi")
     if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():
-        kept = kept.withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"]).drop("__text")
+        digest = free_name(docs, "text_digest")
+        kept = kept.withColumn(digest, F.sha2(F.col(text_col).cast("binary"), 256)).dropDuplicates([id_col, digest]).drop(digest)
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -1,22 +1,27 @@
 """Quality rules by tokeniser fertility.
 
-Every text is measured against a public vocabulary with byte fallback: characters per token, share
-of x relative to the log of the number of tokens. A text is
-kept if each measure lies in the band of its language. Plain counts (words, symbols, repeated
-lines and word windows) make the base verdict beside it.
+Every text is measured against a public vocabulary with byte fallback, word by word: code points of
+its words per token, the share of its tokens that stand for single bytes because no piece of the
+vocabulary fits, and token entropy. The last is the mean entropy (bits) of blocks of BLOCK
+consecutive tokens, so that it does not grow with the text; a shorter text is one block, its
+entropy scaled by log(BLOCK) / log(tokens). A text is kept if the base rule holds and each measure
+lies in the band of its language. The base rule is one of plain counts: enough words, few of them
+in repeated windows of three words.
 
-Words are maximal runs of bytes other than space and \\t \\n \\v \\f \\r; every distinct word is
-tokenised once while it stays in a memo of bounded size, and everything else works on arrays.
+Words are maximal runs of bytes other than space and \\t \\n \\v \\f \\r. Words and lines are equal
+if their bytes are. Every distinct word is tokenised once while it stays in a memo of bounded size.
 
 Defined cases: a null or empty text has no words and fails the base rule. A null or unlisted
-language gets the band DEFAULT. Texts are measured whole. Repeated rows are judged alike. An empty
-table gives no rows. Extra columns are ignored.
+language gets the band DEFAULT (that of BANDS if the caller's bands have none). Texts are measured
+whole. Repeated rows are judged alike. An empty table gives no rows. Extra columns are ignored by
+`quality_rules` and kept by `keep_quality`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,33 +61,33 @@ class Fertility:
 
     def __init__(self, path: str):
         self.model, self.is_byte = _pieces(path)
-        self.memo = K.Memo(MEMO_WORDS)
+        self.memo = K.Memo(MEMO_WORDS, np.uint16 if len(self.is_byte) <= 1 << 16 else np.uint32)
 
-    def measure(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray, hashes: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, byte-fallback tokens and block entropy of every text."""
-        if not len(hashes):
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.model.encode(words, num_threads=1)
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        return size, np.fromiter(chain.from_iterable(got), self.memo.dtype, int(size.sum()))
+
+    def measure(self, of: np.ndarray, which: np.ndarray, vocabulary: pa.Array, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, byte-fallback tokens and block entropy of every text. of, which: text and code of every word."""
+        if not len(which):
             return np.zeros(texts), np.zeros(texts), np.zeros(texts)
-        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        coded = self.memo.get_all(keys)
-        missing = [i for i, c in enumerate(coded) if c is None]
-        if missing:
-            data, begin, end = raw.tobytes(), starts[first].tolist(), ends[first].tolist()
-            fresh = self.model.encode([data[begin[i] : end[i]].decode() for i in missing], num_threads=1)
-            for i, ids in zip(missing, fresh, strict=True):
-                coded[i] = c = np.array(ids, np.uint16).tobytes()
-                self.memo.put(keys[i], c)
-        size = np.fromiter((len(c) // 2 for c in coded), np.int64, len(coded))
-        flat = np.frombuffer(b"".join(coded), np.uint16)
-        begin, per = np.cumsum(size) - size, size[which]
-        byte_per = np.diff(np.concatenate([[0], np.cumsum(self.is_byte[flat])])[np.concatenate([begin, [len(flat)]])])
+        begin, size, flat = self.memo.get(vocabulary.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist(), self._encode)
+        bytes_upto = np.concatenate([[0], np.cumsum(self.is_byte[flat])])
+        byte_per = bytes_upto[begin + size] - bytes_upto[begin]
+        per = size[which]
         tokens = np.bincount(of, weights=per, minlength=texts)
         byte_tokens = np.bincount(of, weights=byte_per[which], minlength=texts)
-        ids = flat[np.arange(int(per.sum())) + np.repeat(begin[which] - (np.cumsum(per) - per), per)]
-        entropy = block_entropy(ids, tokens.astype(np.int64))
+        entropy = block_entropy(flat[K.spread(begin[which], per)], tokens.astype(np.int64))
         return tokens, byte_tokens, entropy
 
 
+@cache
+def fertility_of(path: str) -> Fertility:
+    """One a process: workers that take several tasks keep what they have learnt."""
+    return Fertility(path)
+
+
 def block_entropy(ids: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Mean token entropy (bits) of the blocks of every text; the last block ends with the text."""
     out = np.zeros(len(tokens))
@@ -111,58 +116,66 @@ def block_entropy(ids: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """Which values occur more than once."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
+def repeated(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which values occur more than once in their text (texts ascending)."""
     out = np.zeros(len(keys), bool)
-    out[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(keys) else False
+    if len(keys):
+        order = np.argsort(keys, kind="stable")  # equal keys stay in the order of their texts
+        key, text = keys[order], of[order]
+        same = (key[1:] == key[:-1]) & (text[1:] == text[:-1])
+        out[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     return out
 
 
+def triples(codes: np.ndarray, distinct: int) -> np.ndarray:
+    """A number for each three consecutive codes, equal only for equal ones."""
+    if distinct <= 1 << 21:
+        return (codes[:-2] * distinct + codes[1:-1]) * distinct + codes[2:]
+    pairs, two = np.unique(codes[:-1] * distinct + codes[1:], return_inverse=True)
+    return two[:-1] * distinct + codes[2:]  # fewer pairs than words of a slice, so that this fits
+
+
 def base_counts(raw: np.ndarray, at: np.ndarray) -> tuple[dict[str, np.ndarray], tuple]:
-    """The plain counts of every text, and its words."""
+    """The plain counts of every text, and its words. Lines and words are compared byte by byte."""
     texts = len(at) - 1
-    starts, ends, of, hashes = K.words(raw, at, fold_case=False)
+    _, _, of, codes, vocabulary = K.words(raw, at)
     tally = lambda places: np.bincount(K.owners(at, places), minlength=texts)
     inside = ~K.BLANK[raw]
-    chars = tally(np.flatnonzero(inside & ((raw & 0xC0) != 0x80)))
+    upto = np.concatenate([[0], np.cumsum(inside & ((raw & 0xC0) != 0x80))])
     # lines with a word, less the distinct ones
     newline = np.zeros(256, bool)
     newline[10] = True
-    line_start, line_end, line_of, line_hash = K.words(raw, at, fold_case=False, outside=newline)
-    blanks = np.concatenate([[0], np.cumsum(inside)])
-    worded = blanks[line_end] > blanks[line_start]
-    line_of = line_of[worded]
-    keys = K.mix(line_hash[worded] ^ K.mix(line_of.astype(np.uint64)))
-    _, kept = np.unique(keys, return_index=True)
-    dup_lines = np.bincount(line_of, minlength=texts) - np.bincount(line_of[kept], minlength=texts)
+    line_start, line_end, line_of, line, lines = K.words(raw, at, outside=newline)
+    worded = upto[line_end] > upto[line_start]
+    line_of, line = line_of[worded], line[worded]
+    distinct = np.unique(line_of * max(len(lines), 1) + line) // max(len(lines), 1)
+    dup_lines = np.bincount(line_of, minlength=texts) - np.bincount(distinct, minlength=texts)
     # words in windows that occur again in the same text
-    covered = np.zeros(len(hashes), bool)
-    grams = K.windows(hashes, 3)
-    if len(grams):
+    covered = np.zeros(len(codes), bool)
+    if len(codes) > 2:
         whole = np.flatnonzero(of[2:] == of[:-2])
-        twice = whole[repeated(K.mix(grams[whole] ^ K.mix(of[whole].astype(np.uint64))))]
+        twice = whole[repeated(triples(codes, len(vocabulary))[whole], of[whole])]
         for k in range(3):
             covered[twice + k] = True
     counts = {
         "n_words": np.bincount(of, minlength=texts),
-        "word_chars": chars,
+        "word_chars": np.diff(upto[at]),
         "n_symbols": tally(np.flatnonzero(SYMBOLS[raw])),
         "n_dup_lines": dup_lines,
         "n_repeat_words": np.bincount(of[covered], minlength=texts),
     }
-    return counts, (starts, ends, of, hashes)
+    return counts, (of, codes, vocabulary)
 
 
 def judge(fertility: Fertility, text: pa.Array, lang: pa.Array, bands: Mapping[str, tuple[float, float, float, float]]) -> tuple[dict[str, np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
     """Counts, measures, base verdict and verdict of a slice of texts."""
     raw, at = utf8(strings(text))
     counts, words = base_counts(raw, at)
-    tokens, byte_tokens, entropy = fertility.measure(raw, *words, len(text))
+    tokens, byte_tokens, entropy = fertility.measure(*words, len(text))
     some = np.maximum(tokens, 1)
     per, share = counts["word_chars"] / some, byte_tokens / some
-    low, high, most, least = np.array([bands.get(x or DEFAULT, bands[DEFAULT]) for x in lang.to_pylist()]).T
+    default = bands.get(DEFAULT, BANDS[DEFAULT])
+    low, high, most, least = np.array([bands.get(x or DEFAULT, default) for x in lang.to_pylist()], float).reshape(-1, 4).T
     failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED * counts["n_words"])
     kept = ~failed & (per >= low) & (per <= high) & (share <= most) & (entropy >= least)
     return counts, [per, share, entropy], failed, kept
@@ -173,7 +186,7 @@ def quality_rules(docs: DataFrame, vocabulary: str, bands: Mapping[str, tuple[fl
     bands = dict(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fertility = Fertility(vocabulary)
+        fertility = fertility_of(vocabulary)
         for part in slices(batches, "text"):
             counts, measures, failed, kept = judge(fertility, part.column("text"), part.column("lang"), bands)
             yield pa.RecordBatch.from_arrays(
@@ -190,7 +203,7 @@ def keep_quality(docs: DataFrame, vocabulary: str, bands: Mapping[str, tuple[flo
     bands = dict(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fertility = Fertility(vocabulary)
+        fertility = fertility_of(vocabulary)
         for part in slices(batches, text_col):
             yield part.filter(pa.array(judge(fertility, part.column(text_col), part.column(lang_col), bands)[3]))
 

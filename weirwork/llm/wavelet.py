@@ -20,7 +20,9 @@ import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import checkpoint_dir, cut, ids_back, ids_of, partitions, slices, strings
+from .common import checkpoint_dir, cut, ids_back, ids_of, partitions, slices, strings, utf8
 
 MAGIC = b"WWM1"
 BLOCK = 1 << 13  # bytes of a plane in a block
 SHARD_BYTES = 16 << 20  # of the scanned input, for each shard
 MEMO_WORDS = 500_000
+LINES = 20_000  # pieces that the library gets in one text
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -212,6 +215,29 @@ class WaveletFile:
         return self.symbols[codes] if self.n else self.symbols
 
 
+def split_special(raw: np.ndarray, at: np.ndarray, special: Mapping[str, int], cut: re.Pattern[bytes] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """The texts cut at special tokens, which leave empty parts: bytes, offsets of the parts, the text of each, and (part, id) of the special ones."""
+    data = raw.tobytes()
+    if cut is None or cut.search(data) is None:
+        return raw, at, np.arange(len(at) - 1), []
+    parts: list[bytes] = []
+    of, marked = [], []
+    for i, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        for k, part in enumerate(cut.split(data[s:e])):
+            if k % 2:
+                marked.append((len(parts), special[part.decode()]))
+                part = b""
+            parts.append(part)
+            of.append(i)
+    bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+    return np.frombuffer(b"".join(parts), np.uint8), bounds, np.array(of, np.int64), marked
+
+
+def special_pattern(special: Iterable[str]) -> re.Pattern[bytes] | None:
+    longest_first = sorted((re.escape(t.encode()) for t in special), key=len, reverse=True)
+    return re.compile(b"(" + b"|".join(longest_first) + b")") if longest_first else None
+
+
 class PieceCoder:
     """Ids of texts by the tokenizers library, each distinct piece encoded once while it is remembered."""
 
@@ -226,73 +252,70 @@ class PieceCoder:
         self.tokenizer.no_padding()
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.tokenizer.encode_special_tokens = True  # they are cut out before
-        self.cut = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
-        self.memo = K.Memo(MEMO_WORDS)
+        self.cut = special_pattern(self.special)
+        self.memo = K.Memo(MEMO_WORDS, np.uint32)
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.newline = line[0] if len(line) == 1 else None
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece. Pieces go to the library in lines of one text: a newline between them is a
-        piece of its own there, and no other piece has its id."""
-        out: list[bytes | None] = [None] * len(pieces)
-        inline = [i for i, p in enumerate(pieces) if not p.isspace()] if self.newline is not None else []
-        for k in range(0, len(inline), 20_000):
-            part = inline[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([pieces[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and the ids. Pieces go to the library in lines of one text: a newline
+        between them is a piece of its own there, and no other piece has its id."""
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        sizes = np.zeros(len(pieces), np.int64)
+        blank = np.fromiter(map(str.isspace, pieces), bool, len(pieces))
+        inline = np.flatnonzero(~blank) if self.newline is not None else np.zeros(0, np.int64)
+        alone = np.flatnonzero(blank).tolist() if self.newline is not None else list(range(len(pieces)))
+        order, runs = [], []
+        for k in range(0, len(inline), LINES):
+            part = inline[k : k + LINES]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([pieces[i] for i in part.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(ids == self.newline)
             if len(stops) != len(part) - 1:
-                continue  # not as expected: piece by piece below
-            start = 0
-            for i, stop in zip(part, [*stops.tolist(), len(ids)], strict=True):
-                out[i] = ids[start:stop].tobytes()
-                start = stop + 1
-        rest = [i for i, c in enumerate(out) if c is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32).tobytes()
-        return out
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (unsigned 32-bit) and how many each text has."""
-        parts, of, marked = [], [], []
-        for i, text in enumerate(texts):
-            if self.cut is not None and "<|" in text:
-                for k, part in enumerate(self.cut.split(text)):
-                    if k % 2:
-                        marked.append((len(parts), self.special[part]))
-                        part = ""
-                    parts.append(part)
-                    of.append(i)
-            else:
-                parts.append(text)
-                of.append(i)
-        joined, cp, at = K.codepoints(parts)
-        starts, lengths = K.gpt_pieces(cp, at)
-        unique, first, which = np.unique(K.run_hashes(K.codepoint_table()[cp], lengths), return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        coded = self.memo.get_all(keys)
-        missing = [i for i, c in enumerate(coded) if c is None]
-        if missing:
-            begin, size = starts[first].tolist(), lengths[first].tolist()
-            fresh = self.encode_pieces([joined[begin[i] : begin[i] + size[i]] for i in missing])
-            for i, c in zip(missing, fresh, strict=True):
-                coded[i] = c
-                self.memo.put(keys[i], c)
-        segment = K.owners(at, starts)
+                alone += part.tolist()  # not as expected: piece by piece below
+                continue
+            sizes[part] = np.diff(np.concatenate([[-1], stops, [len(ids)]])) - 1
+            order.append(part)
+            runs.append(ids[ids != self.newline])
+        if alone:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False)]
+            sizes[alone] = [len(x) for x in got]
+            order.append(np.array(alone, np.int64))
+            runs.append(np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got))))
+        if not order:
+            return sizes, np.zeros(0, np.uint32)
+        # back in the order of the pieces
+        order, flat = np.concatenate(order), np.concatenate(runs)
+        begin = np.zeros(len(pieces), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return sizes, flat[K.spread(begin, sizes)]
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (unsigned 32-bit) of the texts (UTF-8 bytes and offsets), and how many each text has."""
+        texts = len(at) - 1
+        raw, at, of, marked = split_special(raw, at, self.special, self.cut)
+        cp, first = K.codepoints(raw)
+        starts, _ = K.gpt_pieces(cp, at if first is None else np.searchsorted(first, at))
+        starts = starts if first is None else first[starts]
+        which, distinct = K.dictionary(raw, np.append(starts, len(raw)))
+        begin, size, flat = self.memo.get(distinct.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist(), self.encode_pieces)
+        begin, size = begin[which], size[which]
         if marked:
-            which = np.concatenate([which, np.arange(len(marked)) + len(coded)])
-            segment = np.concatenate([segment, [s for s, _ in marked]])
-            coded += [np.array([i], np.uint32).tobytes() for _, i in marked]
+            flat = np.concatenate([flat, np.array([i for _, i in marked], np.uint32)])
+            segment = np.concatenate([K.owners(at, starts), [s for s, _ in marked]])
             order = np.argsort(segment, kind="stable")
-            which, segment = which[order], segment[order]
-        size = np.fromiter((len(c) // 4 for c in coded), np.int64, len(coded))
-        flat = np.frombuffer(b"".join(coded), np.uint32)
-        begin = np.cumsum(size) - size
-        per = size[which]
-        total = int(per.sum())
-        # the ids of every piece, copied from the list of distinct pieces
-        take = np.arange(total) + np.repeat(begin[which] - (np.cumsum(per) - per), per)
-        counts = np.bincount(np.asarray(of, np.int64)[segment], weights=per, minlength=len(texts)).astype(np.int64) if len(which) else np.zeros(len(texts), np.int64)
-        return flat[take], counts
+            begin = np.concatenate([begin, len(flat) - len(marked) + np.arange(len(marked))])[order]
+            size = np.concatenate([size, np.ones(len(marked), np.int64)])[order]
+            counts = np.bincount(of[segment[order]], weights=size, minlength=texts).astype(np.int64)
+        else:
+            before = np.concatenate([[0], np.cumsum(size)])
+            counts = np.diff(before[np.searchsorted(starts, at)])
+        return flat[K.spread(begin, size)], counts
+
+
+@cache
+def piece_coder(path: str) -> PieceCoder:
+    """One a process: workers that take several tasks keep what they have learnt."""
+    return PieceCoder(path)
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -317,17 +340,15 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     spread = keyed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, ids, doc_ids, lengths, shard = PieceCoder(tokenizer_path), [], [], [], None
+        coder, ids, doc_ids, lengths, shard = piece_coder(tokenizer_path), [], [], [], None
         for part in slices(batches, "text"):
             shard = part.column("shard")[0].as_py()
-            texts = strings(part.column("text")).to_pylist()
-            got, counts = coder.encode(texts)
+            got, counts = coder.encode(*utf8(strings(part.column("text"))))
             doc_ids.append(ids_of(part.column("doc_id")))
             lengths.append(counts + 1)
             ids.append(np.insert(got, np.cumsum(counts), np.uint32(end_id)))
         if shard is None:
             return
-        coder.memo = None
         data = build(np.concatenate(ids), np.concatenate(doc_ids), n := np.concatenate(lengths))
         fs, top = _store(folder)
         fs.create_dir(top, recursive=True)
