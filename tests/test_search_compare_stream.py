@@ -52,9 +52,9 @@ def test_nearest_in_blocks_equals_brute_force(spark, monkeypatch):
 
 
 def test_queries_are_not_broadcast(spark):
-    plan = Q.QUERIES["search_nearest_twentieth"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = Q.QUERIES["search_nearest"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
-    found = Q.QUERIES["search_nearest_twentieth"](spark, SMALL).select("query_id").distinct().count()
+    found = Q.QUERIES["search_nearest"](spark, SMALL).select("query_id").distinct().count()
     assert found == spark.read.parquet(f"{SMALL}/embeddings.parquet").filter("vec_id % 20 = 0").count() == 25
 
 

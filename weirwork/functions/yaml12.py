@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -46,12 +47,21 @@ _Loader.add_constructor("tag:yaml.org,2002:int", _integer)
 _Loader.add_constructor("tag:yaml.org,2002:map", _mapping)
 
 
+def _plain(value):
+    """Infinite numbers and nan as null, as JSON writers give them."""
+    if isinstance(value, float) and not math.isfinite(value):
+        return None
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, list) else value
+
+
 def to_json(text: str | None) -> tuple[str | None, str | None]:
     """The document as JSON text, and the error if it is not one document of YAML."""
     if text is None:
         return None, None
     try:
-        return json.dumps(yaml.load(text, Loader=_Loader), ensure_ascii=False), None  # noqa: S506
+        return json.dumps(_plain(yaml.load(text, Loader=_Loader)), ensure_ascii=False, allow_nan=False), None  # noqa: S506
     except (yaml.YAMLError, ValueError, TypeError) as e:
         return None, str(e).split("\n")[0]
 

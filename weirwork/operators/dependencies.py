@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import parse_version
 
 ROOT = "package.json"
+# The wording of the messages below is part of the results.
 
 
 def all_declarations(manifests: DataFrame, root: str = ROOT) -> DataFrame:

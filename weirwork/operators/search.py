@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
+from ..sources.scratch import cut
+
 K1, B, DIGITS = 1.2, 0.75, 6
 BLOCK = 4096  # vectors of a block
 LANE_BLOCKS = 8  # blocks of vectors that a task compares with one block of queries
@@ -45,11 +47,12 @@ def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def bm25(docs: DataFrame, terms: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every document that has a query term.
 
-    One pass: each text is tokenised once, and only the query's terms leave the scan.
+    Each text is tokenised once: lengths and the counts of the query's terms are written to the
+    shared folder, and both the statistics and the scores come from there.
     """
     wanted = list(dict.fromkeys(terms))
     toks = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("toks"))
-    counted = toks.select("doc_id", F.size("toks").alias("n_tokens"), *(F.size(F.filter("toks", _equals(t))).alias(f"tf_{i}") for i, t in enumerate(wanted)))
+    counted = cut(toks.select("doc_id", F.size("toks").alias("n_tokens"), *(F.size(F.filter("toks", _equals(t))).alias(f"tf_{i}") for i, t in enumerate(wanted))))
     stats = counted.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"), *(F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(wanted))))
     both = counted.filter(" OR ".join(f"tf_{i} > 0" for i in range(len(wanted)))).join(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
@@ -172,12 +175,18 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
 
 def hybrid(lexical: DataFrame, semantic: DataFrame, alpha: float = 0.5) -> DataFrame:
     """doc_id and score: alpha times the semantic score plus the rest times the lexical one over its maximum."""
+    lexical = cut(lexical)  # its maximum and its rows
     most = lexical.agg(F.max("score").alias("most"))
     scaled = lexical.join(F.broadcast(most)).select("doc_id", F.when(F.col("most") > 0, F.col("score") / F.col("most")).otherwise(0.0).alias("lex"))  # most is one row
     both = semantic.select("doc_id", F.col("score").alias("sem")).join(scaled, "doc_id", "full_outer")
     return both.select("doc_id", F.round(alpha * F.coalesce("sem", F.lit(0.0)) + (1 - alpha) * F.coalesce("lex", F.lit(0.0)), DIGITS).alias("score"))
 
 
+def search(lexical: DataFrame, semantic: DataFrame | None, k: int, use_vectors: bool = True, alpha: float = 0.5) -> DataFrame:
+    """The k best documents: of both scores, or of the lexical one alone if vectors are switched off or absent."""
+    return top(hybrid(lexical, semantic, alpha) if use_vectors and semantic is not None else lexical, k)
+
+
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, position and text of the non-empty lines of every document."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("position", "section"))

@@ -53,6 +53,7 @@ def coverage(units: DataFrame, assigned: DataFrame, column: str = "unit_id") ->
     return missing.unionByName(a.join(u, column, "left_anti").select(F.lit("unknown").alias("kind"), column))
 
 
+# The wording of the message is part of the result.
 def coverage_message(found: DataFrame, column: str = "unit_id") -> DataFrame:
     """One row: the report line with both lists in code-unit order, 'none' for an empty one."""
     part = lambda kind: F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col(column).cast("string")))), ", "), F.lit("")), F.lit("none"))

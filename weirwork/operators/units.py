@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors, join_path
-
-SHARED = "_assets"
+from ..sources.files import SHARED
 
 
 def classify_entries(entries: DataFrame) -> DataFrame:
-    """entries with verdict: skip, link, not_dir, shared or unit; hidden names first, then links, then kinds."""
+    """entries with verdict: skip, link, not_dir, shared or unit; hidden names first, then links (of both kinds), then kinds."""
     verdict = (
         F.when(F.startswith("name", F.lit(".")), "skip")
-        .when(F.col("kind") == "link", "link")
+        .when(F.col("kind").isin("link", "dirlink"), "link")
         .when(F.col("kind") != "dir", "not_dir")
         .when(F.col("name") == SHARED, "shared")
         .otherwise("unit")
@@ -23,8 +22,31 @@ def classify_entries(entries: DataFrame) -> DataFrame:
 
 
 def buildable(entries: DataFrame) -> DataFrame:
-    """Directories whose names start with neither a dot nor an underscore: tier, name, path."""
-    return entries.filter((F.col("kind") == "dir") & ~F.startswith("name", F.lit(".")) & ~F.startswith("name", F.lit("_"))).select("tier", "name", "path")
+    """Directories, also linked ones, whose names start with neither a dot nor an underscore: tier, name, path."""
+    return entries.filter(F.col("kind").isin("dir", "dirlink") & ~F.startswith("name", F.lit(".")) & ~F.startswith("name", F.lit("_"))).select("tier", "name", "path")
+
+
+def built(units: DataFrame, tiers: DataFrame) -> DataFrame:
+    """place (from 0) and line of the report of a build: tier by tier, names in code-unit order, then the total.
+
+    units: tier, name; tiers: tier, ordinal. Places come from counts per tier and a numbering within each.
+    """
+    order = units.join(tiers.select("tier", "ordinal"), "tier")
+    counts = order.groupBy("ordinal").agg(F.count("*").alias("n"))
+    before = counts.select("ordinal", F.coalesce(F.sum("n").over(Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row a tier
+    within = F.row_number().over(Window.partitionBy("ordinal").orderBy("name"))
+    lines = order.join(before, "ordinal").select((F.col("base") + within - 1).alias("place"), F.concat(F.lit("Built "), "name").alias("line"))
+    total = order.agg(F.count("*").alias("n")).select(F.col("n").alias("place"), F.concat(F.lit("Built "), F.col("n").cast("string"), F.lit(" units")).alias("line"))
+    return lines.unionByName(total)
+
+
+def parity(features: DataFrame, unit: str = "unit", feature: str = "feature") -> DataFrame:
+    """feature, n_with, n_without and the units without it, of features that some units have and others lack."""
+    have = features.select(F.col(unit).alias("unit"), F.col(feature).alias("feature")).distinct()
+    units = have.select("unit").distinct()
+    some = have.groupBy("feature").agg(F.count("*").alias("n_with")).join(units.agg(F.count("*").alias("n")))  # one row a side of few features
+    lacking = some.filter("n_with < n").join(units).join(have, ["unit", "feature"], "left_anti")
+    return lacking.groupBy("feature", "n_with").agg(F.count("*").alias("n_without"), F.array_sort(F.collect_list("unit")).alias("without"))
 
 
 def irregular(entries: DataFrame) -> DataFrame:

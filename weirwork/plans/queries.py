@@ -20,7 +20,6 @@ from .tables import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TERMS = ("rewh", "ononst", "thth")
-QUERY_VECTORS = 5
 
 
 def query(sql: str | None = None):
@@ -317,24 +316,11 @@ def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.postings(table(spark, sf_dir, "documents"))
 
 
-NEAREST = f"""
-vec AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-scored AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM vec q, vec d WHERE q.vec_id < {QUERY_VECTORS} AND q.vec_id <> d.vec_id)
-"""
-
-
-@query(f"WITH {NEAREST} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored QUALIFY rank <= 3")
-def search_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest vectors of five stated query vectors, against all vectors."""
-    vectors = table(spark, sf_dir, "embeddings")
-    return S.nearest(vectors.filter(F.col("vec_id") < QUERY_VECTORS), vectors, 3)
-
-
 @query("""
 WITH vec AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 scored AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM vec q, vec d WHERE q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored QUALIFY rank <= 3""")
-def search_nearest_twentieth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def search_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest vectors of every vector whose id is divisible by 20, against all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
     return S.nearest(vectors.filter(F.col("vec_id") % 20 == 0), vectors, 3)
@@ -351,7 +337,7 @@ def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     near = vectors.filter("vec_id = 0").select(F.col("embedding").alias("query"))
     semantic = vectors.join(F.broadcast(near)).select(F.col("vec_id").alias("doc_id"), F.round(S.cosine(F.col("embedding"), F.col("query")), S.DIGITS).alias("score"))
-    return S.top(S.hybrid(S.bm25(table(spark, sf_dir, "documents"), TERMS), semantic, 0.5), 10)
+    return S.search(S.bm25(table(spark, sf_dir, "documents"), TERMS), semantic, 10)
 
 
 @query("""

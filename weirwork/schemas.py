@@ -15,11 +15,4 @@ def _strings(*names: str) -> T.StructType:
 MANIFEST = T.StructType([T.StructField(n, _versions) for n in ("dependencies", "devDependencies", "overrides")])
 DECLARATION = _strings("manifest", "name", "spec", "version")
 LATEST = T.StructType([T.StructField("name", T.StringType()), T.StructField("http_status", T.IntegerType()), T.StructField("version", T.StringType())])
-DIR_ENTRY = _strings("tier", "path", "name", "kind")  # kind: file, dir, link, other
-ASSIGNMENT = T.StructType([*_strings("unit_id", "domain_id", "category_id"), T.StructField("tags", T.ArrayType(T.StringType()))])
-DOMAIN = T.StructType([*_strings("domain_id", "label", "description"), T.StructField("ord", T.IntegerType())])
-CATEGORY = T.StructType([*_strings("domain_id", "category_id", "label", "description"), T.StructField("ord", T.IntegerType())])
-VIOLATION = T.StructType(
-    [T.StructField("phase", T.IntegerType()), T.StructField("tier_ordinal", T.IntegerType()), T.StructField("entry", T.StringType()), T.StructField("check_ordinal", T.IntegerType()), T.StructField("message", T.StringType())]
-)
-TIER_SUMMARY = T.StructType([T.StructField("tier", T.StringType()), T.StructField("present", T.BooleanType()), T.StructField("releaseUnitCount", T.LongType())])
+DIR_ENTRY = _strings("tier", "path", "name", "kind")  # kind: file, dir, link, dirlink (a link to a directory), other

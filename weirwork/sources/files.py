@@ -3,21 +3,46 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import frontmatter, join_path
+from ..functions.text import frontmatter
 from ..functions.yaml12 import yaml_to_json
 from ..schemas import DIR_ENTRY, MANIFEST
 
 PRUNED = ("node_modules", ".git", "dist")
+SHARED = "_assets"
 
 
-def read_manifests(spark: SparkSession, *globs: str) -> DataFrame:
-    """manifest (path) and its three version maps, by a declared schema. Explicit globs reach dot-directories."""
-    return spark.read.schema(MANIFEST).json(list(globs), multiLine=True).select(F.col("_metadata.file_path").alias("manifest"), "dependencies", "devDependencies", "overrides")
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme, relative ones below the working directory."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
+def below(path: Column, root: str) -> Column:
+    """Paths as Spark's readers give them, relative to a qualified root; what is not below it stays whole."""
+    plain = F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    top = re.sub("^file:/+", "/", root).rstrip("/") + "/"
+    return F.when(F.startswith(plain, F.lit(top)), F.substring(plain, len(top) + 1, 1 << 30)).otherwise(plain)
+
+
+def _at(root: str, globs: Iterable[str]) -> list[str]:
+    return [g if "://" in g or g.startswith(("/", "file:")) else f"{root.rstrip('/')}/{g}" for g in globs]
+
+
+def read_manifests(spark: SparkSession, *globs: str, root: str = ".") -> DataFrame:
+    """manifest (path relative to the root, which globs are relative to too) and its three version maps, by a declared schema.
+
+    Explicit globs reach dot-directories. The root's own manifest is named as dependencies.ROOT says.
+    """
+    top = qualified(spark, root)
+    found = spark.read.schema(MANIFEST).json(_at(top, globs), multiLine=True)
+    return found.select(below(F.col("_metadata.file_path"), top).alias("manifest"), "dependencies", "devDependencies", "overrides")
 
 
 def read_documents(spark: SparkSession, *globs: str) -> DataFrame:
@@ -39,40 +64,54 @@ def read_frontmatter(docs: DataFrame) -> DataFrame:
     return parsed.select("path", F.try_variant_get(document, "$.name", "variant").alias("name"), F.try_variant_get(document, "$.description", "variant").alias("description"), error.alias("error"))
 
 
-def walk(root: str, tier: str, prune: Iterable[str] = PRUNED) -> Iterator[tuple[str, str, str, str]]:
-    """(tier, path below the root, name, kind) of everything below a root, links not followed, pruned folders left out."""
-    skip = set(prune)
-    stack = [""]
+def _kind(path: str) -> str:
+    """file, dir, other, link, or dirlink for a link to a directory."""
+    if os.path.islink(path):
+        return "dirlink" if os.path.isdir(path) else "link"
+    return "dir" if os.path.isdir(path) else "file" if os.path.isfile(path) else "other"
+
+
+def walk(root: str, tier: str, top: str, prune: Iterable[str] = PRUNED) -> Iterator[tuple[str, str, str, str]]:
+    """(tier, path below the root, name, kind) of one entry of a tier and of everything below it; links are not followed.
+
+    Pruned folders are left out below a unit only: a unit may have such a name, and in the shared
+    folder everything counts.
+    """
+    skip = () if top == SHARED else tuple(prune)
+    stack = [top]
     while stack:
-        below = stack.pop()
-        with os.scandir(os.path.join(root, below)) as entries:
-            for e in sorted(entries, key=lambda e: e.name):
-                if e.name in skip:
-                    continue
-                kind = "link" if e.is_symlink() else "dir" if e.is_dir() else "file" if e.is_file() else "other"
-                path = f"{below}/{e.name}" if below else e.name
-                yield tier, path, e.name, kind
-                if kind == "dir":
-                    stack.append(path)
+        here = stack.pop()
+        kind = _kind(os.path.join(root, here))
+        yield tier, here, here.rsplit("/", 1)[-1], kind
+        if kind == "dir":
+            stack += [f"{here}/{name}" for name in sorted(os.listdir(os.path.join(root, here)), reverse=True) if name not in skip]
 
 
 def list_tiers(spark: SparkSession, root: str, tiers: Iterable[str], prefix: str = ".", prune: Iterable[str] = PRUNED) -> tuple[DataFrame, DataFrame]:
-    """Tiers (tier, ordinal, present, kind) and all entries of those that are there."""
-    known, rows = [], []
+    """Tiers (tier, ordinal, present, kind) and all entries of those that are there.
+
+    The driver only looks at the tiers and their direct entries; each of these is walked by a task,
+    so what it holds is one row a unit. The folder must be one that all executors share.
+    """
+    known, tops = [], []
     for i, tier in enumerate(tiers):
         path = os.path.join(root, prefix + tier)
         there = os.path.lexists(path)
         kind = ("link" if os.path.islink(path) else "dir" if os.path.isdir(path) else "other") if there else None
         known.append((tier, i, there, kind))
         if kind == "dir":
-            rows += walk(path, tier, prune)
-    return spark.createDataFrame(known, "tier string, ordinal int, present boolean, kind string"), spark.createDataFrame(rows, DIR_ENTRY)
+            tops += [(tier, path, name) for name in os.listdir(path)]
+    skip = tuple(prune)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for tier, path, name in part.itertuples(index=False):
+                yield pd.DataFrame(list(walk(path, tier, name, skip)), columns=["tier", "path", "name", "kind"])
+
+    listed = spark.createDataFrame(tops, "tier string, root string, name string").repartition(max(1, min(len(tops), spark.sparkContext.defaultParallelism * 4)), "tier", "name")
+    return spark.createDataFrame(known, "tier string, ordinal int, present boolean, kind string"), listed.mapInPandas(run, DIR_ENTRY)
 
 
 def read_bytes(spark: SparkSession, *globs: str) -> DataFrame:
     """path, size and content of each file."""
     return spark.read.format("binaryFile").load(list(globs)).select("path", F.col("length").alias("size"), "content")
-
-
-def entry_paths(entries: DataFrame, root: str) -> DataFrame:
-    return entries.withColumn("full_path", join_path(F.lit(root), F.col("tier"), F.col("path")))

@@ -1,4 +1,14 @@
-"""An inverted index that grows by micro-batches: only documents whose version is new are indexed."""
+"""An inverted index that grows by micro-batches: only documents whose version is new are indexed.
+
+An index folder holds `postings` and the much smaller `versions` (doc_id, version, batch), a part for
+each batch of the one stream that feeds it. A batch counts once its versions are written, after its
+postings; writing it again changes nothing. Compaction keeps versions, as of a batch before all
+others, so a new stream may go on from a compacted index.
+
+Defined cases: of several rows of one document in a batch the last by the order column counts, and
+without one, or in ties, that of the greatest text. A null text is an empty one; a document without
+terms has a version and no postings, and its older postings give way. Rows without an id are left out.
+"""
 
 from __future__ import annotations
 
@@ -8,48 +18,61 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.search import postings
 
+POSTINGS = "term string, doc_id long, tf long, batch long"
+VERSIONS = "doc_id long, version string, batch long"
+COMPACTED = -1  # the batch of compacted rows, before any of a stream
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.withColumn("version", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("doc_id", F.col(id_col).cast("long"))
+
+def _read(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    path, fs = _path(spark, f"{folder}/{name}")
+    return spark.read.schema(schema).parquet(f"{folder}/{name}") if fs.exists(path) else spark.createDataFrame([], schema)
+
+
+def newest(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, version and batch of the newest version of each document."""
+    return _read(spark, folder, "versions", VERSIONS).groupBy("doc_id").agg(F.max_by("version", "batch").alias("version"), F.max("batch").alias("batch"))
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """The postings of the newest batch of each document: term, doc_id, tf."""
-    rows = spark.read.schema("term string, doc_id long, tf long, version long, batch long").parquet(f"{folder}/postings")
-    newest = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["doc_id", "batch"]).select("term", "doc_id", "tf").filter("term IS NOT NULL")
+    """The postings of the newest version of each document: term, doc_id, tf."""
+    live = newest(spark, folder).select("doc_id", "batch")
+    return _read(spark, folder, "postings", POSTINGS).join(live, ["doc_id", "batch"]).select("term", "doc_id", "tf")
 
 
-def upsert(batch: DataFrame, batch_id: int, folder: str) -> None:
+def upsert(batch: DataFrame, batch_id: int, folder: str, order_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Index the documents of a batch that are not indexed in this version; writing a batch twice changes nothing."""
     spark = batch.sparkSession
-    fresh = versions(batch).dropDuplicates(["doc_id", "version"])
-    try:
-        held = spark.read.parquet(f"{folder}/postings").filter(F.col("batch") != batch_id).groupBy("doc_id").agg(F.max_by("version", "batch").alias("version"))
-        fresh = fresh.join(held, ["doc_id", "version"], "left_anti")
-    except Exception as e:  # the first batch finds no index
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    fresh = fresh.select("doc_id", "version", "text")
-    # a document without terms keeps a row, so that its older postings give way
-    rows = fresh.select("doc_id", "version").join(postings(fresh), "doc_id", "left").withColumn("batch", F.lit(batch_id).cast("long"))
-    rows.select("term", "doc_id", F.col("tf").cast("long").alias("tf"), "version", "batch").write.mode("overwrite").parquet(f"{folder}/postings/part={batch_id}")
+    place = F.struct(F.col(order_col) if order_col else F.lit(0), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    last = batch.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(place)["text"].alias("text"))
+    last = last.withColumn("version", F.md5(F.col("text").cast("binary")))
+    held = _read(spark, folder, "versions", VERSIONS).filter(F.col("batch") != batch_id).groupBy("doc_id").agg(F.max_by("version", "batch").alias("version"))
+    fresh = last.join(held, ["doc_id", "version"], "left_anti")
+    number = F.lit(batch_id).cast("long").alias("batch")
+    postings(fresh).select("term", "doc_id", F.col("tf").cast("long").alias("tf"), number).write.mode("overwrite").parquet(f"{folder}/postings/part={batch_id}")
+    fresh.select("doc_id", "version", number).write.mode("overwrite").parquet(f"{folder}/versions/part={batch_id}")
 
 
 def clear(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, fs = _path(spark, folder)
+    fs.delete(path, True)
 
 
 def compact(spark: SparkSession, folder: str, target: str, parts: int) -> None:
-    """Rewrite the live postings into a few files, dealt by term."""
-    read_index(spark, folder).withColumn("version", F.lit(0).cast("long")).withColumn("batch", F.lit(0).cast("long")).repartition(parts, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{target}/postings/part=0")
+    """Write the live postings into a few files of another folder, dealt by term, with the newest versions; also a backup."""
+    number = F.lit(COMPACTED).cast("long").alias("batch")
+    rows = read_index(spark, folder).select("term", "doc_id", "tf", number)
+    rows.repartition(parts, "term").sortWithinPartitions("term", "doc_id").write.mode("error").parquet(f"{target}/postings/part={COMPACTED}")
+    newest(spark, folder).select("doc_id", "version", number).repartition(parts, "doc_id").write.mode("error").parquet(f"{target}/versions/part={COMPACTED}")
 
 
 def index_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """One row about the live index: documents (until compaction also those without terms), terms, postings and occurrences."""
-    rows = spark.read.schema("term string, doc_id long, tf long, version long, batch long").parquet(f"{folder}/postings")
-    held = rows.agg(F.count_distinct("doc_id").alias("documents"))
+    """One row about the live index: documents (also those without terms), terms, postings and occurrences."""
+    held = newest(spark, folder).agg(F.count("*").alias("documents"))
     live = read_index(spark, folder).agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("occurrences"))
     return held.crossJoin(live)  # a row each
 
@@ -59,6 +82,6 @@ def export(report: DataFrame, target: str, kind: str = "json") -> None:
     report.write.mode("error").options(**({"header": True} if kind == "csv" else {})).format(kind).save(target)
 
 
-def index_stream(docs: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def index_stream(docs: DataFrame, folder: str, checkpoint: str, order_col: str | None = None) -> StreamingQuery:
     """Keep the index up to date with a stream of documents (doc_id, text)."""
-    return docs.writeStream.foreachBatch(lambda b, i: upsert(b, i, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return docs.writeStream.foreachBatch(lambda b, i: upsert(b, i, folder, order_col)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
