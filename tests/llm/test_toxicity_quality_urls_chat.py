@@ -41,6 +41,46 @@ def test_sparse_marginals_equal_dense_ones(seed):
     assert np.allclose(got, want, atol=1e-9)
 
 
+def log_likelihood(bias, trans, weights, lengths, where, place, hits, real, label):
+    """Of labelled chains, token by token."""
+    total = 0.0
+    for d, n in enumerate(lengths):
+        score, y = np.zeros(n), np.zeros(n, int)
+        for i in np.flatnonzero(where == d):
+            score[place[i]] = weights[hits[i]][real[i]].sum()
+            y[place[i]] = int(label[i])
+        a, last, path = None, 0, 0.0
+        for t in range(n):
+            e = np.array([0.0, bias + score[t]])
+            a = e + (trans[0] if a is None else np.logaddexp.reduce(a[:, None] + trans, axis=0))
+            path += trans[last, y[t]] + e[y[t]]
+            last = y[t]
+        total += path - (np.logaddexp.reduce(a) if n else 0.0)
+    return total
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_slopes_equal_numerical_differences(seed):
+    r = np.random.default_rng(seed)
+    lengths = np.array([50, 1, 0, 8, 3, 20])
+    steps = [(0, 3), (0, 4), (0, 5), (0, 30), (0, 49), (1, 0), (3, 0), (3, 7), (5, 9), (5, 10)]
+    where, place = np.array([d for d, _ in steps]), np.array([t for _, t in steps])
+    hits, real = r.integers(0, 3, (len(steps), 2)), r.random((len(steps), 2)) < 0.7
+    label = (r.random(len(steps)) < 0.5).astype(float)
+    bias, trans, weights = float(r.normal() - 1), r.normal(size=(2, 2)), r.normal(size=3)
+    value = lambda b, t, w: log_likelihood(b, t, w, lengths, where, place, hits, real, label)
+    h = 1e-5
+    eye = np.eye(4).reshape(4, 2, 2)
+    want_t = [(value(bias, trans + h * e, weights) - value(bias, trans - h * e, weights)) / (2 * h) for e in eye]
+    want_w = [(value(bias, trans, weights + h * e) - value(bias, trans, weights - h * e)) / (2 * h) for e in np.eye(3)]
+    want_b = (value(bias + h, trans, weights) - value(bias - h, trans, weights)) / (2 * h)
+    seen = toxicity.transitions(where, place, label, lengths)
+    by_weight, by_bias, by_trans = toxicity.slopes(bias, trans, weights, where, place, hits, real, label, seen, lengths)
+    assert np.allclose(by_weight, want_w, atol=1e-5)
+    assert np.allclose(by_trans.ravel(), want_t, atol=1e-5)
+    assert abs(by_bias - want_b) < 1e-5
+
+
 def labelled(n, seed):
     rnd = random.Random(seed)
     plain = ["".join(rnd.choice("abcdefghij") for _ in range(4)) for _ in range(400)]

@@ -83,7 +83,7 @@ def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tagged = tag_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
-    return tagged.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+    return tagged.select("doc_id", "held_out", "score", "predicted", "spans")
 
 
 def op3_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,26 +1,33 @@
 """Toxic span tagging by a linear-chain conditional random field.
 
-Tokens are runs of letters, digits and bytes above 127; their features are hashes of the folded
-word and of its prefixes. Document labels are turned into token labels: in a toxic training
+Tokens are runs of letters, digits and bytes above 127; their features are 64-bit hashes of the
+folded word and of its prefixes. Document labels are turned into token labels: in a toxic training
 document, the tokens with a feature that toxic documents have far more often than others. The
-field (two states: plain, toxic) is fitted to them by gradient ascent of the conditional
-likelihood. A document's score is a logistic function of what forward-backward marginals add up
-to: their largest log odds and the log of their sum.
+field (two states: plain, toxic) is fitted to them by gradient ascent of the ridge-penalised
+conditional likelihood over all tokens: feature weights, the toxic state's bias and all four
+transition potentials, each slope being the observed less the expected count. A document's score
+is a logistic function of what forward-backward marginals add up to: their largest log odds and
+the log of their sum. Offending offsets are the runs of tokens whose marginal reaches SPAN_LIMIT.
 
 Only tokens with a weighted feature, and their neighbours, need a step of their own; all others
-share one potential, so a gap of k of them is the k-th power of one 2x2 matrix, in closed form.
-That keeps inference exact for texts of any length at the cost of a few steps.
+share one potential, so a gap of k of them is the k-th power of one 2x2 matrix, in closed form,
+and so are the expected counts within it. That keeps inference exact for texts of any length at
+the cost of a few steps.
 
 The model is fitted on at most TRAIN_DOCS labelled documents (those with the smallest hash of
-their id); it is a few thousand numbers and travels with the task.
+their id) of at most TRAIN_BYTES together, in one task of an executor; it is a few thousand
+numbers and travels with the task. Every document is scored.
 
 Defined cases: a null or empty text has no tokens and gets the score of no evidence. A null label
-is no label. Texts are scored whole. Repeated rows are scored alike. Without labelled rows of both
-kinds every score is 0. An empty table gives no rows. Extra columns are ignored.
+is no label, and so is one without an id; of several labels of one id the largest counts. A null
+id counts as held out or not like the text 'null'. Texts are scored whole. Repeated rows are scored
+alike. Without labelled rows of both kinds every score is 0. An empty table gives no rows. Extra
+columns are ignored by `tag_toxicity` and kept by `drop_toxic`.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,9 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import ids_back, ids_of, slices, strings, utf8
+from .common import NO_ID, ids_back, ids_of, slices, strings, utf8
 
 TRAIN_DOCS = 4000
+TRAIN_BYTES = 64 << 20
 CHUNK = 1 << 20
 PREFIXES = (3, 4, 5, 6)
 MIN_CONTEXTS = 4  # different words before a feature in toxic training documents (copies of one text have the same)
@@ -41,6 +49,7 @@ MIN_LIFT = 12.0  # times as frequent in toxic documents as in others, smoothed
 CHANCE = 2.0
 MAX_FEATURES = 4096
 EPOCHS = 60
+SPEED, RIDGE = 0.5, 0.05
 SPAN_LIMIT = 0.5
 #: Bytes between tokens: all of ASCII but letters and digits.
 OUTSIDE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -56,32 +65,27 @@ class Model:
     calibration: tuple[float, float, float]  # intercept, largest log odds, log of the sum
 
 
-def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, text index of the tokens, and a row of feature hashes for each (0: none)."""
-    starts, ends, of, word = K.words(raw, at, fold_case=True, outside=OUTSIDE)
-    table = K.byte_table(True)
-    grid = np.zeros((len(starts), 1 + len(PREFIXES)), U)
-    grid[:, 0] = word
-    size = ends - starts
-    if len(starts):
-        total = np.zeros(len(starts), U)
-        pad = np.concatenate([raw, np.zeros(max(PREFIXES), np.uint8)])
-        power = K.powers(max(PREFIXES))
-        for k in range(max(PREFIXES)):
-            total = total + table[pad[starts + k]] * power[k]
-            if k + 1 in PREFIXES:
-                grid[:, 1 + PREFIXES.index(k + 1)] = np.where(size > k + 1, K.mix(total ^ U(k + 1)), U(0))
-    return starts, ends, of, grid
+def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text index of the tokens, the word of each, and a row of feature hashes for each distinct word (0: none)."""
+    starts, ends, of, which, vocabulary = K.words(K.LOWER[raw], at, outside=OUTSIDE)
+    data, offsets = K.contents(vocabulary)
+    size = np.diff(offsets)
+    grid = np.zeros((len(size), 1 + len(PREFIXES)), U)
+    grid[:, 0] = K.run_hashes(data, size)
+    for i, k in enumerate(PREFIXES, 1):
+        long = np.flatnonzero(size > k)
+        heads = data[(offsets[long, None] + np.arange(k)).reshape(-1)]
+        grid[long, i] = K.mix(K.run_hashes(heads, np.full(len(long), k)) ^ U(k))
+    return starts, ends, of, which, grid
 
 
 def emissions(model: Model, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which tokens have a weighted feature, and the weights they add up to."""
-    unique, first, which = np.unique(grid[:, 0], return_index=True, return_inverse=True)  # the word decides all its features
-    rows = grid[first]
-    at = np.minimum(np.searchsorted(model.features, rows), max(len(model.features) - 1, 0))
-    hit = model.features[at] == rows if len(model.features) else np.zeros(rows.shape, bool)
-    weight = (np.where(hit, model.weights[at], 0.0) if len(model.features) else np.zeros(rows.shape)).sum(axis=1)
-    return hit.any(axis=1)[which], weight[which]
+    """Of each row of features: whether any has a weight, and what the weights add up to."""
+    if not len(model.features):
+        return np.zeros(len(grid), bool), np.zeros(len(grid))
+    at = np.minimum(np.searchsorted(model.features, grid), len(model.features) - 1)
+    hit = model.features[at] == grid
+    return hit.any(axis=1), np.where(hit, model.weights[at], 0.0).sum(axis=1)
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -89,7 +93,7 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 
 class Chain:
-    """Forward-backward over sparse steps of many texts at once."""
+    """Forward-backward over sparse steps of many texts at once. Before its first token a text is in the plain state."""
 
     def __init__(self, bias: float, trans: np.ndarray):
         self.trans = np.exp(trans - trans.max())
@@ -97,53 +101,96 @@ class Chain:
         step = self.trans * self.plain[None, :]
         values, vectors = np.linalg.eig(step)
         order = np.argsort(-values.real)
+        self.step = step / values[order[0]].real
         self.ratio = float((values[order[1]] / values[order[0]]).real)
-        vectors = vectors[:, order].real
-        inverse = np.linalg.inv(vectors)
-        self.major = np.outer(vectors[:, 0], inverse[0])
-        self.minor = np.outer(vectors[:, 1], inverse[1])
+        self.vectors = vectors[:, order].real
+        self.inverse = np.linalg.inv(self.vectors)
+        self.major = np.outer(self.vectors[:, 0], self.inverse[0])
+        self.minor = np.outer(self.vectors[:, 1], self.inverse[1])
 
     def power(self, gaps: np.ndarray) -> np.ndarray:
         """The step matrix of plain tokens to the power of each gap, up to a factor."""
         return self.major[None] + (self.ratio ** gaps)[:, None, None] * self.minor[None]
 
-    def marginals(self, of: np.ndarray, place: np.ndarray, weight: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Probability of the toxic state at the given tokens (ascending; place: index in its text of `lengths` tokens)."""
+    def _within(self, left: np.ndarray, right: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """Expected transitions into the plain tokens of gaps between given vectors."""
+        r = self.ratio
+        one, two = left @ self.vectors, right @ self.inverse.T
+        power = r**gaps
+        sums = np.empty((len(gaps), 2, 2))  # of all ways to split a gap around one transition
+        sums[:, 0, 0] = gaps
+        sums[:, 1, 1] = np.where(gaps > 0, gaps * r ** np.maximum(gaps - 1, 0), 0.0)
+        sums[:, 0, 1] = sums[:, 1, 0] = (1 - power) / (1 - r)
+        whole = one[:, 0] * two[:, 0] + power * one[:, 1] * two[:, 1]
+        weight = one[:, :, None] * sums * two[:, None, :] / whole[:, None, None]
+        return self.step * (self.inverse.T @ weight.sum(axis=0) @ self.vectors.T)
+
+    def expected(self, of: np.ndarray, place: np.ndarray, weight: np.ndarray, lengths: np.ndarray, counts: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of the toxic state at the given tokens (ascending; place: index in its text of
+        `lengths` tokens), and the expected transitions into all tokens of all texts."""
+        total = np.zeros((2, 2))
+        e0 = np.array([[1.0, 0.0]])
+        if counts:
+            empty = np.ones(len(lengths), bool)
+            empty[of] = False
+            gaps = lengths[empty & (lengths > 0)]
+            total += self._within(np.repeat(e0, len(gaps), 0), np.ones((len(gaps), 2)), gaps)
         n = len(of)
         if not n:
-            return np.zeros(0)
+            return np.zeros(0), total
         begin = np.concatenate([[True], of[1:] != of[:-1]])
         head = np.flatnonzero(begin)
-        counts = np.diff(np.append(head, n))
-        local = np.arange(n) - np.repeat(head, counts)
+        sizes = np.diff(np.append(head, n))
+        local = np.arange(n) - np.repeat(head, sizes)
         before = np.where(begin, place, place - np.concatenate([[0], place[:-1]]) - 1)  # plain tokens before
-        after = np.where(np.append(begin[1:], True), lengths[of] - place - 1, 0)
-        emit = np.stack([np.ones(n), self.plain[1] * np.exp(np.minimum(weight, 50.0))], axis=1)
-        emit = _normal(emit)
+        after = lengths[of] - place - 1
+        emit = _normal(np.stack([np.ones(n), self.plain[1] * np.exp(np.minimum(weight, 50.0))], axis=1))
         gap = self.power(before)
-        # the first token of a text follows as if after a plain one
-        start = np.tile(self.trans[0], (n, 1))
-        long = begin & (before > 0)
-        start[long] = np.einsum("j,njk,kl->nl", self.trans[0] * self.plain, self.power(before[long] - 1), self.trans)
         alpha, beta = np.zeros((n, 2)), np.ones((n, 2))
-        tail = head + counts - 1
+        tail = head + sizes - 1
         beta[tail] = _normal(self.power(after[tail]).sum(axis=2))
-        longest = int(counts.max())
         by_step = np.argsort(local, kind="stable")
-        stops = np.searchsorted(local[by_step], np.arange(longest + 1))
-        for k in range(longest):
+        stops = np.searchsorted(local[by_step], np.arange(int(sizes.max()) + 1))
+        left = np.repeat(e0, n, 0)  # the state before the gap before each step
+        for k in range(len(stops) - 1):
             i = by_step[stops[k] : stops[k + 1]]
-            if k == 0:
-                alpha[i] = _normal(start[i] * emit[i])
-            else:
-                carried = np.einsum("nj,njk,kl->nl", alpha[i - 1], gap[i], self.trans)
-                alpha[i] = _normal(carried * emit[i])
-        for k in range(longest - 1, 0, -1):
+            if k:
+                left[i] = alpha[i - 1]
+            alpha[i] = _normal(np.einsum("nj,njk,kl->nl", left[i], gap[i], self.trans) * emit[i])
+        for k in range(len(stops) - 2, 0, -1):
             i = by_step[stops[k] : stops[k + 1]]
-            back = np.einsum("kl,nl->nk", self.trans, emit[i] * beta[i])
-            beta[i - 1] = _normal(np.einsum("njk,nk->nj", gap[i], back))
+            beta[i - 1] = _normal(np.einsum("njk,kl,nl->nj", gap[i], self.trans, emit[i] * beta[i]))
         both = alpha * beta
-        return both[:, 1] / both.sum(axis=1)
+        if counts:
+            right = (emit * beta) @ self.trans.T
+            total += self._within(left, right, before) + self._within(alpha[tail], np.ones((len(tail), 2)), after[tail])
+            into = np.einsum("nj,njk->nk", left, gap)[:, :, None] * self.trans * (emit * beta)[:, None, :]
+            total += (into / into.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        return both[:, 1] / both.sum(axis=1), total
+
+    def marginals(self, of: np.ndarray, place: np.ndarray, weight: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return self.expected(of, place, weight, lengths, counts=False)[0]
+
+
+def slopes(bias: float, trans: np.ndarray, weights: np.ndarray, where: np.ndarray, place: np.ndarray, hits: np.ndarray, real: np.ndarray, label: np.ndarray, seen: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Slopes of the conditional log likelihood by the weights, the bias and the transitions.
+
+    hits, real: the features of each step and which of them are any; seen: transitions of the labels.
+    """
+    total = np.where(real, weights[hits], 0.0).sum(axis=1) if len(weights) else np.zeros(len(where))
+    p, expected = Chain(bias, trans).expected(where, place, total, lengths)
+    miss = np.broadcast_to((label - p)[:, None], hits.shape)
+    by_weight = np.bincount(hits[real], weights=miss[real], minlength=len(weights)) if len(weights) else np.zeros(0)
+    rest = seen - expected
+    return by_weight, float(rest[:, 1].sum()), rest
+
+
+def transitions(where: np.ndarray, place: np.ndarray, label: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Transitions into all tokens of labelled chains: label is that of each step, every other token is plain."""
+    bad = np.flatnonzero(label > 0)
+    pairs = np.count_nonzero((where[bad][1:] == where[bad][:-1]) & (place[bad][1:] == place[bad][:-1] + 1))
+    left = np.count_nonzero(place[bad] + 1 < lengths[where[bad]]) - pairs
+    return np.array([[lengths.sum() - len(bad) - left, len(bad) - pairs], [left, pairs]], float)
 
 
 def active_steps(of: np.ndarray, active: np.ndarray) -> np.ndarray:
@@ -185,8 +232,8 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
             size += len(texts[stop])
             stop += 1
         raw, at = utf8(strings(pa.array(texts[start:stop], pa.large_string())))
-        _, _, of, grid = tokens(raw, at)
-        yield start, stop - start, of, grid
+        _, _, of, which, grid = tokens(raw, at)
+        yield start, stop - start, of, grid[which]
         start = stop
 
 
@@ -247,24 +294,16 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model | None:
     hits = np.minimum(hits, max(len(features) - 1, 0))
     real = features[hits] == grid if len(features) else np.zeros(hits.shape, bool)
     label = (active & toxic[where]).astype(float)
-    plain_tokens = lengths.sum() - len(steps)
-    # neighbours in the text, for the transition counts
-    next_to = np.flatnonzero((where[1:] == where[:-1]) & (place[1:] == place[:-1] + 1)) if len(steps) > 1 else np.zeros(0, np.int64)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (label[next_to].astype(int), label[next_to + 1].astype(int)), 1)
-    seen[0, 0] += plain_tokens
+    seen = transitions(where, place, label, lengths)
     trans = np.log((seen + 1) / (seen + 1).sum(axis=1, keepdims=True))
     weights, bias = np.full(len(features), 1.0), -2.0
-    speed, sums = 0.5, np.zeros(len(features) + 1)
+    sums = np.zeros(len(features) + 5)
     for _ in range(EPOCHS):
-        total = np.where(real, weights[hits], 0.0).sum(axis=1) if len(features) else np.zeros(len(steps))
-        p = Chain(bias, trans).marginals(where, place, total, lengths)
-        miss = label - p  # of the likelihood by each token's potential
-        slope = np.bincount(hits[real], weights=np.repeat(miss[:, None], hits.shape[1], 1)[real], minlength=len(features)) if len(features) else np.zeros(0)
-        slope = np.append(slope - 0.05 * weights, miss.sum() - 0.05 * bias)
+        by_weight, by_bias, by_trans = slopes(bias, trans, weights, where, place, hits, real, label, seen, lengths)
+        slope = np.concatenate([by_weight, [by_bias], by_trans.ravel()]) - RIDGE * np.concatenate([weights, [bias], trans.ravel()])
         sums += slope**2
-        change = speed * slope / np.sqrt(sums + 1e-6)
-        weights, bias = weights + change[:-1], float(bias + change[-1])
+        change = SPEED * slope / np.sqrt(sums + 1e-6)
+        weights, bias, trans = weights + change[:-5], float(bias + change[-5]), trans + change[-4:].reshape(2, 2)
     total = np.where(real, weights[hits], 0.0).sum(axis=1) if len(features) else np.zeros(len(steps))
     p = Chain(bias, trans).marginals(where, place, total, lengths)
     x = np.column_stack([np.ones(len(texts)), summarise(where, p, len(texts))])
@@ -280,13 +319,40 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Fit on at most `limit` labelled documents that are not held out."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), "toxic")
-    chosen = known.groupBy("__id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id"), "__id").limit(limit)
-    found = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
-    rows = found.select("__id", "text", (F.col("toxic") == 1).alias("toxic")).toArrow().sort_by("__id")
-    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy()) if rows.num_rows else None
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """Fit on at most `limit` labelled documents that are not held out, of at most `most_bytes` together."""
+    known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), (F.col("toxic") == 1).alias("toxic"))
+    chosen = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(limit)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sizes = texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(F.xxhash64("id"), "id").collect()  # at most `limit` rows
+    taken, size = [], 0
+    for r in sizes:
+        size += r["size"]
+        if size > most_bytes:
+            break
+        taken.append((r["id"], r["toxic"]))
+    if not taken:
+        return None
+    spark = docs.sparkSession
+    rows = texts.join(F.broadcast(spark.createDataFrame(taken, "id long, toxic boolean")), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(list(batches), pa.schema([("id", pa.int64()), ("toxic", pa.bool_()), ("text", pa.large_string())])).sort_by([("id", "ascending"), ("text", "ascending")])
+        model = fit(found.column("text").to_pylist(), found.column("toxic").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    large = rows.select("id", "toxic", "text").repartition(1)
+    return pickle.loads(large.mapInArrow(_as_large(run), "model binary").first()["model"])
+
+
+def _as_large(run):
+    """Texts arrive as large strings, whatever the session's Arrow settings."""
+
+    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("id", pa.int64()), ("toxic", pa.bool_()), ("text", pa.large_string())])
+        return run(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, kind, strict=True)], schema=kind) for b in batches)
+
+    return cast
 
 
 def score_slice(model: Model | None, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
@@ -295,13 +361,10 @@ def score_slice(model: Model | None, raw: np.ndarray, at: np.ndarray) -> tuple[n
     spans: list[list[tuple[int, int, float]]] = [[] for _ in range(texts)]
     if model is None:
         return np.zeros(texts), spans
-    starts, ends, of, grid = tokens(raw, at)
+    starts, ends, of, which, grid = tokens(raw, at)
     lengths = np.bincount(of, minlength=texts)
-    if len(of):
-        active, weight = emissions(model, grid)
-        steps = active_steps(of, active)
-    else:
-        steps = weight = np.zeros(0, np.int64)
+    active, weight = emissions(model, grid)
+    steps, weight = active_steps(of, active[which]), weight[which]
     where = of[steps]
     p = Chain(model.bias, model.trans).marginals(where, steps - (np.cumsum(lengths) - lengths)[where], weight[steps], lengths)
     x = np.column_stack([np.ones(texts), summarise(where, p, texts)])
@@ -329,7 +392,7 @@ def tag_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", t
             raw, at = utf8(strings(part.column("text")))
             score, spans = score_slice(model, raw, at)
             ids = ids_of(part.column("doc_id"))
-            out = [zlib.crc32(str(i).encode()) % 5 == 0 for i in ids.tolist()]
+            out = [zlib.crc32(b"null" if i == NO_ID else str(i).encode()) % 5 == 0 for i in ids.tolist()]
             flat = [{"begin": s, "end": e, "marginal": p} for row in spans for s, e, p in row]
             kind = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())])
             stops = np.cumsum([0, *map(len, spans)])
