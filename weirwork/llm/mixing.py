@@ -7,10 +7,14 @@ but these and survives any retry. Rates above CHUNK are drawn as sums of equal P
 The copies are dealt to partitions by a second hash and sorted by it within them: a global
 shuffle without sampling.
 
+Rates of up to FEW_SOURCES sources are broadcast; of more, only those of sources with more than a
+share of all rows, and the others are joined by shuffle.
+
 Defined cases: a null source is a source of its own. A null doc_id hashes as the word null.
 Repeated rows are drawn alike, each for itself. Null and empty texts count as no characters; if a
 source (or everything) has no characters, its rate is 0. Sources without a target weight get 0.
-An empty table gives no rows. Extra columns stay, except those named like this operator's own.
+An empty table gives no rows. Extra columns stay; one of this operator's own columns gets
+underscores before its name where the documents have a column of that name already.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name, skewed_join
 
 CHUNK = 16.0
 TAIL = 80  # terms of the distribution of a part; what lies beyond is under 1e-30 for CHUNK
@@ -34,31 +38,36 @@ def hashed_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None, scale: float, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """source, mix_rate, parts, cdf: one row a source. Without weights all sources get the same."""
-    size = F.coalesce(F.length(text_col), F.lit(0)).cast("long")
-    per = docs.groupBy(F.col(source_col).alias("__source")).agg(F.sum(size).cast("double").alias("__chars"))
+def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None, scale: float, source_col: str, text_col: str) -> DataFrame:
+    """source_key, rate, parts, cdf and n_rows: one row a source. Without weights all sources get the same."""
+    size = F.coalesce(F.length(F.col(text_col)), F.lit(0)).cast("long")
+    per = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(size).cast("double").alias("chars"), F.count("*").alias("n_rows"))
     if weights is None:
-        per = per.withColumn("__w", F.lit(1.0))
+        per = per.withColumn("w", F.lit(1.0))
     else:
-        pairs = [F.when(F.col("__source").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in weights.items()]
-        per = per.withColumn("__w", F.coalesce(*pairs, F.lit(0.0)))
-    sums = per.agg(F.sum("__chars").alias("__all"), F.sum("__w").alias("__ws"))
-    rate = F.when((F.col("__chars") > 0) & (F.col("__ws") > 0), F.lit(float(scale)) * F.col("__all") * F.col("__w") / F.col("__ws") / F.col("__chars")).otherwise(F.lit(0.0))
+        pairs = [F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in weights.items()]
+        per = per.withColumn("w", F.coalesce(*pairs, F.lit(0.0)))
+    sums = per.agg(F.sum("chars").alias("all"), F.sum("w").alias("ws"))
+    rate = F.when((F.col("chars") > 0) & (F.col("ws") > 0), F.lit(float(scale)) * F.col("all") * F.col("w") / F.col("ws") / F.col("chars")).otherwise(F.lit(0.0))
     # one row is joined to the few of the sources
-    rated = per.join(F.broadcast(sums)).select("__source", rate.alias("mix_rate"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / F.lit(CHUNK))).cast("int")
-    rated = rated.withColumn("__parts", parts).withColumn("__mean", F.col("mix_rate") / F.col("__parts"))
+    rated = per.join(F.broadcast(sums)).select(_key(F.col("source")).alias("source_key"), "n_rows", rate.alias("rate"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(CHUNK))).cast("int")
+    rated = rated.withColumn("parts", parts).withColumn("mean", F.col("rate") / F.col("parts"))
     steps = F.aggregate(
         F.sequence(F.lit(1), F.lit(TAIL)),
-        F.struct(F.exp(-F.col("__mean")).alias("p"), F.array(F.exp(-F.col("__mean"))).alias("cdf")),
+        F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("cdf")),
         lambda a, k: F.struct(
-            (a["p"] * F.col("__mean") / k).alias("p"),
-            F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + a["p"] * F.col("__mean") / k)).alias("cdf"),
+            (a["p"] * F.col("mean") / k).alias("p"),
+            F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + a["p"] * F.col("mean") / k)).alias("cdf"),
         ),
         lambda a: a["cdf"],
     )
-    return rated.select("__source", "mix_rate", "__parts", steps.alias("__cdf"))
+    return rated.select("source_key", "rate", "parts", steps.alias("cdf"), "n_rows")
+
+
+def _key(source: Column) -> Column:
+    """A source as text that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
 def mix_sources(
@@ -75,20 +84,19 @@ def mix_sources(
     weights: target share of output characters by source (any scale); scale: output characters
     over input characters.
     """
-    docs = docs.drop(*OWN)
-    rates = source_rates(docs, weights, scale, id_col, source_col, text_col)
-    rates = cut(rates)
-    if rates.count() <= FEW_SOURCES:
-        rates = F.broadcast(rates)
-    joined = docs.join(rates, docs[source_col].eqNullSafe(rates["__source"]))
-    draw = lambda i: F.size(F.filter("__cdf", lambda c: c <= hashed_uniform(F.lit(seed), F.col(id_col), i)))
-    one = F.when(F.col("__parts") == 1, F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
-    more = F.aggregate(F.sequence(F.lit(0), F.col("__parts") - 1), F.lit(0), lambda a, i: a + draw(i))
-    counted = joined.withColumn("__u", hashed_uniform(F.lit(seed), F.col(id_col), F.lit(0))).withColumn("n_copies", F.coalesce(one, more))
+    copy_no, n_copies, mix_rate, shuffle_key = (free_name(docs, c) for c in OWN)
+    key, rate, parts, cdf, u = (free_name(docs, f"mixing_{c}") for c in ("key", "rate", "parts", "cdf", "u"))
+    rates = cut(source_rates(docs, weights, scale, source_col, text_col)).withColumnsRenamed({"source_key": key, "rate": rate, "parts": parts, "cdf": cdf})
+    keyed = docs.withColumn(key, _key(F.col(source_col)))
+    joined = keyed.join(F.broadcast(rates.drop("n_rows")), key) if rates.count() <= FEW_SOURCES else skewed_join(keyed, rates, [key])
+    draw = lambda i: F.size(F.filter(cdf, lambda c: c <= hashed_uniform(F.lit(seed), F.col(id_col), i)))
+    one = F.when(F.col(parts) == 1, F.size(F.filter(cdf, lambda c: c <= F.col(u))))
+    more = F.aggregate(F.sequence(F.lit(0), F.col(parts) - 1), F.lit(0), lambda a, i: a + draw(i))
+    counted = joined.withColumn(u, hashed_uniform(F.lit(seed), F.col(id_col), F.lit(0))).withColumn(n_copies, F.coalesce(one, more))
     copies = (
-        counted.filter("n_copies > 0")
-        .withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-        .withColumn("shuffle_key", hashed_uniform(F.lit(seed + 1), F.col(id_col), F.col("copy_no")))
+        counted.filter(F.col(n_copies) > 0)
+        .withColumn(copy_no, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1)))
+        .withColumn(shuffle_key, hashed_uniform(F.lit(seed + 1), F.col(id_col), F.col(copy_no)))
     )
-    spread = copies.repartition("shuffle_key", "copy_no", id_col).sortWithinPartitions("shuffle_key", id_col)
-    return spread.drop("__source", "__parts", "__cdf", "__u")
+    spread = copies.repartition(F.col(shuffle_key), F.col(copy_no), F.col(id_col)).sortWithinPartitions(shuffle_key, id_col)
+    return spread.select(*docs.columns, copy_no, n_copies, F.col(rate).alias(mix_rate), shuffle_key)
