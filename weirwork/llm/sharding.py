@@ -189,6 +189,7 @@ def minimax_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long").alias("pos"),
+            F.monotonically_increasing_id().alias("row"),  # fixed by the cut: deals repeated rows over blocks
         )
     )
     groups = cut(rows.groupBy("pos").agg(F.sum("size").alias("bytes")))
@@ -197,11 +198,11 @@ def minimax_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     for s in starts:
         shard = shard + (F.col("pos") >= F.lit(s)).cast("int")
     blocks = max(1, rows.count() // (shards * BLOCK_ROWS) + 1)
-    placed = rows.select("*", shard.alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int").alias("block"))
+    placed = rows.select("*", shard.alias("shard"), F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
     counts = placed.groupBy("shard", "block").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("shard", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("shard", "block").orderBy("pos", "doc_id")
+    within = Window.partitionBy("shard", "block").orderBy("pos", "doc_id", "row")
     return (
         placed.withColumn("rank", F.row_number().over(within) - 1)
         .join(bases, ["shard", "block"])
