@@ -124,10 +124,10 @@ def test_shards_round_trip(spark, tmp_path):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    manifest = wavelet.write_shards(docs, BYTE, str(tmp_path / "w"), shards=5)
+    manifest = wavelet.write_shards(docs, BYTE, str(tmp_path / "w"), ranges=5)
     assert manifest.count() > 1
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in wavelet.read_shards(manifest, str(tmp_path / "w")).collect()} == want
-    assert wavelet.read_shards(wavelet.write_shards(docs.limit(0), BYTE, str(tmp_path / "e"), shards=2), str(tmp_path / "e")).count() == 0
+    assert wavelet.read_shards(wavelet.write_shards(docs.limit(0), BYTE, str(tmp_path / "e"), ranges=2), str(tmp_path / "e")).count() == 0
     again = spark.createDataFrame([(None, "a"), (7, "b"), (7, "b")], "doc_id long, text string")
-    found = wavelet.read_shards(wavelet.write_shards(again, BYTE, str(tmp_path / "n"), shards=3), str(tmp_path / "n")).collect()
+    found = wavelet.read_shards(wavelet.write_shards(again, BYTE, str(tmp_path / "n"), ranges=3), str(tmp_path / "n")).collect()
     assert sorted(r["start"] for r in found) == [0, 2, 4]

@@ -45,7 +45,7 @@ def test_ids_equal_the_library(spark, tmp_path):
             assert got == {i: hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for i, x in enumerate(ids)}
         else:
             folder = str(tmp_path / "w")
-            got = {r["doc_id"]: r["ids_crc32"] for r in wavelet.read_shards(wavelet.write_shards(docs, tokenizer_file(name), folder, shards=1), folder).collect()}
+            got = {r["doc_id"]: r["ids_crc32"] for r in wavelet.read_shards(wavelet.write_shards(docs, tokenizer_file(name), folder, ranges=1), folder).collect()}
             assert got == {i: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for i, x in enumerate(ids)}
 
 

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Tables, cut, new_folder, remove  # noqa: F401  for the operators
 from .kernel import contents as utf8
 
 SLICE_BYTES = 4 << 20
@@ -40,26 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if where is None:
-        where = sc.getCheckpointDir()
-        if where is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="weirwork-"))
-            where = sc.getCheckpointDir()
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and continue from the files."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 UNKNOWN_BYTES = 1 << 52  # plans without statistics claim more than this
 
 
@@ -112,7 +93,7 @@ NO_ID = -(1 << 63)
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
-    """Ids as int64; a null becomes NO_ID."""
+    """Ids as int64; a null becomes NO_ID (and an id of that value counts as null)."""
     return pc.fill_null(column, NO_ID).to_numpy(zero_copy_only=False)
 
 

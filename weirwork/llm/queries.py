@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_digests
-from .common import table
+from .common import cut, new_folder, remove, table
 from .ego_join import near_duplicates
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
@@ -18,7 +18,7 @@ from .toxicity import tag_toxicity, train
 from .transcripts import parse_transcripts, raw_transcripts
 from .transcripts import train as train_roles
 from .url_rules import judge_urls
-from .wavelet import new_folder, read_shards, write_shards
+from .wavelet import read_shards, write_shards
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +52,12 @@ FROM counted, generate_series(0, n_copies - 1) s(j)
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of urls: those of the document whose number is the last part of the path."""
+    """Labels of urls: those of the document that the page shows (its doc_id is the last part of the path; the languages agree)."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     number = F.regexp_extract("url", r"://[^?#]*/([0-9]{1,18})(?:[./][^/?#]*)?(?:[?#].*)?\z", 1)
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("number"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
     labelled = pages.select("url", number.alias("number")).join(labels, "number").select("url", "blocked")
-    return judge_urls(pages, labelled)
+    return judge_urls(pages, labelled).withColumn("mined_confidence", F.round("mined_confidence", 6))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,9 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "wavelet")
     manifest = write_shards(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
-    return read_shards(manifest, folder)
+    digests = cut(read_shards(manifest, folder))
+    remove(spark, folder)
+    return digests
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ only the blocks they touch. The file also holds the alphabet and each document's
 Layout: MAGIC, length of the header (8 bytes, little endian), header (JSON), then the parts that
 the header names by offset and length.
 
-Defined cases: a null or empty text is the end id alone. Documents with the same id lie side by
-side in any order and each gets its own start. An empty table makes no file and no rows. Extra
-columns are ignored.
+Defined cases: a null or empty text is the end id alone. Documents without an id come first;
+documents with the same id lie side by side in any order and each gets its own start. A text is
+never cut: one longer than a shard makes its shard longer. An empty table makes no file and no
+rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import checkpoint_dir, cut, ids_back, ids_of, partitions, slices, strings, utf8
+from .common import cut, ids_back, ids_of, partitions, slices, strings, utf8
 
 MAGIC = b"WWM1"
 BLOCK = 1 << 13  # bytes of a plane in a block
-SHARD_BYTES = 16 << 20  # of the scanned input, for each shard
+SHARD_BYTES = 16 << 20  # of text in each file, at least (the last of a range: at most)
+RANGE_BYTES = 512 << 20  # of the scanned input, for each range of ids
 MEMO_WORDS = 500_000
+MOST_DENSE = 1 << 22  # ids below this are counted in an array
 LINES = 20_000  # pieces that the library gets in one text
 
 
@@ -51,7 +54,7 @@ def _unpack(b: bytes, dtype) -> np.ndarray:
 
 def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """The file of one shard. ids: unsigned 32-bit; lengths: ids of each document."""
-    symbols, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True) if len(ids) < 1 << 14 else _dense_unique(ids)
+    symbols, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True) if len(ids) < 1 << 14 or ids.max() >= MOST_DENSE else _dense_unique(ids)
     order = np.argsort(-counts, kind="stable")
     code = np.empty(len(symbols), np.uint32)
     code[order] = np.arange(len(symbols), dtype=np.uint32)
@@ -75,7 +78,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     }
     squeeze = zstandard.ZstdCompressor(level=1)
     for k in range(levels):
-        bit = ((seq >> (levels - 1 - k)) & 1).astype(bool)
+        bit = (seq & seq.dtype.type(1 << (levels - 1 - k))).astype(bool)
         packed = np.packbits(bit, bitorder="little")
         blocks, ones = [], []
         for i in range(0, len(packed), BLOCK):
@@ -324,60 +327,64 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), uri
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write one file a shard to the folder (shared by all executors), in ascending doc_id order.
+def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, ranges: int | None = None, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write files of about shard_bytes of text to the folder (shared by all executors), in ascending doc_id order.
 
-    Returns shard, path, n_docs and n_tokens of each file. A task that runs again replaces its file.
+    Rows are sorted in ranges of ids; each task streams its range and cuts a file whenever enough
+    text has come, so neither the plan nor a task's memory grows with the data, nor with rows that
+    repeat an id. Returns part, shard (a file's place within its part), path, n_docs and n_tokens of
+    each file. A task that runs again replaces its files.
     """
     spark = docs.sparkSession
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    if shards is None:
-        shards = partitions(spark, docs, SHARD_BYTES)
-    bounds = narrow.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards).alias("b")).first()["b"] if shards > 1 else None
-    bounds = sorted(set(bounds or []))
-
-    keyed = narrow.withColumn("shard", _bucket("doc_id", bounds))
-    spread = keyed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("doc_id")
+    if ranges is None:
+        ranges = partitions(spark, docs, RANGE_BYTES)
+    spread = narrow.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, ids, doc_ids, lengths, shard = piece_coder(tokenizer_path), [], [], [], None
-        for part in slices(batches, "text"):
-            shard = part.column("shard")[0].as_py()
-            got, counts = coder.encode(*utf8(strings(part.column("text"))))
-            doc_ids.append(ids_of(part.column("doc_id")))
+        from pyspark import TaskContext
+
+        coder, part, shard = piece_coder(tokenizer_path), TaskContext.get().partitionId(), 0
+        ids: list[np.ndarray] = []
+        doc_ids: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        held = 0
+
+        def write() -> pa.RecordBatch:
+            nonlocal shard, held
+            n = np.concatenate(lengths)
+            data = build(np.concatenate(ids), np.concatenate(doc_ids), n)
+            for x in (ids, doc_ids, lengths):
+                x.clear()
+            fs, top = _store(folder)
+            fs.create_dir(top, recursive=True)
+            name = f"shard-{part:06d}-{shard:04d}.wm"
+            draft = f"{top}/{name}.{uuid.uuid4().hex}"
+            with fs.open_output_stream(draft) as f:
+                f.write(data)
+            fs.move(draft, f"{top}/{name}")
+            cells = ((part, pa.int32()), (shard, pa.int32()), (name, pa.string()), (len(n), pa.int64()), (int(n.sum()), pa.int64()))
+            shard, held = shard + 1, 0
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in cells], ["part", "shard", "path", "n_docs", "n_tokens"])
+
+        for rows in slices(batches, "text"):
+            raw, at = utf8(strings(rows.column("text")))
+            got, counts = coder.encode(raw, at)
+            doc_ids.append(ids_of(rows.column("doc_id")))
             lengths.append(counts + 1)
             ids.append(np.insert(got, np.cumsum(counts), np.uint32(end_id)))
-        if shard is None:
-            return
-        data = build(np.concatenate(ids), np.concatenate(doc_ids), n := np.concatenate(lengths))
-        fs, top = _store(folder)
-        fs.create_dir(top, recursive=True)
-        path = f"{top}/shard-{shard:06d}.wm"
-        draft = f"{path}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(draft) as f:
-            f.write(data)
-        fs.move(draft, path)
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (f"shard-{shard:06d}.wm", pa.string()), (len(n), pa.int64()), (int(n.sum()), pa.int64()))], ["shard", "path", "n_docs", "n_tokens"])
-
-    return cut(spread.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long"))
-
-
-def _bucket(name: str, bounds: list[int]):
-    """How many of the ascending bounds are not above the value, by a native search of the sorted array."""
-    if not bounds:
-        return F.lit(0)
-    def descend(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col(name) >= F.lit(bounds[mid]), descend(mid + 1, high)).otherwise(descend(low, mid))
-
-    return descend(0, len(bounds)).cast("int")
+            held += len(raw)
+            if held >= shard_bytes:
+                yield write()
+        if ids:
+            yield write()
+
+    return cut(spread.mapInArrow(run, "part int, shard int, path string, n_docs long, n_tokens long"))
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     files = max(1, manifest.count())
 
@@ -394,8 +401,3 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids_back(file.doc_ids), pa.array(starts + base), pa.array(file.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed.repartition(files).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def new_folder(spark, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/weirwork-{name}-{uuid.uuid4().hex}"
