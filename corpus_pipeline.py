@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weirwork.llm.bpe import encode_digests
-from weirwork.llm.common import table
+from weirwork.llm.common import new_folder, remove, table
 from weirwork.llm.mixing import mix_sources
 from weirwork.llm.ngram_join import one_per_component
 from weirwork.llm.quality import keep_quality
 from weirwork.llm.queries import tokenizer_file
 from weirwork.llm.toxicity import drop_toxic, train
-from weirwork.llm.wavelet import new_folder
 
 ORACLE_SQL = None  # a fitted field and tokenisers are not SQL; tests compare with plain versions
 
@@ -47,8 +46,11 @@ STAGES = [("toxicity", toxicity), ("quality", quality), ("near_duplicates", near
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = new_folder(spark, "pipeline")
+    folder, before = new_folder(spark, "pipeline"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return docs
