@@ -8,9 +8,14 @@ than epsilon is skipped with all below it. Down to blocks this is a join of inte
 a pair of blocks it goes on in one task, down to leaves whose vectors are compared, first by the
 leading dimensions, then exactly in double precision.
 
-Equal vectors are one class with a number of copies. A pair of blocks gives each class's number of
-links and the edges of a spanning forest of its links, so a dense group costs rows in proportion
-to its size, not to its square.
+Surviving pairs are dealt by tiles of the blocks' triangle: a task gets each block of a tile once,
+holds the blocks of one side and streams those of the other. The number of tiles depends on the
+session, not on the data, until a side would no longer fit into HELD_BYTES, so a block is shipped
+a few times whatever the number of pairs.
+
+Vectors that agree in 128 bits of hashes are one class with a number of copies. A pair of blocks
+gives each class's number of links and the edges of a spanning forest of its links, so a dense
+group costs rows in proportion to its size, not to its square.
 
 Vectors of floats are kept and packed as floats, all others as doubles.
 
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import cut
+from .common import Tables, cut, skewed_join
 from .graph import components
 
 SAMPLE = 20_000
@@ -42,6 +47,7 @@ LEAD = 16  # leading dimensions of bounding boxes and of the first comparison
 BLOCK = 4096
 LEAF = 512
 FAN = 8
+HELD_BYTES = 512 << 20  # of the vectors that one task holds, as doubles with what is derived from them
 BOX = [f"{side}_{i}" for side in ("lo", "hi") for i in range(LEAD)]
 
 
@@ -171,7 +177,7 @@ def join_blocks(one: Side, two: Side, same: bool, cosine: float) -> tuple[np.nda
     return links_one, links_two, forest.edges
 
 
-def _blocks(classes: DataFrame, width: int, basis: np.ndarray, epsilon: float) -> DataFrame:
+def _blocks(classes: DataFrame, width: int, basis: np.ndarray, epsilon: float, tables: Tables) -> DataFrame:
     """block (number in the sequence), box of the leading dimensions, and the packed vectors."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +217,7 @@ def _blocks(classes: DataFrame, width: int, basis: np.ndarray, epsilon: float) -
     n = classes.count()
     kind = f"cls long, copies long, vector {classes.schema['vector'].dataType.simpleString()}"
     order = classes.select("cls", "copies", "vector").mapInArrow(keyed, f"{kind}, grid long").repartitionByRange(max(1, n // (2 * BLOCK)), "grid", "cls").sortWithinPartitions("grid", "cls")
-    places = cut(order.mapInArrow(numbered, f"{kind}, part int, place long"))
+    places = tables.cut(order.mapInArrow(numbered, f"{kind}, part int, place long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     offsets = places.groupBy("part").agg(F.count("*").alias("rows")).select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
     # blocks are equal intervals of the whole sequence, however many partitions it was sorted in
@@ -220,9 +226,9 @@ def _blocks(classes: DataFrame, width: int, basis: np.ndarray, epsilon: float) -
     return spread.mapInArrow(packed, f"block long, {', '.join(f'{c} double' for c in BOX)}, ids binary, copies binary, vectors binary")
 
 
-def _near_pairs(blocks: DataFrame, epsilon2: float) -> DataFrame:
+def _near_pairs(blocks: DataFrame, epsilon2: float, tables: Tables) -> DataFrame:
     """Pairs of blocks (one <= two) whose boxes are within epsilon, found by descending interval pairs."""
-    boxes = cut(blocks.select("block", *BOX))
+    boxes = blocks.select("block", *BOX)
     n, height = boxes.count(), 0
     while FAN**height < n:
         height += 1
@@ -238,44 +244,58 @@ def _near_pairs(blocks: DataFrame, epsilon2: float) -> DataFrame:
         for i in range(LEAD):
             g = F.greatest(F.lit(0.0), F.col(f"b_lo_{i}") - F.col(f"a_hi_{i}"), F.col(f"a_lo_{i}") - F.col(f"b_hi_{i}"))
             gap = gap + g * g
-        pairs = cut(pairs.join(a, "one").join(b, "two").filter(gap <= epsilon2).select("one", "two"))
+        pairs = tables.cut(pairs.join(a, "one").join(b, "two").filter(gap <= epsilon2).select("one", "two"))
     return pairs
 
 
-def _links(classes: DataFrame, width: int, cosine: float) -> DataFrame:
+def _links(classes: DataFrame, width: int, cosine: float, tables: Tables) -> DataFrame:
     """Rows (cls, links, null) and (cls, null, other): numbers of links, and edges."""
+    spark = classes.sparkSession
     epsilon = float(np.sqrt(2 - 2 * cosine))
     sample = classes.orderBy("cls").limit(SAMPLE).select("vector").toArrow()
     basis = principal(_matrix(sample.column("vector"), width), width)
-    blocks = cut(_blocks(classes, width, basis, epsilon))
-    pairs = _near_pairs(blocks, epsilon**2 + 1e-9)
-    todo = pairs.count()
+    blocks = tables.cut(_blocks(classes, width, basis, epsilon, tables))
+    pairs = _near_pairs(blocks, epsilon**2 + 1e-9, tables)
     dtype = np.float32 if classes.schema["vector"].dataType.elementType == FloatType() else np.float64
+    # blocks along a tile's side: enough tiles for all cores, and no more than a task can hold
+    wanted = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    fit = max(1, HELD_BYTES // (BLOCK * (2 * width + 2 * LEAD) * 8))
+    side_of = max(1, min(fit, int(blocks.count() / np.sqrt(2 * wanted))))
+    tile = lambda c: F.floor(F.col(c) / F.lit(side_of)).cast("long")
+    placed = pairs.select(tile("one").alias("row"), tile("two").alias("column"), "one", "two")
+    needs = placed.select("row", "column", F.explode(F.array(F.struct(F.lit(0).alias("role"), F.col("one").alias("block")), F.struct(F.when(F.col("row") == F.col("column"), 0).otherwise(1).alias("role"), F.col("two").alias("block")))).alias("x"))
+    needs = tables.cut(needs.select("row", "column", "x.role", "x.block").distinct())
+    tiles = max(1, needs.select("row", "column").distinct().count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(row: dict, k: int) -> tuple[Side, np.ndarray]:
-            x = np.frombuffer(row[f"vectors_{k}"], dtype).reshape(-1, width)
-            return Side.of(x, np.frombuffer(row[f"copies_{k}"], np.int64), basis), np.frombuffer(row[f"ids_{k}"], np.int64)
-
+        now, held = None, []
         for b in batches:
             for at in range(b.num_rows):
                 row = {name: b.column(name)[at].as_py() for name in b.schema.names}
-                same = row["one"] == row["two"]
-                one, ids_one = side(row, 1)
-                two, ids_two = (one, ids_one) if same else side(row, 2)
-                links_one, links_two, edges = join_blocks(one, two, same, cosine)
-                ids = ids_one if same else np.concatenate([ids_one, ids_two])
-                links = links_one if same else np.concatenate([links_one, links_two])
-                some = np.flatnonzero(links)
-                ends = np.array(edges, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([ids[some], ids[ends[:, 0]]])), pa.concat_arrays([pa.array(links[some]), pa.nulls(len(ends), pa.int64())]), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[ends[:, 1]])])],
-                    ["cls", "links", "other"],
-                )
-
-    data = lambda name, k: blocks.select(F.col("block").alias(name), *(F.col(c).alias(f"{c}_{k}") for c in ("ids", "copies", "vectors")))
-    fed = pairs.repartition(max(1, -(-todo // 2)), "one", "two").join(data("one", 1), "one").join(data("two", 2), "two")
-    return fed.repartition(max(1, -(-todo // 2)), "one", "two").mapInArrow(run, "cls long, links long, other long")
+                if now != (row["row"], row["column"]):
+                    now, held = (row["row"], row["column"]), []
+                here = Side.of(np.frombuffer(row["vectors"], dtype).reshape(-1, width), np.frombuffer(row["copies"], np.int64), basis), np.frombuffer(row["ids"], np.int64)
+                found = [(other, here, False) for other in held]
+                if row["role"] == 0:
+                    if now[0] != now[1]:
+                        found = []
+                    else:
+                        found.append((here, here, True))
+                    held.append(here)
+                for (one, ids_one), (two, ids_two), same in found:
+                    links_one, links_two, edges = join_blocks(one, two, same, cosine)
+                    ids = ids_one if same else np.concatenate([ids_one, ids_two])
+                    links = links_one if same else np.concatenate([links_one, links_two])
+                    some = np.flatnonzero(links)
+                    ends = np.array(edges, np.int64).reshape(-1, 2)
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.concatenate([ids[some], ids[ends[:, 0]]])), pa.concat_arrays([pa.array(links[some]), pa.nulls(len(ends), pa.int64())]), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[ends[:, 1]])])],
+                            ["cls", "links", "other"],
+                        )
+
+    fed = needs.join(blocks.select("block", "ids", "copies", "vectors"), "block").repartition(tiles, "row", "column").sortWithinPartitions("row", "column", "role", "block")
+    return fed.select("row", "column", "role", "ids", "copies", "vectors").mapInArrow(run, "cls long, links long, other long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -286,22 +306,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
         F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0), F.lit(False)
     )
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"), usable.alias("ok"))
-    keyed = rows.select("vec_id", F.when(F.col("ok"), F.xxhash64("vector")).alias("cls"), F.when(F.col("ok"), F.col("vector")).alias("vector"))
-    classes = cut(keyed.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.min("vector").alias("vector")))
-    found = None
-    for r in classes.groupBy(F.size("vector").alias("width")).count().orderBy("width").collect():
-        part = _links(classes.filter(F.size("vector") == r["width"]), r["width"], cosine)
-        found = part if found is None else found.unionByName(part)
-    none = keyed.sparkSession.createDataFrame([], "cls long, links long, other long")
-    found = none if found is None else cut(found)
-    roots = components(found.filter("other IS NOT NULL").select(F.col("cls").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "cls")
-    totals = found.filter("links IS NOT NULL").groupBy("cls").agg(F.sum("links").alias("links"))
-    known = classes.select("cls", "least", "copies").join(totals, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = known.groupBy("root").agg(F.min("least").alias("component"))
-    facts = known.join(least, "root").select("cls", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "component")
-    return (
-        keyed.select("vec_id", "cls")
-        .join(facts, "cls", "left")
-        .select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-    )
+    keyed = rows.filter("ok").select("vec_id", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"), "vector")
+    with Tables(vectors.sparkSession, "vectors") as tables:
+        classes = keyed.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.min("vector").alias("vector"))
+        classes = tables.cut(classes.withColumn("cls", F.monotonically_increasing_id()))
+        found = None
+        for r in classes.groupBy(F.size("vector").alias("width")).count().orderBy("width").collect():
+            part = _links(classes.filter(F.size("vector") == r["width"]), r["width"], cosine, tables)
+            found = part if found is None else found.unionByName(part)
+        none = keyed.sparkSession.createDataFrame([], "cls long, links long, other long")
+        found = tables.cut(none if found is None else found)
+        roots = components(found.filter("other IS NOT NULL").select(F.col("cls").alias("a"), F.col("other").alias("b")), tables).withColumnRenamed("node", "cls")
+        totals = found.filter("links IS NOT NULL").groupBy("cls").agg(F.sum("links").alias("links"))
+        known = tables.cut(classes.select("cls", "h1", "h2", "least", "copies").join(totals, "cls", "left").join(roots, "cls", "left"))
+        linked = known.filter("root IS NOT NULL")
+        least = tables.cut(linked.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n_rows")))
+        out = lambda d, c: d.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col(c).alias("component"), F.col("copies").alias("n_rows"))
+        facts = tables.cut(out(skewed_join(linked, least, ["root"]), "component").unionByName(out(known.filter("root IS NULL AND copies > 1"), "least")))
+        told = skewed_join(keyed.select("vec_id", "h1", "h2"), facts, ["h1", "h2"]).select("vec_id", "n_links", "component")
+        alone = rows.filter("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"))
+        done = told.unionByName(alone).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        return cut(done.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import NO_ID, cut, free_name, ids_back, ids_of, partitions, skewed_join, slices, strings, utf8
+from .common import NO_ID, Tables, cut, free_name, ids_back, ids_of, partitions, skewed_join, slices, strings, utf8
 from .graph import components, hooked
 
 TOKEN_BITS = 52  # of an n-gram's name: the top one set and hash bits, or its range and number
@@ -340,11 +340,11 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
 
 
 def _small(rows: DataFrame) -> DataFrame:
-    """Rows of two longs already cut, marked for broadcast only if they are few."""
+    """A written table of two longs, marked for broadcast only if its rows are few."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def overlaps(pairs: DataFrame, classes: DataFrame, pivots: list[int]) -> DataFrame:
+def overlaps(pairs: DataFrame, classes: DataFrame, pivots: list[int], tables: Tables) -> DataFrame:
     """a, b, n_a, n_b and the number of shared n-grams, counted fragment by fragment."""
     bounds = [-1, *pivots, (1 << 63) - 1]
 
@@ -352,35 +352,35 @@ def overlaps(pairs: DataFrame, classes: DataFrame, pivots: list[int]) -> DataFra
         return F.filter("keys", lambda k: (k > F.lit(lo)) & (k <= F.lit(hi)))
 
     cuts = F.array(*(between(lo, hi) for lo, hi in zip(bounds, bounds[1:], strict=False)))
-    pairs = _small(pairs)
-    ends = classes.join(_small(cut(pairs.select(F.col("b").alias("cls")).distinct())), "cls", "left_semi")
-    left = classes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"), F.posexplode(cuts).alias("fragment", "part_a"))
-    right = ends.select(F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"), F.posexplode(cuts).alias("fragment", "part_b"))
-    each = left.join(pairs, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("part"))
+    # only classes of a pair are cut into fragments
+    firsts, seconds = (_small(tables.cut(pairs.select(F.col(c).alias("cls")).distinct())) for c in ("a", "b"))
+    left = classes.join(firsts, "cls", "left_semi").select(F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"), F.posexplode(cuts).alias("fragment", "part_a"))
+    right = classes.join(seconds, "cls", "left_semi").select(F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"), F.posexplode(cuts).alias("fragment", "part_b"))
+    each = left.join(_small(pairs), "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("part"))
     return each.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("both"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, fragments: int = FRAGMENTS, rounds: int = STAR_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links of at least percent/100) of every row."""
-    found = cut(shared_ngrams(docs, n, percent, id_col, text_col))
-    rows = found.filter("cls IS NULL").select("doc_id", "set1", "set2", "n_shingles")
-    known = found.filter("cls IS NOT NULL")
-    roots = class_roots(known.filter("keys IS NOT NULL").select("cls", "n_shingles", "keys", "prefix", "bits"), percent, fragments, rounds)
-    # the least document of each class's component; most classes are alone
-    linked = known.select("cls", "set1", "set2", "doc_id", "n_docs").join(roots, known["cls"] == roots["node"], "left").drop("node", "cls")
-    linked = cut(linked)
-    least = linked.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows"))
-    least = skewed_join(linked.filter("root IS NOT NULL").select("root", "set1", "set2", "n_docs"), least, ["root"]).drop("root")
-    alone = linked.filter("root IS NULL").select("set1", "set2", "n_docs", F.col("doc_id").alias("least"))
-    # a document alone in its class is its own component if its class is
-    classes = least.unionByName(alone.filter("n_docs > 1")).withColumnRenamed("n_docs", "n_rows")
-    placed = skewed_join(rows.filter("n_shingles > 0"), cut(classes), ["set1", "set2"]).select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
-    return placed.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def class_roots(classes: DataFrame, percent: int, fragments: int, rounds: int) -> DataFrame:
+    with Tables(docs.sparkSession, "ngrams") as tables:
+        found = tables.cut(shared_ngrams(docs, n, percent, id_col, text_col))
+        rows = found.filter("cls IS NULL").select("doc_id", "set1", "set2", "n_shingles")
+        known = found.filter("cls IS NOT NULL")
+        classes = tables.cut(known.filter("keys IS NOT NULL").select("cls", "n_shingles", "keys", "prefix", "bits"))
+        roots = class_roots(classes, percent, fragments, rounds, tables)
+        # the least document of each class's component; most classes are alone
+        linked = tables.cut(known.select("cls", "set1", "set2", "doc_id", "n_docs").join(roots, known["cls"] == roots["node"], "left").drop("node", "cls"))
+        least = linked.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows"))
+        least = skewed_join(linked.filter("root IS NOT NULL").select("root", "set1", "set2", "n_docs"), tables.cut(least), ["root"]).drop("root")
+        # a document alone in its class is its own component if its class is
+        alone = linked.filter("root IS NULL AND n_docs > 1").select("set1", "set2", "n_docs", F.col("doc_id").alias("least"))
+        facts = tables.cut(least.unionByName(alone).withColumnRenamed("n_docs", "n_rows"))
+        placed = skewed_join(rows.filter("n_shingles > 0"), facts, ["set1", "set2"]).select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+        return cut(placed.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
+
+
+def class_roots(classes: DataFrame, percent: int, fragments: int, rounds: int, tables: Tables) -> DataFrame:
     """node (class) and root (a class of its component, the same for all) for all linked classes."""
-    spark = classes.sparkSession
     pivots = classes.select(F.explode("keys").alias("k")).agg(F.percentile_approx("k", [i / fragments for i in range(1, fragments)], 1000).alias("p")).first()["p"] or []
     pivots = sorted(set(pivots))
     # how far a class is from sharing all it has, in powers of two: those near 0 are the cores of their groups
@@ -388,8 +388,7 @@ def class_roots(classes: DataFrame, percent: int, fragments: int, rounds: int) -
     buckets = classes.select("cls", "n_shingles", own, F.size("keys").alias("shared"), F.posexplode(F.slice("keys", F.lit(1), F.col("prefix"))).alias("place", "key"))
     # the first n-grams of a set, of which a set of at least its size must have one
     early = F.col("place") <= F.col("shared") - F.ceil(2 * percent * F.col("n_shingles") / (100 + percent))
-    buckets = buckets.select("cls", "n_shingles", "own", "key", early.alias("early"))
-    buckets = cut(buckets)
+    buckets = tables.cut(buckets.select("cls", "n_shingles", "own", "key", early.alias("early")))
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     judged = None  # a, b, linked
     labels = None  # classes of one label are known to be connected
@@ -399,12 +398,14 @@ def class_roots(classes: DataFrame, percent: int, fragments: int, rounds: int) -
         member = F.struct("own", F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"))
         per = now.groupBy("key", "comp").agg(F.count("*").alias("members"), F.min(member).alias("m"))
         mixed = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("members").alias("members"), F.max(F.struct("members", "m", "comp")).alias("x")).filter("comps > 1")
-        mixed = cut(mixed.select("key", "members", F.col("x.comp").alias("centre"), F.col("x.m.b").alias("b"), F.col("x.m.n_b").alias("n_b")))
+        mixed = tables.cut(mixed.select("key", "members", F.col("x.comp").alias("centre"), F.col("x.m.b").alias("b"), F.col("x.m.n_b").alias("n_b")))
         size = mixed.agg(F.sum("members").alias("rows"), F.sum(F.col("members") * F.col("members")).alias("pairs")).first()
         if not size["rows"]:
             break
+        # only buckets that are still mixed go on: a bucket of one component never mixes again
+        buckets = tables.cut(now.join(mixed, "key").select("cls", "n_shingles", "own", "key", "early", "comp", "members", "centre", "b", "n_b"))
+        open_, buckets = buckets, buckets.select("cls", "n_shingles", "own", "key", "early")
         last = turn == rounds or size["pairs"] <= FEW_PAIRS + 4 * size["rows"]
-        open_ = now.join(mixed, "key")
         if not last:
             met = open_.filter((F.col("comp") != F.col("centre")) & fits("n_shingles", "n_b"))
             tries = met.groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("times"))
@@ -414,14 +415,14 @@ def class_roots(classes: DataFrame, percent: int, fragments: int, rounds: int) -
         else:
             pairs = _remaining(open_.select("key", "cls", "n_shingles", "comp", "early"), classes, judged, percent)
         either = F.col("n_a") + F.col("n_b") - F.col("both")
-        done = cut(overlaps(cut(pairs), classes, pivots).select("a", "b", (F.col("both") * 100 >= either * percent).alias("linked")))
-        judged = done if judged is None else judged.unionByName(done)
+        done = overlaps(tables.cut(pairs), classes, pivots, tables).select("a", "b", (F.col("both") * 100 >= either * percent).alias("linked"))
+        judged = tables.cut(done if judged is None else judged.unionByName(done))
         if last:
             break
-        labels = cut(hooked(judged.filter("linked")))
+        labels = tables.cut(hooked(judged.filter("linked"), tables))
     if judged is None:
-        return spark.createDataFrame([], "node long, root long")
-    return components(judged.filter("linked"))
+        return classes.sparkSession.createDataFrame([], "node long, root long")
+    return components(judged.filter("linked"), tables)
 
 
 def _remaining(open_: DataFrame, classes: DataFrame, judged: DataFrame | None, percent: int) -> DataFrame:
