@@ -15,7 +15,7 @@ from .ngram_join import jaccard_components
 from .quality import quality_rules
 from .sharding import minimax_shards
 from .toxicity import tag_toxicity, train
-from .transcripts import parse_transcripts, raw_transcripts
+from .transcripts import held_out, parse_transcripts, raw_transcripts
 from .transcripts import train as train_roles
 from .url_rules import judge_urls
 from .wavelet import read_shards, write_shards
@@ -136,7 +136,7 @@ FROM reach JOIN documents ON s = doc_id LEFT JOIN size USING (doc_id) GROUP BY d
 def op9_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = raw_transcripts(table(spark, sf_dir, "conversations"))
     turns = parse_transcripts(lines, train_roles(lines))
-    return turns.select("conv_id", "turn", "role", F.length("text").alias("n_chars"), F.md5(F.col("canonical").cast("binary")).alias("canonical_md5"))
+    return turns.select("conv_id", "turn", held_out(F.col("conv_id")).alias("held_out"), "role", F.length("text").alias("n_chars"), F.md5(F.col("canonical").cast("binary")).alias("canonical_md5"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

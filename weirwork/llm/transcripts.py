@@ -3,7 +3,8 @@
 A transcript is a sequence of lines. Each line begins or continues a turn of a role; those six
 states emit what is seen of the line: the kind of speaker marker at its head, whether a blank line
 stands before it, its length class, and whether it ends with a question mark. Transition and
-emission counts come from labelled transcripts (a bounded number); Viterbi decoding gives the most
+emission counts come from labelled transcripts (TRAIN_CONVERSATIONS of at most TRAIN_BYTES, none of
+them held out); Viterbi decoding gives the most
 likely states, consecutive lines of one turn are joined without their marker, and turns are
 rendered in one fixed form.
 
@@ -25,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_CONVERSATIONS = 2000
+TRAIN_BYTES = 16 << 20
 ROLES = ("system", "user", "assistant")
 STATES = [(r, b) for r in ROLES for b in (True, False)]  # (role, begins a turn)
 #: Speaker words and the role that they name.
@@ -218,11 +220,24 @@ def raw_transcripts(conversations: DataFrame) -> DataFrame:
     return lines.select("conv_id", F.struct("turn", "pos").alias("line_no"), "line", "role")
 
 
-def train(lines: DataFrame, limit: int = TRAIN_CONVERSATIONS) -> Model:
-    """Fit on at most `limit` conversations (those with the smallest hash of their id)."""
-    known = lines.filter(F.col("conv_id").isNotNull() & F.col("role").isin(*ROLES))
-    chosen = known.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(limit)
-    rows = known.join(F.broadcast(chosen), "conv_id").select("conv_id", "line_no", "line", "role").orderBy("conv_id", "line_no").collect()
+def held_out(conv: Column) -> Column:
+    """Conversations that `train` leaves out: crc32 of the id as text divisible by 5."""
+    return F.coalesce(F.crc32(conv.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def train(lines: DataFrame, limit: int = TRAIN_CONVERSATIONS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most `limit` conversations that are not held out (those with the smallest hash of their
+    id), as many as have at most `most_bytes` of text together."""
+    known = lines.filter(F.col("conv_id").isNotNull() & ~held_out(F.col("conv_id")) & F.col("role").isin(*ROLES))
+    sizes = known.groupBy("conv_id").agg(F.sum(F.octet_length(F.coalesce("line", F.lit(""))) + 1).alias("size")).orderBy(F.xxhash64("conv_id"), "conv_id").limit(limit)
+    taken, size = [], 0
+    for r in sizes.collect():
+        size += r["size"]
+        if size > most_bytes:
+            break
+        taken.append((r["conv_id"],))
+    chosen = lines.sparkSession.createDataFrame(taken, "conv_id long")
+    rows = known.join(F.broadcast(chosen), "conv_id").select("conv_id", "line_no", "line", "role").orderBy("conv_id", "line_no").collect()  # at most most_bytes
     found: list[list] = []
     last = turn = None
     begins = blank = False
@@ -232,7 +247,7 @@ def train(lines: DataFrame, limit: int = TRAIN_CONVERSATIONS) -> Model:
             last, turn, blank = r["conv_id"], None, False
         if r["line_no"]["turn"] != turn:
             turn, begins = r["line_no"]["turn"], True
-        if not r["line"].strip():
+        if not (r["line"] or "").strip():
             blank = True
             continue
         found[-1].append((r["role"], begins, r["line"], blank))
