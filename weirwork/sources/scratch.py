@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     if where is None:
         where = sc.getCheckpointDir()
         if where is None:
-            if not sc.master.startswith("local["):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="weirwork-"))
             where = sc.getCheckpointDir()
