@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernel as K
-from .common import slices, strings
+from .common import kept, slices, strings
 
 NONE = np.int64(1) << np.int64(62)
 PLACE_BITS = 20
 PLACE = (1 << PLACE_BITS) - 1
 SIDE_BY_SIDE = 65  # symbols of the longest word that is merged in an array
-MEMO_WORDS = 250_000
+MEMO_WORDS = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -303,17 +303,11 @@ class WordCoder:
         return coded, which, np.asarray(of, np.int64)[segment] if len(segment) else np.zeros(0, np.int64)
 
 
-@cache
-def word_coder(path: str) -> WordCoder:
-    """One a process: workers that take several tasks keep what they have learnt."""
-    return WordCoder(path)
-
-
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_coder(path)
+        coder = kept(WordCoder, path)
         for part in slices(batches, "text"):
             texts = strings(part.column("text")).to_pylist()
             coded, which, of = coder.pieces(texts)
@@ -341,7 +335,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """doc_id, ids and the decoded text of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_coder(path)
+        coder = kept(WordCoder, path)
         for part in slices(batches, "text"):
             texts = strings(part.column("text")).to_pylist()
             coded, which, of = coder.pieces(texts)

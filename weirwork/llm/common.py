@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -36,6 +38,27 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(kind: type, path: str):
+    """The one coder that a worker keeps between tasks (kind(path)); what another operator kept goes first."""
+    if (kind, path) not in _kept:
+        free_worker()
+        _kept[kind, path] = kind(path)
+    return _kept[kind, path]
+
+
+def free_worker() -> None:
+    """Give back what earlier operators kept or left in this worker; to be called where another one begins."""
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

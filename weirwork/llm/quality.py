@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernel as K
+from .common import kept as kept_coder
 from .common import slices, strings, utf8
 
 MEMO_WORDS = 300_000
@@ -82,12 +83,6 @@ class Fertility:
         return tokens, byte_tokens, entropy
 
 
-@cache
-def fertility_of(path: str) -> Fertility:
-    """One a process: workers that take several tasks keep what they have learnt."""
-    return Fertility(path)
-
-
 def block_entropy(ids: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Mean token entropy (bits) of the blocks of every text; the last block ends with the text."""
     out = np.zeros(len(tokens))
@@ -186,7 +181,7 @@ def quality_rules(docs: DataFrame, vocabulary: str, bands: Mapping[str, tuple[fl
     bands = dict(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fertility = fertility_of(vocabulary)
+        fertility = kept_coder(Fertility, vocabulary)
         for part in slices(batches, "text"):
             counts, measures, failed, kept = judge(fertility, part.column("text"), part.column("lang"), bands)
             yield pa.RecordBatch.from_arrays(
@@ -203,7 +198,7 @@ def keep_quality(docs: DataFrame, vocabulary: str, bands: Mapping[str, tuple[flo
     bands = dict(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fertility = fertility_of(vocabulary)
+        fertility = kept_coder(Fertility, vocabulary)
         for part in slices(batches, text_col):
             yield part.filter(pa.array(judge(fertility, part.column(text_col), part.column(lang_col), bands)[3]))
 

@@ -19,9 +19,9 @@ their id) of at most TRAIN_BYTES together, in one task of an executor; it is a f
 numbers and travels with the task. Every document is scored.
 
 Defined cases: a null or empty text has no tokens and gets the score of no evidence. A null label
-is no label, and so is one without an id; of several labels of one id the largest counts. A null
-id counts as held out or not like the text 'null'. Texts are scored whole. Repeated rows are scored
-alike. Without labelled rows of both kinds every score is 0. An empty table gives no rows. Extra
+is no label, and so is one without an id; of several labels of one id the largest counts. A row
+without an id is held out or not as the text 'null' would be. Texts are scored whole. Repeated rows
+are scored alike. Without labelled rows of both kinds every score is 0. An empty table gives no rows. Extra
 columns are ignored by `tag_toxicity` and kept by `drop_toxic`.
 """
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import NO_ID, ids_back, ids_of, slices, strings, utf8
+from .common import NO_ID, free_worker, ids_back, ids_of, slices, strings, utf8
 
 TRAIN_DOCS = 4000
 TRAIN_BYTES = 64 << 20
@@ -388,6 +388,7 @@ def tag_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", t
     """doc_id, held_out, score, predicted and the toxic spans (begin, end, marginal) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for part in slices(batches, "text"):
             raw, at = utf8(strings(part.column("text")))
             score, spans = score_slice(model, raw, at)
@@ -409,6 +410,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, limit: float = 0.5, text_co
     """The rows whose text scores under the limit, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for part in slices(batches, text_col):
             raw, at = utf8(strings(part.column(text_col)))
             yield part.filter(pa.array(score_slice(model, raw, at)[0] < limit))

@@ -22,7 +22,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator, Mapping
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import cut, ids_back, ids_of, partitions, slices, strings, utf8
+from .common import cut, ids_back, ids_of, kept, partitions, slices, strings, utf8
 
 MAGIC = b"WWM1"
 BLOCK = 1 << 13  # bytes of a plane in a block
@@ -315,12 +314,6 @@ class PieceCoder:
         return flat[K.spread(begin, size)], counts
 
 
-@cache
-def piece_coder(path: str) -> PieceCoder:
-    """One a process: workers that take several tasks keep what they have learnt."""
-    return PieceCoder(path)
-
-
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     if "://" in uri or uri.startswith("file:"):
         return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
@@ -344,7 +337,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, part, shard = piece_coder(tokenizer_path), TaskContext.get().partitionId(), 0
+        coder, part, shard = kept(PieceCoder, tokenizer_path), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         doc_ids: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
