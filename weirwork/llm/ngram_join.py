@@ -22,8 +22,9 @@ unshared n-grams fill its prefix links with none and goes no further.
    than a share of all rows (few, by their share) are broadcast, so none is a hot key.
 
 What is exact: words and sets of n-grams are known by hashes, words and n-grams by 64 bits (one
-in 2^51 names of those that travel as HOT), sets by 128 bits. Two different n-grams of one pair of
-documents that agree in all bits would change a count; nothing else rests on a hash.
+in 2^51 names of those that travel as HOT), sets by 128 bits (by 80 of them where they go with
+n-grams, which is checked). Two different n-grams of one pair of documents that agree in all bits
+would change a count; nothing else rests on a hash.
 
 Defined cases: null and empty texts have no n-grams, and each is a component of its own. A text of
 fewer words than n has its whole sequence as its only n-gram. Repeated rows share a class. A null
@@ -43,17 +44,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import NO_ID, Tables, cut, free_name, ids_back, ids_of, partitions, skewed_join, slices, strings, utf8
+from .common import NO_ID, Tables, cut, free_name, free_worker, ids_back, ids_of, partitions, skewed_join, slices, strings, utf8
 from .graph import components, hooked
 
 TOKEN_BITS = 52  # of an n-gram's name: the top one set and hash bits, or its range and number
 DF_CAP = (1 << (63 - TOKEN_BITS)) - 1
-FLUSH = 2_000_000
-TASK_BYTES = 12 << 20  # of the scanned input, for each range of n-grams
+FLUSH = 1_000_000
+TASK_BYTES = 20 << 20  # of the scanned input, for each range of n-grams
 FRAGMENTS = 4
 PARITY = 512
 BROADCAST_ROWS = 50_000  # pairs or class ids that are broadcast (under 2 MB); more are joined by shuffle
-STAR_ROUNDS = 2
+STAR_ROUNDS = 6
 FEW_PAIRS = 100_000  # so many pairs of bucket members are compared at once, without a round of centres before
 U = np.uint64
 HOT = 64  # classes of one batch of slices: an n-gram that so many have does not travel by its range
@@ -170,7 +171,7 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
         for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             o, k = owner[cuts[b] : cuts[b + 1]], key[cuts[b] : cuts[b + 1]]
             head = _runs(o)
-            out.append((b, kind, _pack(sets[o[head[:-1]], 0], sets[o[head[:-1]], 1], np.diff(head).astype(np.uint32), k)))
+            out.append((b, kind, _pack(sets[o[head[:-1]], 0], sets[o[head[:-1]], 1].astype(np.uint16), np.diff(head).astype(np.uint32), k)))
         return out
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
@@ -204,7 +205,7 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             if e > s:
                 used, place = np.unique(owner[s:e], return_inverse=True)
                 place = place.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
-                out.append((b, RUNS, _pack(np.diff(gram[s:e], prepend=gram[s : s + 1]), gram[s : s + 1], place, sets_of[used, 0], sets_of[used, 1])))
+                out.append((b, RUNS, _pack(np.diff(gram[s:e], prepend=gram[s : s + 1]), gram[s : s + 1], place, sets_of[used, 0], sets_of[used, 1].astype(np.uint16))))
         target = _spread(sets_of[:, 0], parts)
         for b in np.unique(target[size_of > 0]).tolist():
             these = np.flatnonzero((target == b) & (size_of > 0))
@@ -216,6 +217,7 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
         return _rows(out)
 
     def to_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         size, held = 0, []
         for part in slices(batches, "text"):
             held.append((*shingle_sets(*utf8(strings(part.column("text"))), n), ids_of(part.column("doc_id"))))
@@ -231,6 +233,7 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         grams, places, sets, told, base, here = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros((0, 2), U)], [np.zeros(0, U)], 0, 0
         for part, kind, blob in blobs_of(batches):
             if kind == RUNS:
@@ -238,7 +241,7 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
                 step[0] = first[0]
                 grams.append(np.cumsum(step, dtype=U))
                 places.append(place.astype(np.int64) + base)
-                sets.append(np.stack([one, two], axis=1))
+                sets.append(np.stack([one, two.astype(U)], axis=1))
                 base += len(one)
                 here = part
             elif kind == TOLD:
@@ -280,6 +283,7 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             yield _rows([row])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         known, heads, runs, keys, here = [], [np.zeros((0, 2), U)], [np.zeros(0, np.uint32)], [np.zeros(0, U)], 0
         for part, kind, blob in blobs_of(batches):
             here = part
@@ -292,7 +296,7 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             elif kind == CLASSES:
                 known.append(np.stack(got, axis=1))
             else:
-                heads.append(np.stack(got[:2], axis=1))
+                heads.append(np.stack([got[0], got[1].astype(U)], axis=1))
                 runs.append(got[2])
                 keys.append(got[3])
         if not known:
@@ -306,7 +310,10 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
         cls = (here << 40) + np.arange(len(first), dtype=np.int64)
         # the keys of each class, in global order
         heads = np.concatenate(heads)
-        found, which = _distinct(np.concatenate([sets, heads]))
+        short = sets & np.array([~U(0), U(0xFFFF)])
+        if len(_distinct(short)[0]) < len(sets):
+            raise ValueError("two sets of n-grams agree in 80 bits, not in 128: choose other SALTS")
+        _, which = _distinct(np.concatenate([short, heads]))
         owner, key = np.repeat(which[len(sets) :], np.concatenate(runs)), np.concatenate(keys)
         order = np.lexsort((key, owner))
         owner, key = owner[order], key[order]
@@ -456,7 +463,7 @@ def _remaining(open_: DataFrame, classes: DataFrame, judged: DataFrame | None, p
     return pairs.join(seen, ["a", "b"], "left_anti")
 
 
-def one_per_component(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_per_component(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = STAR_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of the smallest id of each component, with all its columns.
 
     Rows that repeat an id with the same text are one document; rows without an id all stay.
