@@ -1,4 +1,12 @@
-"""From raw documents to token digests: five stages, each written as Parquet and read again."""
+"""From raw documents to token digests: five stages, each written as Parquet and read again.
+
+Defined cases, for every stage: null and empty texts have no tokens, words or shingles (toxicity
+keeps them, quality rejects them, near duplicates leave each alone, mixing gives a source of nothing
+else the rate 0, tokens gives no ids). A null language or source is one of its own. Rows without an
+id all pass near duplicates; rows that repeat an id and its text count there as one, and are treated
+alike elsewhere. Texts are taken whole. An empty table gives an empty table. Extra columns stay,
+whatever their names, up to the last stage.
+"""
 
 from __future__ import annotations
 
