@@ -34,7 +34,8 @@ NONE = np.int64(1) << np.int64(62)
 PLACE_BITS = 20
 PLACE = (1 << PLACE_BITS) - 1
 SIDE_BY_SIDE = 65  # symbols of the longest word that is merged in an array
-MEMO_WORDS = 200_000
+MEMO_WORDS = 150_000
+SLICE = 2 << 20  # bytes of text that are taken apart at once; words are objects here
 
 
 def byte_letters() -> list[str]:
@@ -308,7 +309,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = kept(WordCoder, path)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             texts = strings(part.column("text")).to_pylist()
             coded, which, of = coder.pieces(texts)
             counts = np.array([c.count for c in coded], np.int64)
@@ -336,7 +337,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = kept(WordCoder, path)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             texts = strings(part.column("text")).to_pylist()
             coded, which, of = coder.pieces(texts)
             bounds = np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
