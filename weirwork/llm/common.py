@@ -93,6 +93,42 @@ def skewed_join(many: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame
     return many.join(hot, keys).unionByName(rest)
 
 
+class Tally:
+    """Counts by key over the slices of a task, of bounded size: with more than `limit` keys the counts so far are given out."""
+
+    def __init__(self, limit: int = 2 << 20, names: tuple[str, ...] = ("n",)):
+        self.limit, self.names = limit, names
+        self.parts: list[pa.Table] = []
+        self.held = 0
+
+    def add(self, keys: pa.Array, *counts: np.ndarray) -> Iterator[pa.Table]:
+        """Keys (not necessarily distinct) and their counts; gives tables of key and counts when there are too many."""
+        self.parts.append(pa.table([keys, *map(pa.array, counts)], ["key", *self.names]))
+        self.held += len(keys)
+        if self.held > 2 * self.limit:
+            self._merge()
+            if self.held > self.limit:
+                yield from self.rest()
+
+    def _merge(self) -> None:
+        merged = pa.concat_tables(self.parts).group_by("key", use_threads=False).aggregate([(c, "sum") for c in self.names])
+        self.parts = [merged.select(["key", *(f"{c}_sum" for c in self.names)]).rename_columns(["key", *self.names])]
+        self.held = merged.num_rows
+
+    def rest(self) -> Iterator[pa.Table]:
+        if self.parts:
+            self._merge()
+            yield self.parts[0]
+        self.parts, self.held = [], 0
+
+
+def hot(facts: DataFrame, weight: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of facts (one a key) that hold more than 1/most of the sum of `weight`, at most `most` whatever the data, and the others."""
+    total = facts.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    is_hot = F.col(weight).cast("decimal(38,0)") * most > F.lit(total).cast("decimal(38,0)")
+    return facts.filter(is_hot), facts.filter(~is_hot)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with as many underscores before it as it takes to clash with no column of df."""
     taken = {c.lower() for c in df.columns}

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .bpe import encode_digests
+from .collocations import collocations
 from .common import cut, new_folder, remove, table
 from .ego_join import near_duplicates
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
+from .ppm import ppm_scores
 from .quality import quality_rules
 from .sharding import minimax_shards
 from .toxicity import tag_toxicity, train
@@ -139,6 +142,46 @@ def op9_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", held_out(F.col("conv_id")).alias("held_out"), "role", F.length("text").alias("n_chars"), F.md5(F.col("canonical").cast("binary")).alias("canonical_md5"))
 
 
+def op11_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_scores(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+gram AS (
+  SELECT lang, k, w[i:i+k-1] AS g FROM worded, generate_series(1, 3) a(k), generate_series(1, 1000000) b(i)
+  WHERE i <= len(w) - k + 1),
+f AS (SELECT lang, k, g, count(*) AS f FROM gram GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidate AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.g, c.a, j, x.f AS l, y.f AS r, (c.a::HUGEINT * c.a * 1000000) // (x.f::HUGEINT * y.f) AS score
+  FROM candidate c, generate_series(1, 2) s(j) JOIN f x ON x.lang = c.lang AND x.k = j AND x.g = c.g[1:j] JOIN f y ON y.lang = c.lang AND y.k = c.k - j AND y.g = c.g[j+1:c.k]
+  WHERE j < c.k),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+covered AS (
+  SELECT DISTINCT s.lang, s.g FROM candidate s JOIN candidate t ON s.lang = t.lang AND s.k = 2 AND t.k = 3 AND (t.g[1:2] = s.g OR t.g[2:3] = s.g)
+  WHERE 100 * t.a >= 50 * s.a),
+kept AS (SELECT * FROM scored ANTI JOIN covered USING (lang, g)),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, score::BIGINT AS score
+  FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -150,10 +193,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wavelet": op8_wavelet,
     "op9_transcripts": op9_transcripts,
     "op10_ngram_join": op10_ngram_join,
+    "op11_ppm": op11_ppm,
+    "op12_alignment": op12_alignment,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1_SQL,
     "op3_ego_join": OP3_SQL,
     "op10_ngram_join": OP10_SQL,
+    "op13_collocations": OP13_SQL,
 }
