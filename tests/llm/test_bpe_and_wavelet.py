@@ -38,6 +38,40 @@ def test_ids_and_decoding_equal_the_library():
         assert bpe.decode(ids, coder.table) == t.decode(ref.ids, skip_special_tokens=False)
 
 
+def ids_of(coder, some):
+    coded, which, of = coder.pieces(some)
+    got = [[] for _ in some]
+    for w, o in zip(which.tolist(), of.tolist(), strict=True):
+        got[o] += [int(x) for x in coded[w].ids.split()]
+    return got
+
+
+def test_every_code_point():
+    places = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    some = [f"a{chr(c)}1b" for c in places]
+    w, b, coder, pieces = library(WORD), library(BYTE), bpe.WordCoder(WORD), wavelet.PieceCoder(BYTE)
+    for k in range(0, len(some), 50_000):
+        part = some[k : k + 50_000]
+        assert ids_of(coder, part) == [e.ids for e in w.encode_batch_fast(part, add_special_tokens=False)]
+        if k < 0x40000:
+            ids, counts = pieces.encode(np.frombuffer("".join(part).encode(), np.uint8), np.cumsum([0, *(len(x.encode()) for x in part)]))
+            want = [e.ids for e in b.encode_batch_fast(part, add_special_tokens=False)]
+            assert counts.tolist() == list(map(len, want))
+            assert ids.tolist() == [x for y in want for x in y]
+
+
+def test_sequences_of_combining_marks():
+    import unicodedata
+
+    rnd = random.Random(11)
+    marks = [chr(c) for c in range(0x20000) if unicodedata.combining(chr(c))]
+    joining = [chr(c) for c in range(0x20000) if len(unicodedata.decomposition(chr(c)).split()) == 2 and not unicodedata.decomposition(chr(c)).startswith("<")]
+    parts = [y for c in joining for y in unicodedata.normalize("NFD", c)]
+    some = ["".join(rnd.choice((rnd.choice(marks), rnd.choice(parts), rnd.choice("aÉΣ 1İ\u0308\u1abf\uac00\u11a8"))) for _ in range(rnd.randint(1, 12))) for _ in range(20_000)]
+    t, coder = library(WORD), bpe.WordCoder(WORD)
+    assert ids_of(coder, some) == [e.ids for e in t.encode_batch_fast(some, add_special_tokens=False)]
+
+
 def test_both_trees_merge_alike():
     table = bpe.merge_table(WORD)
     rnd = random.Random(3)

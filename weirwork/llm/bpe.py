@@ -7,7 +7,9 @@ until no mergeable pair remains. Short words are merged side by side, one tree a
 long ones one by one in the same tree form.
 
 A vocabulary file is read once a process. Distinct words are encoded once while they stay in a
-memo of bounded size. Normalisation, splitting and special tokens follow the vocabulary file.
+memo of bounded size. Normalisation, splitting and special tokens follow the vocabulary file; classes
+of characters come from the tokenizers library, and so does the normal form of texts with characters
+on which Unicode tables differ.
 
 Defined cases: a null text is an empty one (no ids, empty decoded text). Special token strings in
 a text become their ids. Texts are never cut, whatever their length. Repeated rows are encoded
@@ -242,10 +244,25 @@ def decode(ids: list[int], table: MergeTable) -> str:
     return " ".join([table.tokens[i] for i in ids])
 
 
-def normalise(text: str) -> str:
+@cache
+def unsettled() -> re.Pattern[str]:
+    """Characters on which the Unicode tables of Python and of the library may differ in composition or case:
+    combining ones and those that Python does not know."""
+    ranges: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.combining(chr(c)) or unicodedata.category(chr(c)) == "Cn":
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
+def normalise(text: str, library) -> str:
+    """The text as the library's normaliser has it, but for white space. Composed text of settled characters needs no library."""
     if not text.isascii():
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
+        if not unicodedata.is_normalized("NFC", text) or unsettled().search(text):
+            return library.normalize_str(text)
         text = text.replace("Σ", "σ")  # lower case letter by letter, whatever follows
     return text.lower()
 
@@ -254,7 +271,10 @@ class WordCoder:
     """Encodes slices of texts with a word-end BPE vocabulary."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         self.table = merge_table(path)
+        self.library = Tokenizer.from_file(path).normalizer
         self.memo: dict[bytes, Coded] = {}
         self.cut = re.compile("(" + "|".join(sorted(map(re.escape, self.table.special), key=len, reverse=True)) + ")") if self.table.special else None
         self.marks = {t: Coded([i], self.table) for t, i in self.table.special.items()}
@@ -275,15 +295,15 @@ class WordCoder:
         parts: list[bytes] = []
         of, marked = [], []
         for i, text in enumerate(texts):
-            if self.cut is not None and "<|" in text:
+            if self.cut is not None and self.cut.search(text):
                 for k, part in enumerate(self.cut.split(text)):
                     if k % 2:
                         marked.append((len(parts), self.marks[part]))
                         part = ""
-                    parts.append(normalise(part).encode())
+                    parts.append(normalise(part, self.library).encode())
                     of.append(i)
             else:
-                parts.append(normalise(text).encode())
+                parts.append(normalise(text, self.library).encode())
                 of.append(i)
         at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
         raw = np.frombuffer(b"".join(parts), np.uint8)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 from functools import cache
 from itertools import repeat
@@ -16,8 +15,6 @@ _BASE = U(0xD1342543DE82EF95)
 #: The white space that separates words: space and \t \n \v \f \r.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-#: Code points that \s matches in Unicode-aware regular expressions.
-UNICODE_SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -128,14 +125,23 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+#: Planes with letters, numbers or white space; the others are private or unassigned.
+PLANES = [*range(0x40000), *range(0xE0000, 0xE1000)]
+
+
 @cache
 def classes() -> np.ndarray:
-    """Of each code point: 0 white space, 1 letter, 2 number, 3 other."""
-    first = np.frombuffer("".join(unicodedata.category(chr(c))[0] for c in range(0x110000)).encode(), np.uint8)
+    """Of each code point: 0 white space, 1 letter, 2 number, 3 other; as the tokenizers library's expressions see them,
+    whose Unicode tables are not those of Python."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    places = np.array([c for c in PLANES if not 0xD800 <= c < 0xE000])
+    text = "".join(map(chr, places.tolist()))
     out = np.full(0x110000, 3, np.uint8)
-    out[first == ord("L")] = 1
-    out[first == ord("N")] = 2
-    out[UNICODE_SPACES] = 0
+    for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (0, r"\s+")):
+        for _, (start, end) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            out[places[start:end]] = kind
     return out
 
 
