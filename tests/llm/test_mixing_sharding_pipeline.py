@@ -141,3 +141,19 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
             docs = out
     assert sorted(r["doc_id"] for r in out.collect()) == ids(docs)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_thousands_of_shards(spark):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "repeat('x', cast(id % 50 AS int)) || id AS text")
+    rows = sharding.minimax_shards(docs, shards=5000).collect()
+    assert len(rows) == 9000
+    by_shard = {}
+    for r in rows:
+        by_shard.setdefault(r["shard"], []).append(r)
+    assert min(by_shard) == 0
+    assert max(by_shard) <= 4999
+    assert len(by_shard) == 5000
+    for some in by_shard.values():
+        assert sorted(r["slot"] for r in some) == list(range(len(some)))
+    sizes = [r["size"] for r in rows]
+    assert max(sum(r["size"] for r in some) for some in by_shard.values()) <= max(sizes) + -(-sum(sizes) // 5000)

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weirwork.llm import quality, toxicity, transcripts, url_rules
 from weirwork.llm.common import strings, utf8
@@ -288,3 +289,33 @@ def test_utf8_of_slices():
     raw, at = utf8(strings(a))
     assert raw.tobytes() == b"xyz"
     assert at.tolist() == [0, 0, 3]
+
+
+def test_a_url_without_a_host_is_allowed_whatever_was_mined(spark):
+    rows = [(i, f"http://x{i % 7}.example.net/a?bad=1", True) for i in range(60)] + [(i + 60, f"http://x{i % 7}.example.net/a?good=1", False) for i in range(60)]
+    known = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    pages = spark.createDataFrame([(1, "no-scheme?bad=1"), (2, "http://y.example.net/b?bad=1"), (3, None)], "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["mined"]) for r in url_rules.judge_urls(pages, known.select("url", "blocked")).collect()}
+    assert got == {1: ("allow", False), 2: ("block", True), 3: ("allow", False)}
+
+
+def test_a_long_text_does_not_end_training(spark):
+    rows = [(i, "you vile idiot scum" if i % 2 else "a calm day by the sea", i % 2) for i in range(1, 60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    first = labels.filter(~toxicity.held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").first()["doc_id"]
+    longer = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat("text", 200)).otherwise(F.col("text")))
+    model = toxicity.train(longer, labels, most_bytes=1500)
+    assert model is not None
+    scores = {r["doc_id"]: r["score"] for r in toxicity.tag_toxicity(docs, model).collect()}
+    assert min(scores[i] for i, _, x in rows if x) > max(scores[i] for i, _, x in rows if not x)
+
+
+def test_a_long_conversation_does_not_end_training(spark):
+    rows = [(i, k, role, f"{role} says {k}") for i in range(1, 40) for k, role in enumerate(("system", "user", "assistant"))]
+    lines = transcripts.raw_transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    known = lines.filter(~transcripts.held_out(F.col("conv_id")))
+    first = known.orderBy(F.xxhash64("conv_id"), "conv_id").first()["conv_id"]
+    longer = lines.withColumn("line", F.when(F.col("conv_id") == first, F.concat("line", F.repeat(F.lit(" x"), 3000))).otherwise(F.col("line")))
+    small, none = transcripts.train(longer, most_bytes=5000), transcripts.train(lines.limit(0))
+    assert not np.allclose(small.trans, none.trans)

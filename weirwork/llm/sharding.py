@@ -140,18 +140,30 @@ def _summaries(groups: DataFrame, bits: int, within: list[Item] | None) -> list[
 
 
 def _restrict(groups: DataFrame, items: list[Item]) -> DataFrame:
-    runs: list[list[int]] = []
+    """The groups in the items, found by their upper bits: a set of values for each width of items."""
+    by_width: dict[int, list[int]] = {}
     for x in items:
-        if runs and runs[-1][1] == x.lo:
-            runs[-1][1] = x.hi
-        else:
-            runs.append([x.lo, x.hi])
+        shift = (x.hi - x.lo).bit_length() - 1
+        by_width.setdefault(shift, []).append(x.lo >> shift)
     keep = F.lit(False)
-    for lo, hi in runs:
-        keep = keep | ((F.col("pos") >= lo) & (F.col("pos") < hi))
+    for shift, values in by_width.items():  # one for each step of refinement, whatever the number of shards
+        keep = keep | F.shiftright("pos", shift).isin(values)
     return groups.filter(keep)
 
 
+def shard_table(starts: list[int], bits: int) -> list[tuple[int, int, list[int]]]:
+    """For each value of the upper `bits` bits of a hash: the shard of its least hash, and the starts of shards within."""
+    shift, rows, at = HASH_BITS - bits, [], 0
+    for k in range(1 << bits):
+        while at < len(starts) and starts[at] <= k << shift:
+            at += 1
+        end = at
+        while end < len(starts) and starts[end] < (k + 1) << shift:
+            end += 1
+        rows.append((k, at, starts[at:end]))
+    return rows
+
+
 def plan_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     """Hash values at which shards 1, 2, ... begin, and the smallest feasible capacity.
 
@@ -194,11 +206,12 @@ def minimax_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     )
     groups = cut(rows.groupBy("pos").agg(F.sum("size").alias("bytes")))
     starts, _ = plan_cuts(groups, shards)
-    shard = F.lit(0)
-    for s in starts:
-        shard = shard + (F.col("pos") >= F.lit(s)).cast("int")
+    bits = max(1, (4 * shards).bit_length())
+    table = docs.sparkSession.createDataFrame(shard_table(starts, bits), "upper long, base int, starts array<long>")  # some eight rows a shard
+    shard = F.col("base") + F.size(F.filter("starts", lambda s: s <= F.col("pos")))
     blocks = max(1, rows.count() // (shards * BLOCK_ROWS) + 1)
-    placed = rows.select("*", shard.alias("shard"), F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
+    known = rows.join(F.broadcast(table), F.shiftright("pos", HASH_BITS - bits) == F.col("upper"))
+    placed = known.select(*rows.columns, shard.alias("shard"), F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
     counts = placed.groupBy("shard", "block").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("shard", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))

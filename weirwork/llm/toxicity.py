@@ -327,10 +327,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, most_byte
     sizes = texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(F.xxhash64("id"), "id").collect()  # at most `limit` rows
     taken, size = [], 0
     for r in sizes:
-        size += r["size"]
-        if size > most_bytes:
-            break
-        taken.append((r["id"], r["toxic"]))
+        if size + r["size"] <= most_bytes:  # a text that is too long leaves room for the others
+            size += r["size"]
+            taken.append((r["id"], r["toxic"]))
     if not taken:
         return None
     spark = docs.sparkSession

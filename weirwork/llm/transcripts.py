@@ -232,10 +232,9 @@ def train(lines: DataFrame, limit: int = TRAIN_CONVERSATIONS, most_bytes: int =
     sizes = known.groupBy("conv_id").agg(F.sum(F.octet_length(F.coalesce("line", F.lit(""))) + 1).alias("size")).orderBy(F.xxhash64("conv_id"), "conv_id").limit(limit)
     taken, size = [], 0
     for r in sizes.collect():
-        size += r["size"]
-        if size > most_bytes:
-            break
-        taken.append((r["conv_id"],))
+        if size + r["size"] <= most_bytes:  # one that is too long leaves room for the others
+            size += r["size"]
+            taken.append((r["conv_id"],))
     chosen = lines.sparkSession.createDataFrame(taken, "conv_id long")
     rows = known.join(F.broadcast(chosen), "conv_id").select("conv_id", "line_no", "line", "role").orderBy("conv_id", "line_no").collect()  # at most most_bytes
     found: list[list] = []

@@ -118,8 +118,9 @@ def judge_urls(pages: DataFrame, labelled: DataFrame | None, rules: Sequence[tup
     tokens = url_tokens(F.col("url"), F.col("host"), F.col("path"))
     known = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).withColumn("host", host).withColumn("path", path)
     known = known.withColumn("listed", listed_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", F.array_sort(tokens))
-    listed = known.filter("listed IS NOT NULL OR url IS NULL").drop("tokens")
-    open_ = known.filter("listed IS NULL AND url IS NOT NULL")
+    has_host = F.coalesce(F.instr("url", "://"), F.lit(0)) > 0
+    listed = known.filter(F.col("listed").isNotNull() | ~has_host).drop("tokens")
+    open_ = known.filter(F.col("listed").isNull() & has_host)
     none = F.lit(None).cast("struct<confidence:double,support:double,fewest:int,tokens:array<string>,verdict:string>")
     judged = listed.withColumn("mined_rule", none)
     mined = None
