@@ -35,7 +35,8 @@ ID_BITS = 21
 COMMON = (1 << 20) - 1
 BITMAP_BITS = 27
 SCALE = 1_000_000
-SORTED_KEYS = 4 << 20  # packed keys that a task sorts at once
+SLICE = 2 << 20  # bytes of text that are taken apart at once
+SORTED_KEYS = 2 << 20  # packed keys that a task sorts at once
 OUTSIDE = np.zeros(256, bool)
 OUTSIDE[list(b" \t.,;:!?\n\x0b\x0c\r")] = True
 BREAK = OUTSIDE.copy()
@@ -77,8 +78,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
-        tally = Tally(1 << 20)
-        for part in slices(batches, "text"):
+        tally = Tally(1 << 19)
+        for part in slices(batches, "text", SLICE):
             codes, _, keys, _ = sentence_words(part)
             yield from batches_of(tally.add(keys, np.bincount(codes, minlength=len(keys))))
         yield from batches_of(tally.rest())
@@ -145,7 +146,7 @@ def id_runs(docs: DataFrame, words) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
         known = words.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             codes, joined, keys, _ = sentence_words(part)
             ids = known.ids(keys)
             unknown = np.flatnonzero(ids == 0)
@@ -168,7 +169,7 @@ def phrases(runs: DataFrame, words, size: int, pairs=None) -> DataFrame:
         free_worker()
         known = words.value
         held: list[np.ndarray] = []
-        spelled = Tally(1 << 18)
+        spelled = Tally(1 << 17)
 
         def packed_rows() -> Iterator[pa.RecordBatch]:
             keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.int64)
