@@ -79,10 +79,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "wavelet")
-    manifest = write_shards(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
-    digests = cut(read_shards(manifest, folder))
-    remove(spark, folder)
-    return digests
+    try:
+        manifest = write_shards(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
+        return cut(read_shards(manifest, folder))
+    finally:
+        remove(spark, folder)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
