@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weirwork.llm.bpe import encode_digests
-from weirwork.llm.common import new_folder, remove, table
+from weirwork.llm.common import cut, new_folder, remove, table
 from weirwork.llm.mixing import mix_sources
 from weirwork.llm.ngram_join import one_per_component
 from weirwork.llm.quality import keep_quality
@@ -55,10 +55,13 @@ STAGES = [("toxicity", toxicity), ("quality", quality), ("near_duplicates", near
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder, before = new_folder(spark, "pipeline"), None
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        if before is not None:
-            remove(spark, f"{folder}/{before}")
-        before = name
-    return docs
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before is not None:
+                remove(spark, f"{folder}/{before}")
+            before = name
+        return cut(docs)  # a checkpoint, which Spark removes with the result where it is told to
+    finally:
+        remove(spark, folder)
