@@ -356,14 +356,16 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT conv_id AS path, md5(text) AS digest FROM conversations WHERE turn = 1), r AS (SELECT conv_id AS path, md5(text) AS digest FROM conversations WHERE turn = 3)
+WITH t AS (SELECT conv_id || '/' || (turn // 2) AS path, turn % 2 AS side, md5(string_agg(coalesce(text, ''), chr(1) ORDER BY turn, text)) AS digest FROM conversations GROUP BY 1, 2),
+l AS (SELECT path, digest FROM t WHERE side = 0), r AS (SELECT path, digest FROM t WHERE side = 1)
 SELECT path, CASE WHEN l.digest IS NULL THEN 'added' WHEN r.digest IS NULL THEN 'removed' WHEN l.digest = r.digest THEN 'same' ELSE 'changed' END AS status
 FROM l FULL OUTER JOIN r USING (path)""")
 def tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two listings compared: second and fourth turns stand for the files of two trees."""
-    turns = table(spark, sf_dir, "conversations")
-    side = lambda k: turns.filter(F.col("turn") == k).select(F.col("conv_id").alias("path"), F.md5(F.col("text").cast("binary")).alias("digest"))
-    return C.diff_trees(side(1), side(3))
+    """Two listings compared: of all turns the even and the odd ones stand for the files of two trees."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", F.expr("turn div 2")).alias("path"), (F.col("turn") % 2).alias("side"), "turn", F.coalesce("text", F.lit("")).alias("text"))
+    texts = turns.groupBy("path", "side").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    files = texts.select("path", "side", F.md5(F.array_join("x.text", "\x01").cast("binary")).alias("digest"))
+    return C.diff_trees(*(files.filter(F.col("side") == k).drop("side") for k in (0, 1)))
 
 
 @query("SELECT p_partkey AS name, CASE WHEN p_name = p_type THEN 'same' ELSE 'changed' END AS status, levenshtein(p_name, p_type) AS distance FROM part")
