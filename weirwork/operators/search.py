@@ -102,22 +102,9 @@ def _packed(rows: DataFrame, lanes: int, name: str, dtype: str) -> DataFrame:
     return rows.repartition(lanes).mapInArrow(run, schema).repartitionById(lanes, F.col(f"{name}_lane"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, vec_id, score and rank of the k vectors nearest to each query by cosine, exactly.
-
-    Queries and vectors are both cut into blocks; a task compares a block of queries with some
-    blocks of vectors and gives only its k best rows a query, which are merged by query.
-
-    Defined cases: a row without an id is neither query nor neighbour, and no row is its own
-    neighbour. Null and zero vectors, vectors with null or non-finite components and pairs of
-    different length have a null score and come last.
-    """
-    single = all(d.schema[vector_col].dataType.elementType == FloatType() for d in (queries, vectors))
-    dtype, kind = ("float32", "array<float>") if single else ("float64", "array<double>")
-    rows = lambda d: d.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector"))
-    q, v = rows(queries), rows(vectors)
-    least = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lanes_q, lanes_v = max(1, -(-q.count() // BLOCK)), max(least, -(-v.count() // (BLOCK * LANE_BLOCKS)))
+def best_of_blocks(k: int, dtype: str):
+    """A function of mapInArrow: of pairs of blocks (columns q_ and v_: block, width, ids, data; the pairs of one query block
+    side by side) the k nearest vectors of each query."""
     unit, none, gone, steps = 10**DIGITS, -2 * 10**DIGITS, -3 * 10**DIGITS, SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +154,27 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
         if found:
             yield best(ids_q, found)
 
+    return run
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, vec_id, score and rank of the k vectors nearest to each query by cosine, exactly.
+
+    Queries and vectors are both cut into blocks; a task compares a block of queries with some
+    blocks of vectors and gives only its k best rows a query, which are merged by query.
+
+    Defined cases: a row without an id is neither query nor neighbour, and no row is its own
+    neighbour. Null and zero vectors, vectors with null or non-finite components and pairs of
+    different length have a null score and come last.
+    """
+    single = all(d.schema[vector_col].dataType.elementType == FloatType() for d in (queries, vectors))
+    dtype, kind = ("float32", "array<float>") if single else ("float64", "array<double>")
+    rows = lambda d: d.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector"))
+    q, v = rows(queries), rows(vectors)
+    least = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes_q, lanes_v = max(1, -(-q.count() // BLOCK)), max(least, -(-v.count() // (BLOCK * LANE_BLOCKS)))
     pairs = _packed(q, lanes_q, "q", dtype).hint("shuffle_replicate_nl").crossJoin(_packed(v, lanes_v, "v", dtype))
-    scored = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    scored = pairs.mapInArrow(best_of_blocks(k, dtype), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

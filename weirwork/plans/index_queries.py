@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import block_index as X
+from ..operators import vector_index as V
 from ..sources.scratch import cut, new_folder, remove
 from ..streaming.snapshots import Snapshots
 from .queries import BM25, TERMS, TOKENS, query
@@ -67,3 +68,15 @@ def index_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         return flat.groupBy("term").agg(F.count("*").alias("documents"), F.sum(tf).alias("occurrences"), F.sum(tf * (F.col("doc_id") % 1000003)).alias("digest"))
 
     return _indexed(spark, sf_dir, ask)
+
+
+@query()
+def index_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors, by the inverted file, of every vector whose id is divisible by 20, against all vectors. Tests measure the recall against search_nearest's way."""
+    folder = new_folder(spark, "vectors")
+    try:
+        vectors = table(spark, sf_dir, "embeddings")
+        V.build(vectors, folder)
+        return cut(V.search(spark, folder, vectors.filter(F.col("vec_id") % 20 == 0), 10, V.PROBES))
+    finally:
+        remove(spark, folder)
