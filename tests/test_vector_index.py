@@ -8,14 +8,15 @@ from weirwork.operators import vector_index as V
 from .conftest import SMALL
 
 
-def test_recall_on_the_given_vectors(spark, tmp_path):
-    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.1"])
+def test_recall_on_the_given_vectors(spark, tmp_path, folder):
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     V.build(vectors, str(tmp_path / "ivf"))
     queries = vectors.filter("vec_id % 20 = 0")
     exact = S.nearest(queries, vectors, 10)
     lists = spark.read.parquet(str(tmp_path / "ivf" / "centres")).count()
-    found = V.search(spark, str(tmp_path / "ivf"), queries, 10, V.PROBES)
-    assert V.PROBES < lists
+    found = V.search(spark, str(tmp_path / "ivf"), queries, 10)
+    assert spark.read.parquet(str(tmp_path / "ivf" / "probes")).first()["probes"] < lists
     assert V.recall(found, exact) >= 0.9
     every = V.search(spark, str(tmp_path / "ivf"), queries, 10, lists)
     assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))

@@ -4,7 +4,10 @@ Centres are fitted by cosine on at most SAMPLE_PER_LIST vectors a list, those wi
 of their id (the bound is a parameter); every vector is then put into the list of its nearest
 centre and written in blocks, sorted by list, so that a list of any size is many rows. A search
 finds the `probes` nearest centres of each query and compares it, exactly, with the vectors of
-those lists. `search.nearest` is the exact way; `recall` says how much of its result was found.
+those lists. How many probes it takes is measured when the index is built: CALIBRATION vectors are
+searched for exactly, and the least number that reaches TARGET of their neighbours is kept with the
+index. Vectors that form no clusters need many. `search.nearest` is the exact way; `recall` says how
+much of its result was found.
 
 Centres are broadcast: there are as many as the index was asked for, at most MOST_LISTS.
 
@@ -24,13 +27,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .search import BLOCK, SLICE, best_of_blocks
+from .search import BLOCK, SLICE, best_of_blocks, nearest
 
 SAMPLE_PER_LIST = 256
 MOST_LISTS = 1 << 14
 LANES = 16  # parts into which a list's blocks are dealt for a search
 NO_LIST = -1
-PROBES = 16
+CALIBRATION = 200  # vectors that are searched for exactly when an index is built
+TARGET = 0.93  # of their NEIGHBOURS nearest that a search must find
+NEIGHBOURS = 10
 
 
 def _usable(vector: Column, width: int) -> Column:
@@ -89,7 +94,7 @@ def _blocks(rows: DataFrame, parts: int, size: int, prefix: str) -> DataFrame:
     return rows.repartitionByRange(parts, "list", "id").sortWithinPartitions("list", "id").mapInArrow(run, schema)
 
 
-def build(vectors: DataFrame, folder: str, lists: int | None = None, per_list: int = SAMPLE_PER_LIST, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> None:
+def build(vectors: DataFrame, folder: str, lists: int | None = None, per_list: int = SAMPLE_PER_LIST, target: float = TARGET, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> None:
     """Write an index of all rows into an empty folder. lists: the square root of the number of rows where not given."""
     spark = vectors.sparkSession
     rows = _rows(vectors, id_col, vector_col)
@@ -110,6 +115,23 @@ def build(vectors: DataFrame, folder: str, lists: int | None = None, per_list: i
     if n:
         placed = placed.unionByName(_nearest_lists(usable, spark.sparkContext.broadcast(found), 1))
     _one_width(placed, parts).write.parquet(f"{folder}/lists")
+    probes = _probes(usable, found, target) if n else 0
+    spark.createDataFrame([(probes,)], "probes int").coalesce(1).write.parquet(f"{folder}/probes")
+
+
+def _probes(usable: DataFrame, centres: np.ndarray, target: float) -> int:
+    """The least number of probes that reaches the share of neighbours, over a sample of fixed size."""
+    spark = usable.sparkSession
+    sample = usable.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(CALIBRATION)
+    asked = {r["id"]: r["vector"] for r in sample.collect()}
+    chosen = spark.createDataFrame(list(asked.items()), "vec_id long, embedding array<double>")
+    exact = nearest(chosen, usable.select(F.col("id").alias("vec_id"), F.col("vector").alias("embedding")), NEIGHBOURS)
+    found = exact.select("query_id", "vec_id").join(usable.select(F.col("id").alias("vec_id"), "vector"), "vec_id").collect()  # CALIBRATION * NEIGHBOURS rows, but for repeated ids
+    if not found:
+        return 1
+    order = {i: np.argsort(np.argsort(-(centres @ (np.array(v) / np.abs(v).max())), kind="stable")) for i, v in asked.items()}
+    depth = np.sort([order[r["query_id"]][int((centres @ (np.array(r["vector"]) / np.abs(r["vector"]).max())).argmax())] for r in found])
+    return int(depth[min(len(depth) - 1, int(np.ceil(target * len(depth))) - 1)]) + 1
 
 
 def _one_width(placed: DataFrame, parts: int) -> DataFrame:
@@ -118,8 +140,9 @@ def _one_width(placed: DataFrame, parts: int) -> DataFrame:
     return _blocks(placed.filter(F.col("list") != NO_LIST).unionByName(odd), parts, BLOCK, "v")
 
 
-def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, probes: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, vec_id, score and rank of the k nearest vectors in the `probes` nearest lists of each query."""
+def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, vec_id, score and rank of the k nearest vectors in the `probes` nearest lists of each query (as many as the index was built with where not given)."""
+    probes = probes or spark.read.parquet(f"{folder}/probes").first()["probes"]
     centres = spark.read.parquet(f"{folder}/centres").orderBy("list").limit(MOST_LISTS).collect()
     none = spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     if not centres:

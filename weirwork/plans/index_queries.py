@@ -77,6 +77,6 @@ def index_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     try:
         vectors = table(spark, sf_dir, "embeddings")
         V.build(vectors, folder)
-        return cut(V.search(spark, folder, vectors.filter(F.col("vec_id") % 20 == 0), 10, V.PROBES))
+        return cut(V.search(spark, folder, vectors.filter(F.col("vec_id") % 20 == 0), 10))
     finally:
         remove(spark, folder)
