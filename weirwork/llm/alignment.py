@@ -116,7 +116,8 @@ def spelled_alike(raw: np.ndarray, at: np.ndarray, ids: np.ndarray, counts: np.n
 
 def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Common cuts, the group of every A and B token, and the linked (A, B) tokens. ends: byte offsets, ascending."""
-    cuts = np.intersect1d(ends_a, ends_b)
+    once = lambda ends: ends[np.diff(ends, prepend=-1) > 0]
+    cuts = np.intersect1d(once(ends_a), once(ends_b), assume_unique=True)
     group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
     low_a, low_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
     many_b = np.searchsorted(ends_b, cuts, side="right") - low_b
