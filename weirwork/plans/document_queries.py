@@ -1,4 +1,4 @@
-"""Queries of safe updates and of documents taken apart."""
+"""Queries of safe updates, documents taken apart, the graph of terms, and trees and texts compared."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import components as C
+from ..operators import subtrees as D
+from ..operators import term_graph as G
 from ..operators import versions as V
-from .queries import query
+from .queries import TERMS, TOKENS, query
 from .tables import table
 
 #: Lines are uses of packages (parts): what they declare, and the versions that there are.
@@ -65,3 +67,42 @@ def component_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = "IF(length(trim(l)) > 0 AND length(l) % 3 = 0, concat(repeat('#', length(l) % 4 + 1), ' ', l), l)"
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"array_join(transform(split(coalesce(text, ''), '\\n'), l -> {line}), '\\n') AS text")
     return C.of_kinds(C.components(docs), ["heading"]).select("doc_id", "number", "level", "path")
+
+
+@query(f"""
+WITH tok AS (SELECT {TOKENS} AS t FROM documents),
+side AS (SELECT unnest(t[1:len(t) - 1]) AS a, unnest(t[2:len(t)]) AS b FROM tok WHERE len(t) > 1),
+pair AS (SELECT least(a, b) AS source, greatest(a, b) AS target, count(*) AS times FROM side WHERE a <> b GROUP BY ALL),
+per AS (SELECT term, sum(times) AS total FROM (SELECT source AS term, times FROM pair UNION ALL SELECT target, times FROM pair) GROUP BY term),
+scored AS (
+  SELECT source, target, times, ln(times * (2 * (SELECT sum(times) FROM pair))::DOUBLE / (x.total::DOUBLE * y.total)) AS pmi
+  FROM pair JOIN per x ON x.term = source JOIN per y ON y.term = target WHERE times >= 2)
+SELECT source, target, times, round(pmi, 6) AS pmi FROM scored WHERE pmi > 0""")
+def term_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.associations(table(spark, sf_dir, "documents")).withColumn("pmi", F.round("pmi", 6))
+
+
+@query()
+def term_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PageRank of the terms around those of search_bm25. Tests compare with plain rounds."""
+    return G.page_rank(G.associations(table(spark, sf_dir, "documents")), TERMS).withColumn("rank", F.round("rank", 9))
+
+
+@query()
+def tree_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files by source and language; in the second tree German ones lie elsewhere and those of poor quality are changed. Tests compare with a plain model."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    path = lambda *top: F.concat_ws("/", *top, F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), "doc_id")
+    poor = labels.filter("quality = 0").select("doc_id", F.lit(True).alias("poor")).distinct()
+    right = docs.join(poor, "doc_id", "left").select(F.when(F.col("lang") == "de", path(F.lit("moved"))).otherwise(path()).alias("path"), F.when(F.col("poor"), F.lit("changed")).otherwise(digest).alias("digest"))
+    return D.diff_subtrees(docs.select(path().alias("path"), digest.alias("digest")), right)
+
+
+@query()
+def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hunks between each turn of a conversation and the one after it. Tests apply hunks and get the other text."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("right"))
+    pairs = turns.join(after, ["conv_id", "turn"]).select(F.concat_ws("/", "conv_id", "turn").alias("name"), F.col("text").alias("left"), "right")
+    return D.diff_lines(pairs)
