@@ -128,3 +128,16 @@ def test_intermediate_tables_go(spark):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     assert folder.startswith(shared_dir(spark).rstrip("/"))
+
+
+def test_a_store_is_listed_as_a_mounted_folder_is(spark, tmp_path):
+    from weirwork.sources.files import list_store
+
+    tier = tmp_path / ".system"
+    for path in ("dist/UNIT.md", "u [1]/UNIT.md", "u [1]/node_modules/x/UNIT.md", "u [1]/sub/dist/UNIT.md", "u [1]/sub/deep/a%20b.txt", "_assets/node_modules/a.txt", "plain.txt"):
+        put(tier / path)
+    key = lambda r: (r["tier"], r["path"], r["name"], r["kind"])
+    mounted, store = (f(spark, str(tmp_path), ["system", "curated"]) for f in (list_tiers, list_store))
+    assert sorted(map(tuple, store[0].collect())) == sorted(map(tuple, mounted[0].collect()))
+    assert sorted(map(key, store[1].collect())) == sorted(map(key, mounted[1].collect()))
+    assert list_store(spark, str(tmp_path), ["none"])[1].count() == 0

@@ -158,3 +158,18 @@ def test_components_of_a_table(spark):
     assert rows["a", "2"] == ("C", 3, len("```\n# not a heading\n```") + len("end") + len("```\nopen"))
     assert rows[None, "1"] == ("N", 1, 1)
     assert C.components(docs.limit(0)).count() == 0
+
+
+def test_where_a_value_comes_from(spark):
+    from weirwork.operators.config_values import provenance
+
+    fields = spark.createDataFrame(
+        [("a", "string", "x", None), ("b", "string", None, None), ("c", "select", "0.5", ["0.1", "0.5"]), ("d", "select", "0.5", ["0.1", "0.5"]), ("e", "file", "${HOME}/f", None), ("f", "file", "${HOME}/${NO}", None), ("g", "string", "x", None), ("h", "boolean", "true", None)],
+        "key string, type string, default string, options array<string>",
+    )
+    selections = spark.createDataFrame([("c", "0.1"), ("d", "0.7"), ("g", ""), ("h", "true"), ("zz", "1")], "key string, value string")
+    variables = spark.createDataFrame([("HOME", "/u"), ("HOME", "/a")], "name string, value string")
+    got = {r["key"]: (r["value"], r["badge"]) for r in provenance(fields, selections, variables).collect()}
+    assert got == {
+        "a": ("x", "Default"), "b": (None, "Empty"), "c": ("0.1", "Selected"), "d": ("0.7", "Unresolved"), "e": ("/u/f", "Default"), "f": ("/u/${NO}", "Unresolved"), "g": ("", "Empty"), "h": ("true", "Selected"),
+    }

@@ -9,6 +9,7 @@ from ..operators import components as C
 from ..operators import subtrees as D
 from ..operators import term_graph as G
 from ..operators import versions as V
+from ..operators.config_values import provenance
 from .queries import TERMS, TOKENS, query
 from .tables import table
 
@@ -106,3 +107,21 @@ def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("right"))
     pairs = turns.join(after, ["conv_id", "turn"]).select(F.concat_ws("/", "conv_id", "turn").alias("name"), F.col("text").alias("left"), "right")
     return D.diff_lines(pairs)
+
+
+@query("""
+WITH f AS (
+  SELECT 'field-' || p_partkey AS key, CASE p_size % 3 WHEN 0 THEN 'select' ELSE 'string' END AS type, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 5 = 1 THEN '${V' || p_size || '}/x' ELSE p_brand END AS dflt, [p_brand, p_type] AS options,
+         CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN p_type ELSE p_name END AS chosen, 'V' || p_size AS var, p_size
+  FROM part),
+r AS (SELECT *, coalesce(chosen, dflt) AS raw FROM f),
+v AS (SELECT *, coalesce(contains(raw, '${'), false) AS uses, p_size % 2 = 0 AS given, CASE WHEN contains(raw, '${') AND p_size % 2 = 0 THEN replace(raw, '${' || var || '}', 'v' || p_size) ELSE raw END AS value FROM r)
+SELECT key, value, CASE WHEN (uses AND NOT given) OR (type = 'select' AND value <> '' AND NOT list_contains(options, value)) THEN 'Unresolved' WHEN value IS NULL OR value = '' THEN 'Empty' WHEN chosen IS NOT NULL THEN 'Selected' ELSE 'Default' END AS badge
+FROM v""")
+def config_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts stand for fields with defaults, options and selections; sizes for variables, the even ones given."""
+    part = table(spark, sf_dir, "part").withColumn("key", F.concat(F.lit("field-"), "p_partkey"))
+    fields = part.selectExpr("key", "IF(p_size % 3 = 0, 'select', 'string') AS type", "CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 5 = 1 THEN concat('${V', p_size, '}/x') ELSE p_brand END AS default", "array(p_brand, p_type) AS options")
+    chosen = part.selectExpr("key", "CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN p_type ELSE p_name END AS value").filter("value IS NOT NULL")
+    given = part.filter("p_size % 2 = 0").selectExpr("concat('V', p_size) AS name", "concat('v', p_size) AS value")
+    return provenance(fields, chosen, given)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,15 +31,15 @@ def _local(folder: str) -> str:
 
 
 def write_files(rows: DataFrame, folder: str) -> int:
-    """Write rows (path, body) as files below a folder of a mounted file system; how many there are."""
-    top = _local(folder)
+    """Write rows (path, body) as files below a folder of any store that Arrow can write to; how many there are."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, top = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + _local(folder))
         for part in parts:
             for path, body in part.itertuples(index=False):
-                name = os.path.join(top, path)
-                os.makedirs(os.path.dirname(name), exist_ok=True)
-                with open(name, "wb") as f:
+                name = f"{top}/{path}"
+                store.create_dir(name.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(name) as f:
                     f.write(body.encode() if isinstance(body, str) else bytes(body))
             yield pd.DataFrame({"n": [len(part)]})
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import frontmatter
+from ..functions.text import ancestors, frontmatter
 from ..functions.yaml12 import yaml_to_json
 from ..schemas import DIR_ENTRY, MANIFEST
 
@@ -112,6 +112,42 @@ def list_tiers(spark: SparkSession, root: str, tiers: Iterable[str], prefix: str
     return spark.createDataFrame(known, "tier string, ordinal int, present boolean, kind string"), listed.mapInPandas(run, DIR_ENTRY)
 
 
+def list_store(spark: SparkSession, root: str, tiers: Iterable[str], prefix: str = ".", prune: Iterable[str] = PRUNED) -> tuple[DataFrame, DataFrame]:
+    """The same as list_tiers for any store that Spark reads, mounted or not.
+
+    The driver asks the Hadoop file system for the tiers and their direct entries; what lies below
+    the entries is listed by Spark's own reader, in a job of its own where there are many folders
+    (the driver holds that list, as it does for any read), and no content is read. A store knows files: directories are those above some file, links are taken for
+    what they lead to, and as in all of Spark's listings names that begin with a dot or an underscore
+    are passed over below a tier's direct entries.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = qualified(spark, root).rstrip("/")
+    fs = hadoop.Path(top).getFileSystem(spark._jsc.hadoopConfiguration())
+    known, direct = [], []
+    for i, tier in enumerate(tiers):
+        path = hadoop.Path(f"{top}/{prefix}{tier}")
+        there = fs.exists(path)
+        kind = ("dir" if fs.getFileStatus(path).isDirectory() else "other") if there else None
+        known.append((tier, i, there, kind))
+        if kind == "dir":
+            direct += [(tier, s.getPath().getName(), "dir" if s.isDirectory() else "file") for s in fs.listStatus(path)]
+    entries = spark.createDataFrame([(t, n, n, k) for t, n, k in direct], DIR_ENTRY)
+    folders = [f"{top}/{prefix}{t}/{n}" for t, n, k in direct if k == "dir"]
+    if folders:
+        escaped = [re.sub(r"([\\[\]{}*?])", r"\\\1", f) for f in folders]  # names, not patterns
+        # the reader's own list, as its rows leave out empty files
+        held = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(escaped).inputFiles()
+        found = spark.createDataFrame([(f,) for f in held], "file string").select(below(F.col("file"), top).alias("whole"))
+        files = found.select(F.substring(F.regexp_extract("whole", "^[^/]*", 0), len(prefix) + 1, 1 << 30).alias("tier"), F.regexp_replace("whole", "^[^/]*/", "").alias("path"))
+        parts = F.slice(F.split("path", "/"), 2, 1 << 30)
+        shared = F.startswith("path", F.lit(SHARED + "/"))
+        kept = files.filter(shared | ~F.arrays_overlap(parts, F.array(*map(F.lit, prune)).cast("array<string>")))
+        rows = kept.select("tier", "path", F.lit("file").alias("kind")).unionByName(kept.select("tier", F.explode(ancestors(F.col("path"))).alias("path"), F.lit("dir").alias("kind")).filter(F.contains("path", F.lit("/"))).distinct())
+        entries = entries.unionByName(rows.select("tier", "path", F.regexp_extract("path", r"[^/]*\z", 0).alias("name"), "kind"))
+    return spark.createDataFrame(known, "tier string, ordinal int, present boolean, kind string"), entries
+
+
 def read_bytes(spark: SparkSession, *globs: str) -> DataFrame:
     """path, size and content of each file."""
     return spark.read.format("binaryFile").load(list(globs)).select("path", F.col("length").alias("size"), "content")
