@@ -43,10 +43,13 @@ def built(units: DataFrame, tiers: DataFrame) -> DataFrame:
 def parity(features: DataFrame, unit: str = "unit", feature: str = "feature") -> DataFrame:
     """feature, n_with, n_without and the units without it, of features that some units have and others lack."""
     have = features.select(F.col(unit).alias("unit"), F.col(feature).alias("feature")).distinct()
-    units = have.select("unit").distinct()
-    some = have.groupBy("feature").agg(F.count("*").alias("n_with")).join(units.agg(F.count("*").alias("n")))  # one row a side of few features
-    lacking = some.filter("n_with < n").join(units).join(have, ["unit", "feature"], "left_anti")
-    return lacking.groupBy("feature", "n_with").agg(F.count("*").alias("n_without"), F.array_sort(F.collect_list("unit")).alias("without"))
+    n = have.select("unit").distinct().count()
+    some = have.groupBy("feature").agg(F.count("*").alias("n_with")).filter(F.col("n_with") < n)
+    every = some.agg(F.array_sort(F.collect_list("feature")).alias("every"))  # one row: the features are few
+    own = have.groupBy("unit").agg(F.collect_set("feature").alias("own"))
+    lacking = own.join(F.broadcast(every)).select("unit", F.explode(F.array_except("every", "own")).alias("feature"))
+    without = lacking.groupBy("feature").agg(F.count("*").alias("n_without"), F.array_sort(F.collect_list("unit")).alias("without"))
+    return some.join(without, "feature").select("feature", "n_with", "n_without", "without")
 
 
 def irregular(entries: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def from_files(spark: SparkSession, rows: DataFrame, read) -> DataFrame:
 @query(f"WITH {ENTRIES} SELECT * FROM declared")
 def file_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests as files: the root's own and those of the units, found by globs, named relative to the root."""
-    rows = V.manifests(spark, sf_dir).select(F.col("manifest").alias("path"), F.to_json(F.struct("dependencies", "devDependencies", "overrides", F.lit("x").alias("name"))).alias("body"))
+    rows = V.manifests(spark, sf_dir, root_parts=1).select(F.col("manifest").alias("path"), F.to_json(F.struct("dependencies", "devDependencies", "overrides", F.lit("x").alias("name"))).alias("body"))
     return from_files(spark, rows, lambda folder: D.declarations(D.all_declarations(files.read_manifests(spark, "package.json", "units/*/package.json", root=folder))))
 
 

@@ -14,8 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers are manifests (every fiftieth is the root), parts are packages, lines are entries."""
+def manifests(spark: SparkSession, sf_dir: str, root_parts: int = 64) -> DataFrame:
+    """Suppliers are manifests (every fiftieth is the root), parts are packages, lines are entries.
+
+    The root has a share of all entries, so it comes in parts, a row each, by hash of the name (all operators take a
+    manifest in several rows).
+    """
     rows = table(spark, sf_dir, "lineitem").selectExpr(
         "if(l_suppkey % 50 = 0, 'package.json', concat('units/u', l_suppkey, '/package.json')) AS manifest",
         "element_at(array('dependencies', 'devDependencies', 'overrides'), l_linenumber % 3 + 1) AS section",
@@ -24,7 +28,8 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     one = rows.groupBy("manifest", "section", "name").agg(F.min("spec").alias("spec"))
     part = lambda s: F.map_from_entries(F.collect_list(F.when(F.col("section") == s, F.struct("name", "spec")))).alias(s)
-    return one.groupBy("manifest").agg(*map(part, ("dependencies", "devDependencies", "overrides")))
+    piece = F.when(F.col("manifest") == "package.json", F.pmod(F.xxhash64("name"), F.lit(root_parts))).otherwise(F.lit(0).cast("long"))
+    return one.groupBy("manifest", piece.alias("piece")).agg(*map(part, ("dependencies", "devDependencies", "overrides"))).drop("piece")
 
 
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
