@@ -245,23 +245,16 @@ def decode(ids: list[int], table: MergeTable) -> str:
 
 
 @cache
-def unsettled() -> re.Pattern[str]:
-    """Characters on which the Unicode tables of Python and of the library may differ in composition or case:
+def unsettled() -> np.ndarray:
+    """Of each code point, whether the Unicode tables of Python and of the library may differ on it in composition or case:
     combining ones and those that Python does not know."""
-    ranges: list[list[int]] = []
-    for c in range(0x110000):
-        if unicodedata.combining(chr(c)) or unicodedata.category(chr(c)) == "Cn":
-            if ranges and ranges[-1][1] == c - 1:
-                ranges[-1][1] = c
-            else:
-                ranges.append([c, c])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+    return np.fromiter((bool(unicodedata.combining(c)) or unicodedata.category(c) == "Cn" for c in map(chr, range(0x110000))), bool, 0x110000)
 
 
 def normalise(text: str, library) -> str:
     """The text as the library's normaliser has it, but for white space. Composed text of settled characters needs no library."""
     if not text.isascii():
-        if not unicodedata.is_normalized("NFC", text) or unsettled().search(text):
+        if not unicodedata.is_normalized("NFC", text) or unsettled()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
             return library.normalize_str(text)
         text = text.replace("Σ", "σ")  # lower case letter by letter, whatever follows
     return text.lower()
