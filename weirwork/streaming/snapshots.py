@@ -170,10 +170,9 @@ class Snapshots:
             pairs = F.array_distinct(F.transform("p", lambda p: F.struct(p["tf"].alias("tf"), p["len"].alias("len"))))
             best = F.filter("pairs", lambda x: ~F.exists("pairs", lambda y: ((y["tf"] >= x["tf"]) & (y["len"] <= x["len"])) & ((y["tf"] > x["tf"]) | (y["len"] < x["len"]))))
             blocks = joined.withColumn("pairs", pairs).select("term", "range", F.size("p").cast("long").alias("n"), F.col("p.ord").alias("ords"), F.col("p.tf").alias("tfs"), F.flatten("p.at").alias("positions"), best.alias("frontier"))
-            # what the merged segments say about others stays
-            dead = self._read("dead", DEAD, {"segments": [s for s in state["segments"] if s["segment"] in chosen]}) if any(s["kills"] for s in state["segments"] if s["segment"] in chosen) else self.spark.createDataFrame([], DEAD)
             others = [s["segment"] for s in state["segments"] if s["segment"] not in chosen]
-            made = self._write(state["next"], tables.cut(blocks), ranges, self._all_dead(state, chosen, others) if others else dead.limit(0))
+            # what the merged segments say about others stays
+            made = self._write(state["next"], tables.cut(blocks), ranges, self._all_dead(state, chosen, others) if others else None)
         segments = [s for s in state["segments"] if s["segment"] not in chosen]
         state = {"snapshot": state["snapshot"] + 1, "segments": [made, *segments] if not others else [*segments, made], "next": state["next"] + 1, "batch": state["batch"]}
         self._publish(state)
