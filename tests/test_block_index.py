@@ -164,3 +164,30 @@ def test_same_scores_as_search_without_an_index(spark):
     docs = spark.createDataFrame(some_docs(60, 9), "doc_id long, text string")
     want = [tuple(r) for r in S.top(S.bm25(docs, ["new", "york"]), 8).collect()]
     assert [tuple(r) for r in index_of(spark, some_docs(60, 9)).ranked(["new", "york"], 8).collect()] == want
+
+
+def test_merging_takes_time_in_proportion_to_the_postings(spark, tmp_path):
+    import time
+
+    n = 4000  # one range in which a term has n postings: work by the square of that took minutes
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('cat cat dog w', hex(id)) AS text")
+    store = Snapshots(spark, str(tmp_path / "index"))
+    store.commit(docs.coalesce(1))
+    store.commit(spark.createDataFrame([(1, "cat")], "doc_id long, text string"), spark.createDataFrame([(0,)], "doc_id long"))
+    start = time.time()
+    store.merge(every=True)
+    assert time.time() - start < 40
+    assert {r["term"]: r["n"] for r in store.open().blocks.filter("term IN ('cat', 'dog')").collect()} == {"cat": n - 1, "dog": n - 2}
+    assert store.open().dead.count() == 0
+
+
+def test_a_merged_range_is_bounded_by_tokens_too(spark, tmp_path, monkeypatch):
+    from weirwork.streaming import snapshots
+
+    monkeypatch.setattr(snapshots, "RANGE_TOKENS", 50)
+    store = Snapshots(spark, str(tmp_path / "index"))
+    for i in range(3):
+        store.commit(spark.createDataFrame([(i, "cat dog " * 30)], "doc_id long, text string"))
+    store.merge(every=True)
+    assert store.open().ranges.count() == 3
+    assert postings(store.open()) == sorted((t, i, 30) for i in range(3) for t in ("cat", "dog"))

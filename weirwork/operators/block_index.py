@@ -31,6 +31,7 @@ RANGE_BYTES = 8 << 20  # of text; a longer text is a range of its own
 PROBES = 4  # ranges that are scored first, for each result asked for
 BLOCKS = "term string, range long, n long, ords array<int>, tfs array<int>, positions array<int>, frontier array<struct<tf:int,len:int>>"
 RANGES = "range long, n long, total long, ids array<long>, lens array<int>, versions array<string>"
+BUILT = f"{BLOCKS}, total long, ids array<long>, lens array<int>, versions array<string>"  # blocks and ranges in one table
 MARGIN = 10.0**-DIGITS
 
 
@@ -72,40 +73,87 @@ def range_blocks(ids: np.ndarray, text: pa.Array, versions: pa.Array, range_id:
     lens = np.bincount(doc, minlength=len(ids)).astype(np.int32)
     position = np.arange(len(doc)) - (np.cumsum(lens) - lens)[doc]
     rank = np.argsort(np.argsort(np.array(terms, object), kind="stable"), kind="stable") if terms else np.zeros(0, np.int64)
-    by_name = sorted(terms)
     order = np.lexsort((doc, rank[term]))  # stable: positions ascend
     key, d = rank[term][order], doc[order]
     edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (d[1:] != d[:-1])])) if len(key) else np.zeros(0, np.int64)
     tf = np.diff(np.append(edge, len(key)))
-    post_term, ords = key[edge], d[edge]
-    per = np.bincount(post_term, minlength=len(terms))
-    best = frontier(post_term, tf, lens[ords])
+    return _blocks(sorted(terms), key[edge], d[edge], tf, position[order], lens, range_id), _row(ids, lens, versions, range_id)
+
+
+def _blocks(terms: list[str], term: np.ndarray, ords: np.ndarray, tf: np.ndarray, position: np.ndarray, lens: np.ndarray, range_id: int) -> pa.RecordBatch:
+    """Blocks of a range from its postings in the order of terms and documents, and from the positions in that order."""
+    per = np.bincount(term, minlength=len(terms))
+    best = frontier(term, tf, lens[ords])
     pairs = pa.StructArray.from_arrays([pa.array(tf[best].astype(np.int32)), pa.array(lens[ords[best]])], ["tf", "len"])
-    blocks = pa.RecordBatch.from_arrays(
+    held = np.concatenate([[0], np.cumsum(tf)])[np.cumsum(per)]
+    return pa.RecordBatch.from_arrays(
         [
-            pa.array(by_name, pa.string()), pa.array(np.full(len(terms), range_id)), pa.array(per), _lists(np.cumsum(per), pa.array(ords.astype(np.int32))), _lists(np.cumsum(per), pa.array(tf.astype(np.int32))),
-            _lists(np.cumsum(np.bincount(key, minlength=len(terms))), pa.array(position[order].astype(np.int32))), _lists(np.cumsum(np.bincount(post_term[best], minlength=len(terms))), pairs),
+            pa.array(terms, pa.string()), pa.array(np.full(len(terms), range_id)), pa.array(per), _lists(np.cumsum(per), pa.array(ords.astype(np.int32))), _lists(np.cumsum(per), pa.array(tf.astype(np.int32))),
+            _lists(held, pa.array(position.astype(np.int32))), _lists(np.cumsum(np.bincount(term[best], minlength=len(terms))), pairs),
         ],
         ["term", "range", "n", "ords", "tfs", "positions", "frontier"],
     )
+
+
+def _row(ids: np.ndarray, lens: np.ndarray, versions: pa.Array, range_id: int) -> pa.RecordBatch:
     one = lambda values: _lists(np.array([len(values)]), values)
-    row = pa.RecordBatch.from_arrays([pa.array([range_id]), pa.array([len(ids)]), pa.array([int(lens.sum())]), one(pa.array(ids)), one(pa.array(lens)), one(versions)], ["range", "n", "total", "ids", "lens", "versions"])
-    return blocks, row
+    return pa.RecordBatch.from_arrays([pa.array([range_id]), pa.array([len(ids)]), pa.array([int(lens.sum())]), one(pa.array(ids)), one(pa.array(lens)), one(versions)], ["range", "n", "total", "ids", "lens", "versions"])
+
+
+def _one_table(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Blocks or ranges with the columns of both."""
+    integers = pa.list_(pa.int32())
+    kinds = {"term": pa.string(), "range": pa.int64(), "n": pa.int64(), "ords": integers, "tfs": integers, "positions": integers, "frontier": pa.list_(pa.struct([("tf", pa.int32()), ("len", pa.int32())]))}
+    kinds |= {"total": pa.int64(), "ids": pa.list_(pa.int64()), "lens": integers, "versions": pa.list_(pa.string())}
+    there = dict(zip(b.schema.names, b.columns, strict=True))
+    return pa.RecordBatch.from_arrays([there[n].cast(kind) if n in there else pa.nulls(b.num_rows, kind) for n, kind in kinds.items()], list(kinds))
+
+
+def repack(blocks: pa.Table, docs: pa.Table) -> pa.Table:
+    """One range (column `new` or `into`) from the blocks of several and from the documents that stay, a function of applyInArrow.
+
+    blocks: segment, range, term, ords, tfs, positions. docs: segment, range, ord, doc_id, len, version.
+    """
+    docs = docs.sort_by([("segment", "ascending"), ("range", "ascending"), ("ord", "ascending")])
+    number = docs["into"][0].as_py() if docs.num_rows else blocks["new"][0].as_py()
+    one = lambda t, c: t[c].combine_chunks()
+    lens = docs["len"].to_numpy().astype(np.int32)
+    # a place in an old range is its offset there; `to` has the new place, or -1
+    both = pa.concat_tables([t.select(["segment", "range"]) for t in (docs, blocks)])
+    _, old = np.unique(np.rec.fromarrays([both["segment"].to_numpy(), both["range"].to_numpy()]), return_inverse=True)
+    of_doc, of_block = old[: docs.num_rows], old[docs.num_rows :]
+    flat = lambda c: (pc.list_value_length(one(blocks, c)).to_numpy(zero_copy_only=False).astype(np.int64), one(blocks, c).flatten().to_numpy())
+    per, ords = flat("ords")
+    tf, (_, position) = flat("tfs")[1].astype(np.int64), flat("positions")
+    place = docs["ord"].to_numpy()
+    width = int(max(place.max(initial=-1), ords.max(initial=-1))) + 1
+    to = np.full((int(old.max(initial=-1)) + 1) * width, -1)
+    to[of_doc * width + place] = np.arange(docs.num_rows)
+    new = to[np.repeat(of_block, per) * width + ords]
+    named = one(blocks, "term").dictionary_encode()
+    terms = named.dictionary.to_pylist()
+    rank = np.argsort(np.argsort(np.array(terms, object), kind="stable"), kind="stable") if terms else np.zeros(0, np.int64)
+    term = np.repeat(rank[named.indices.to_numpy()], per)
+    order = np.lexsort((new, term))
+    order = order[new[order] >= 0]
+    begin, size = (np.cumsum(tf) - tf)[order], tf[order]
+    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    kept, code = np.unique(term[order], return_inverse=True)  # terms of documents that are gone have no block
+    by_name = sorted(terms)
+    rows = [_blocks([by_name[t] for t in kept.tolist()], code, new[order], size, position[at], lens, number)]
+    if docs.num_rows:
+        rows.append(_row(docs["doc_id"].to_numpy(), lens, one(docs, "version"), number))
+    return pa.Table.from_batches([_one_table(b) for b in rows])
 
 
 def build(docs: DataFrame, range_docs: int = RANGE_DOCS, range_bytes: int = RANGE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Blocks and ranges in one table (columns of both; `term` is null in a range's row), to be written once and split by reading."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text).alias("text"), F.md5(text.cast("binary")).alias("version"))
-    schema = f"{BLOCKS}, total long, ids array<long>, lens array<int>, versions array<string>"
-    names = [c.split(" ")[0] for c in ("term", "range", "n", "ords", "tfs", "positions", "frontier", "total", "ids", "lens", "versions")]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number, held, rows, size = TaskContext.get().partitionId() << 32, [], 0, 0
-        empty = {"ords": pa.list_(pa.int32()), "tfs": pa.list_(pa.int32()), "positions": pa.list_(pa.int32()), "frontier": pa.list_(pa.struct([("tf", pa.int32()), ("len", pa.int32())])), "term": pa.string()}
-        empty |= {"total": pa.int64(), "ids": pa.list_(pa.int64()), "lens": pa.list_(pa.int32()), "versions": pa.list_(pa.string())}
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number, rows, size
@@ -113,8 +161,7 @@ def build(docs: DataFrame, range_docs: int = RANGE_DOCS, range_bytes: int = RANG
             column = lambda c, kind: t[c].cast(kind).combine_chunks()
             text = column("text", pa.large_string())
             for b in range_blocks(t["doc_id"].to_numpy(), text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text, column("version", pa.string()), number):
-                there = {n: b.column(n) for n in b.schema.names}
-                yield pa.RecordBatch.from_arrays([there[n] if n in there else pa.nulls(b.num_rows, empty[n]) for n in names], names)
+                yield _one_table(b)
             held.clear()
             number, rows, size = number + 1, 0, 0
 
@@ -133,7 +180,7 @@ def build(docs: DataFrame, range_docs: int = RANGE_DOCS, range_bytes: int = RANG
         if held:
             yield from flush()
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, BUILT)
 
 
 def by_term(blocks: DataFrame, parts: int) -> DataFrame:

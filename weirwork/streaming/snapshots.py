@@ -8,7 +8,7 @@ newest list and see a commit wholly or not at all, and of two writers from one s
 gets an error. Files of older snapshots stay until `vacuum`.
 
 Segments are merged by tiers: FAN segments of one size class become one, without their dead
-documents. Blocks are repacked from their postings; texts are not read again.
+documents. A new range is repacked by one task from its old ranges' blocks; texts are not read again.
 
 Defined cases: of rows with one id in a commit the greatest text counts. A document whose text is the
 one that is indexed is left alone. An id both added and deleted in a commit is deleted. Deleting what
@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.block_index import BLOCKS, RANGE_DOCS, RANGES, Index, build, by_term, split
+from ..operators.block_index import BLOCKS, BUILT, RANGE_DOCS, RANGES, Index, build, by_term, repack, split
 from ..sources.scratch import Tables
 
 FAN = 4
+RANGE_TOKENS = 1 << 20  # of a merged range, besides those of its last old range
 DEAD = "segment long, range long, gone array<int>, lens array<int>"
 
 
@@ -148,31 +149,18 @@ class Snapshots:
         mine = F.col("segment").isin(chosen)
         with Tables(self.spark, "merge") as tables:
             live = tables.cut(self.documents(state).filter(mine))
-            counts = live.groupBy("segment", "range").agg(F.count("*").alias("n"))
-            # old ranges in order fill new ones; a row an old range, some thousandths of the documents
+            counts = live.groupBy("segment", "range").agg(F.count("*").alias("n"), F.sum(F.col("len").cast("long")).alias("tokens"))
+            # old ranges in order fill new ones, by documents and by tokens; a row an old range, some thousandths of the documents
             before = Window.orderBy("segment", "range").rowsBetween(Window.unboundedPreceding, -1)
-            target = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("new", F.expr(f"base div {self.range_docs}"))
-            place = Window.partitionBy("segment", "range").orderBy("ord")
-            moved = live.join(target.select("segment", "range", "base", "new"), ["segment", "range"]).withColumn("at", F.col("base") + F.row_number().over(place) - 1)
-            first = target.groupBy("new").agg(F.min("base").alias("start"))
-            moved = tables.cut(moved.join(first, "new").withColumn("to", (F.col("at") - F.col("start")).cast("int")))
-            sorted_ = F.array_sort(F.collect_list(F.struct("to", F.col("doc_id").alias("id"), "len", "version")))
-            ranges = moved.groupBy(F.col("new").alias("range")).agg(sorted_.alias("x")).select(
-                "range", F.size("x").cast("long").alias("n"), F.aggregate("x.len", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.col("x.id").alias("ids"), F.col("x.len").alias("lens"), F.col("x.version").alias("versions")
-            )
-            # each old range as one row of its live places: the blocks of a range meet it by (segment, range)
-            maps = moved.groupBy("segment", "range", "new").agg(F.map_from_entries(F.collect_list(F.struct("ord", F.struct("to", "len")))).alias("to"))
-            old = self._read("blocks", BLOCKS, state).filter(mine).join(maps, ["segment", "range"])
-            ends = F.transform(F.sequence(F.lit(1), F.size("tfs")), lambda i: F.aggregate(F.slice("tfs", F.lit(1), i), F.lit(0), lambda s, x: s + x))
-            posting = F.transform(F.arrays_zip("ords", "tfs", "ends"), lambda p: F.struct(F.col("to")[p["ords"]]["to"].alias("ord"), p["tfs"].alias("tf"), F.slice("positions", p["ends"] - p["tfs"] + 1, p["tfs"]).alias("at"), F.col("to")[p["ords"]]["len"].alias("len")))
-            kept = old.withColumn("ends", ends).select("term", F.col("new").alias("range"), F.filter(posting, lambda p: p["ord"].isNotNull()).alias("p")).filter(F.size("p") > 0)
-            joined = kept.groupBy("term", "range").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
-            pairs = F.array_distinct(F.transform("p", lambda p: F.struct(p["tf"].alias("tf"), p["len"].alias("len"))))
-            best = F.filter("pairs", lambda x: ~F.exists("pairs", lambda y: ((y["tf"] >= x["tf"]) & (y["len"] <= x["len"])) & ((y["tf"] > x["tf"]) | (y["len"] < x["len"]))))
-            blocks = joined.withColumn("pairs", pairs).select("term", "range", F.size("p").cast("long").alias("n"), F.col("p.ord").alias("ords"), F.col("p.tf").alias("tfs"), F.flatten("p.at").alias("positions"), best.alias("frontier"))
+            base = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+            target = tables.cut(counts.select("segment", "range", base("n").alias("docs"), base("tokens").alias("tokens")).select("segment", "range", F.expr(f"docs div {self.range_docs} + tokens div {RANGE_TOKENS}").alias("new")))
+            # each new range is repacked by one task from the blocks of its old ones
+            old = self._read("blocks", BLOCKS, state).filter(mine).join(target, ["segment", "range"]).select("new", "segment", "range", "term", "ords", "tfs", "positions")
+            docs = live.join(target.withColumnRenamed("new", "into"), ["segment", "range"]).select("into", "segment", "range", "ord", "doc_id", "len", "version")
+            blocks, ranges = split(tables.cut(old.groupBy("new").cogroup(docs.groupBy("into")).applyInArrow(repack, BUILT)))
             others = [s["segment"] for s in state["segments"] if s["segment"] not in chosen]
             # what the merged segments say about others stays
-            made = self._write(state["next"], tables.cut(blocks), ranges, self._all_dead(state, chosen, others) if others else None)
+            made = self._write(state["next"], blocks, ranges, self._all_dead(state, chosen, others) if others else None)
         segments = [s for s in state["segments"] if s["segment"] not in chosen]
         state = {"snapshot": state["snapshot"] + 1, "segments": [made, *segments] if not others else [*segments, made], "next": state["next"] + 1, "batch": state["batch"]}
         self._publish(state)
