@@ -141,3 +141,44 @@ def test_a_store_is_listed_as_a_mounted_folder_is(spark, tmp_path):
     assert sorted(map(tuple, store[0].collect())) == sorted(map(tuple, mounted[0].collect()))
     assert sorted(map(key, store[1].collect())) == sorted(map(key, mounted[1].collect()))
     assert list_store(spark, str(tmp_path), ["none"])[1].count() == 0
+
+
+def test_hierarchies_write_pieces_of_paths_and_keep_all_ways(spark, monkeypatch):
+    from weirwork.sources import scratch
+
+    sizes, plain = [], scratch.Tables.cut
+
+    def cut(self, df):
+        out = plain(self, df)
+        sizes.append(out.agg(F.sum(F.length("path"))).first()[0] or 0 if "path" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(scratch.Tables, "cut", cut)
+    n = 400
+    found = C.hierarchy(spark.createDataFrame([(0, None), *((i, i - 1) for i in range(1, n))], "node long, parent long")).collect()
+    assert sorted(r["depth"] for r in found) == list(range(n))
+    assert all(r["path"] == "/".join(map(str, range(r["node"] + 1))) for r in found)
+    assert max(sizes) * 10 < sum(len(r["path"]) for r in found)  # whole paths were written each round
+    # a node that is reached in several ways, at one depth and at several, and an edge that is given twice
+    edges = [("a", None), ("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("d", "a"), ("e", "d"), ("f", "e"), ("f", "e")]
+
+    def ways(node):
+        return ["a"] if node == "a" else [f"{w}/{node}" for n_, p in edges if n_ == node for w in ways(p)]
+
+    got = C.hierarchy(spark.createDataFrame(edges, "node string, parent string")).collect()
+    assert sorted(r["path"] for r in got) == sorted(w for n_ in "abcdef" for w in ways(n_))
+    assert all(r["depth"] == r["path"].count("/") and (r["parent"] is None or r["path"].endswith(f"{r['parent']}/{r['node']}")) for r in got)
+
+
+def test_heads_of_many_files(spark, tmp_path):
+    from weirwork.plans.file_queries import write_files
+    from weirwork.sources.files import read_heads, remove_below
+
+    rows = spark.createDataFrame([(f"d{i % 3}/sub/f{i}.png", b"0123456789" * i) for i in range(50)] + [("top.txt", b"x")], "path string, body binary")
+    folder = str(tmp_path / "many")
+    assert write_files(rows, folder) == 51
+    got = {r["path"]: (r["size"], bytes(r["content"])) for r in read_heads(spark, folder, 8).collect()}
+    assert got == {**{f"d{i % 3}/sub/f{i}.png": (10 * i, (b"0123456789" * i)[:8]) for i in range(50)}, "top.txt": (1, b"x")}
+    remove_below(spark, folder)
+    assert not (tmp_path / "many").exists()
+    assert read_heads(spark, folder).count() == 0
