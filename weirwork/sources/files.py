@@ -7,12 +7,15 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors, frontmatter
 from ..functions.yaml12 import yaml_to_json
 from ..schemas import DIR_ENTRY, MANIFEST
+from .scratch import remove
 
 PRUNED = ("node_modules", ".git", "dist")
 SHARED = "_assets"
@@ -151,3 +154,58 @@ def list_store(spark: SparkSession, root: str, tiers: Iterable[str], prefix: str
 def read_bytes(spark: SparkSession, *globs: str) -> DataFrame:
     """path, size and content of each file."""
     return spark.read.format("binaryFile").load(list(globs)).select("path", F.col("length").alias("size"), "content")
+
+
+def _store(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + re.sub("^file:/+", "/", folder))
+
+
+def _direct(spark: SparkSession, folder: str) -> DataFrame:
+    """The direct entries of a folder (columns folder and entry), a partition each up to a thousand."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+    return spark.createDataFrame([(folder, n) for n in names], "folder string, entry string").repartition(max(1, min(len(names), 1000)), "entry")
+
+
+def read_heads(spark: SparkSession, folder: str, n: int = 16) -> DataFrame:
+    """path (below the folder), size and content (the first n bytes) of every file below a folder.
+
+    Made for very many small files: the driver lists the folder's direct entries only, and each of
+    these is walked and read by a task, a folder at a time, so that no list of all files is anywhere.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for top, entry in zip(part.column("folder").to_pylist(), part.column("entry").to_pylist(), strict=True):
+                store, root = _store(top)
+                todo = [f"{root}/{entry}"]
+                while todo:
+                    here = todo.pop()
+                    info = store.get_file_info(here)
+                    found = [info] if info.is_file else store.get_file_info(pafs.FileSelector(here)) if info.type == pafs.FileType.Directory else []
+                    todo += [f.path for f in found if f.type == pafs.FileType.Directory]
+                    held = [f for f in found if f.is_file]
+                    for at in range(0, len(held), 4096):
+                        some, heads = held[at : at + 4096], []
+                        for f in some:
+                            with store.open_input_file(f.path) as opened:
+                                heads.append(opened.read(n))
+                        yield pa.RecordBatch.from_arrays([pa.array([f.path[len(root) + 1 :] for f in some]), pa.array([f.size for f in some], pa.int64()), pa.array(heads, pa.binary())], ["path", "size", "content"])
+
+    return _direct(spark, folder).mapInArrow(run, "path string, size long, content binary")
+
+
+def remove_below(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of very many files: its direct folders by tasks, then the rest."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for top, entry in zip(part.column("folder").to_pylist(), part.column("entry").to_pylist(), strict=True):
+                store, root = _store(top)
+                if store.get_file_info(f"{root}/{entry}").type == pafs.FileType.Directory:
+                    store.delete_dir(f"{root}/{entry}")
+            yield part
+
+    _direct(spark, folder).mapInArrow(run, "folder string, entry string").count()
+    remove(spark, folder)
