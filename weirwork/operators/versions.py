@@ -67,14 +67,27 @@ def allows(range_: Column, key: Column) -> Column:
     return F.coalesce(inside & (key["released"] | F.coalesce(same, F.lit(False))), F.lit(False))
 
 
+def _once(tables: Tables, rows: DataFrame, column: str, name: str, made: Column) -> DataFrame:
+    """Rows with what is made of a column, which is worked out once for each of its values."""
+    values = tables.cut(rows.filter(F.col(column).isNotNull()).select(column).distinct().repartition(column).withColumn(name, made))
+    return tables.cut(rows.join(values, column, "left").select(*rows.columns, name))
+
+
 def greatest_allowed(specs: DataFrame, available: DataFrame) -> DataFrame:
     """name, spec and version: the greatest available version that the spec allows (null if none).
 
     specs: name, spec. available: name, version. One window over both, by package and key; of a
-    package, what meets in a task is its distinct specs and versions.
+    package, what meets in a task is its distinct specs and versions. Specs and versions are taken
+    apart once each, whatever the number of packages that have them.
     """
-    asked = specs.filter("name IS NOT NULL").select("name", "spec").distinct().withColumn("range", interval(F.col("spec")))
-    there = available.filter("name IS NOT NULL").select("name", "version").distinct().withColumn("key", version_key(F.col("version"))).filter("key IS NOT NULL")
+    with Tables(specs.sparkSession, "allowed") as tables:
+        asked = _once(tables, tables.cut(specs.filter("name IS NOT NULL").select("name", "spec").distinct()), "spec", "range", interval(F.col("spec")))
+        there = _once(tables, tables.cut(available.filter("name IS NOT NULL").select("name", "version").distinct()), "version", "key", version_key(F.col("version"))).filter("key IS NOT NULL")
+        return cut(_greatest(asked, there))
+
+
+def _greatest(asked: DataFrame, there: DataFrame) -> DataFrame:
+    """The result from distinct specs with their intervals and distinct versions with their keys."""
     none_v, none_s = F.lit(None).cast("string"), F.lit(None).cast(asked.schema["range"].dataType)
     # at equal keys an open end comes before the version, a closed one after it
     ends = asked.filter("range IS NOT NULL").select("name", F.col("range.high").alias("key"), F.when(F.col("range.closed"), 2).otherwise(0).alias("kind"), none_v.alias("version"), "spec", "range")
@@ -115,23 +128,27 @@ def safe_updates(current: DataFrame, declared: DataFrame, available: DataFrame,
         ends = ranges.groupBy("name").agg(
             F.max("range.low").alias("low"), F.min(F.struct(F.col("range.high").alias("high"), (~F.col("range.closed")).cast("int").alias("open"))).alias("end"), F.collect_set("range.pre").alias("pres"), F.count("*").alias("n")
         )
-        there = available.select("name", "version").distinct().withColumn("key", version_key(F.col("version"))).filter("key IS NOT NULL").join(ends, "name")
+        there = available.select("name", "version").distinct().withColumn("key", version_key(F.col("version"))).filter("key IS NOT NULL").join(ends.hint("merge"), "name")
         numbers = F.struct(F.col("key.major").alias("major"), F.col("key.minor").alias("minor"), F.col("key.patch").alias("patch"))
         below = (F.col("key") < F.col("end.high")) | ((F.col("end.open") == 0) & (F.col("key") == F.col("end.high")))
         ok = (F.col("key") >= F.col("low")) & below & (F.col("key.released") | ((F.col("n") == 1) & F.array_contains("pres", numbers)))
         best = there.filter(ok).groupBy("name").agg(F.max(F.struct("key", "version")).alias("x")).select("name", F.col("x.version").alias("target"), F.col("x.key").alias("target_key"))
-        state = now.join(best, "name", "left").withColumn("up", F.coalesce((F.col("target_key") > F.col("current_key")) | F.col("current_key").isNull(), F.lit(False)) & F.col("target").isNotNull())
+        state = now.join(best.hint("merge"), "name", "left").withColumn("up", F.coalesce((F.col("target_key") > F.col("current_key")) | F.col("current_key").isNull(), F.lit(False)) & F.col("target").isNotNull())
         state = tables.cut(state.withColumns({"back": F.lit(False), "target": F.when(F.col("up"), F.col("target"))}))
-        edges = tables.cut(needs.filter("name IS NOT NULL AND dep IS NOT NULL").select("name", "version", "dep", "spec").distinct())
+        # only needs of versions that may be chosen count; sides that grow with the packages are not broadcast, which a round would do anew
+        may = state.select("name", F.explode(F.array_distinct(F.array_compact(F.array("current", "target")))).alias("version"))
+        edges = needs.filter("name IS NOT NULL AND dep IS NOT NULL").select("name", "version", "dep", "spec").join(may.hint("merge"), ["name", "version"], "left_semi").distinct()
+        edges = _once(tables, tables.cut(edges), "spec", "range", interval(F.col("spec")))
         while True:
-            chosen = state.select("name", F.when(F.col("up") & ~F.col("back"), F.col("target")).otherwise(F.col("current")).alias("version"), (F.col("up") & ~F.col("back")).alias("movable"))
-            other = chosen.select(F.col("name").alias("dep"), F.col("version").alias("dep_version"), F.col("movable").alias("dep_movable"))
-            failed = edges.join(chosen, ["name", "version"]).join(other, "dep").filter(~allows(interval(F.col("spec")), version_key(F.col("dep_version"))))
+            moves = F.col("up") & ~F.col("back")
+            chosen = state.select("name", F.when(moves, F.col("target")).otherwise(F.col("current")).alias("version"), moves.alias("movable")).hint("merge")
+            other = state.select(F.col("name").alias("dep"), F.when(moves, F.col("target_key")).otherwise(F.col("current_key")).alias("dep_key"), moves.alias("dep_movable")).hint("merge")
+            failed = edges.join(chosen, ["name", "version"]).join(other, "dep").filter(~allows(F.col("range"), F.col("dep_key")))
             failed = tables.cut(failed.select(F.when(F.col("movable"), F.col("name")).when(F.col("dep_movable"), F.col("dep")).alias("back"), "name"))
             back = failed.filter("back IS NOT NULL").select(F.col("back").alias("name")).distinct()
             if back.isEmpty():
                 broken = failed.select("name").distinct().withColumn("broken", F.lit(True))
                 status = F.when(F.col("broken"), "broken").when(F.col("back"), "rolled back").when(F.col("up"), "updated").otherwise("current")
-                out = state.join(broken, "name", "left").select("name", "current", "target", F.when(F.col("up") & ~F.col("back"), F.col("target")).otherwise(F.col("current")).alias("chosen"), status.alias("status"))
+                out = state.join(broken.hint("merge"), "name", "left").select("name", "current", "target", F.when(F.col("up") & ~F.col("back"), F.col("target")).otherwise(F.col("current")).alias("chosen"), status.alias("status"))
                 return cut(out)
-            state = tables.cut(state.join(back.withColumn("now", F.lit(True)), "name", "left").withColumn("back", F.col("back") | F.coalesce("now", F.lit(False))).drop("now"))
+            state = tables.cut(state.join(back.withColumn("now", F.lit(True)).hint("merge"), "name", "left").withColumn("back", F.col("back") | F.coalesce("now", F.lit(False))).drop("now"))
