@@ -182,3 +182,13 @@ def test_heads_of_many_files(spark, tmp_path):
     remove_below(spark, folder)
     assert not (tmp_path / "many").exists()
     assert read_heads(spark, folder).count() == 0
+
+
+def test_compaction_sorts_a_bounded_number_of_rows_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "PART_ROWS", 100)
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    I.upsert(spark.range(1000).selectExpr("id AS doc_id", "'cat dog' AS text"), 0, a)
+    I.compact(spark, a, b, 2)
+    per = I._read(spark, b, "postings", I.POSTINGS).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert per <= 300  # a term's thousand rows were in one task
+    assert sorted(map(tuple, I.read_index(spark, b).collect())) == sorted((t, i, 1) for i in range(1000) for t in ("cat", "dog"))

@@ -20,6 +20,7 @@ from ..operators.search import postings
 
 POSTINGS = "term string, doc_id long, tf long, batch long"
 VERSIONS = "doc_id long, version string, batch long"
+PART_ROWS = 1 << 21  # of a compacted file, which a task sorts
 COMPACTED = -1  # the batch of compacted rows, before any of a stream
 
 
@@ -63,11 +64,18 @@ def clear(spark: SparkSession, folder: str) -> None:
 
 
 def compact(spark: SparkSession, folder: str, target: str, parts: int) -> None:
-    """Write the live postings into a few files of another folder, dealt by term, with the newest versions; also a backup."""
+    """Write the live postings into a few files of another folder, dealt by term, with the newest versions; also a backup.
+
+    parts: the files, at least; more where one would have over PART_ROWS rows, and then a term of very many documents has several.
+    """
     number = F.lit(COMPACTED).cast("long").alias("batch")
-    rows = read_index(spark, folder).select("term", "doc_id", "tf", number)
-    rows.repartition(parts, "term").sortWithinPartitions("term", "doc_id").write.mode("error").parquet(f"{target}/postings/part={COMPACTED}")
-    newest(spark, folder).select("doc_id", "version", number).repartition(parts, "doc_id").write.mode("error").parquet(f"{target}/versions/part={COMPACTED}")
+    rows, held = read_index(spark, folder).select("term", "doc_id", "tf", number), newest(spark, folder).select("doc_id", "version", number)
+    # an upper bound from the files' footers
+    most = lambda name, schema: max(parts, -(-_read(spark, folder, name, schema).count() // PART_ROWS))
+    n = most("postings", POSTINGS)
+    dealt = rows.repartition(n, "term") if n == parts else rows.repartitionByRange(n, "term", "doc_id")
+    dealt.sortWithinPartitions("term", "doc_id").write.mode("error").parquet(f"{target}/postings/part={COMPACTED}")
+    held.repartition(most("versions", VERSIONS), "doc_id").write.mode("error").parquet(f"{target}/versions/part={COMPACTED}")
 
 
 def index_stats(spark: SparkSession, folder: str) -> DataFrame:
