@@ -45,3 +45,18 @@ def test_next_to_nothing(spark, tmp_path, rows):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     V.build(vectors, str(tmp_path / "ivf"))
     assert V.search(spark, str(tmp_path / "ivf"), vectors, 3, 2).count() == 0
+
+
+def test_a_search_sends_queries_as_often_whatever_their_probes(spark, tmp_path):
+    import random
+
+    rnd = random.Random(3)
+    rows = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(16)]) for i in range(600)], "vec_id long, embedding array<double>")
+    folder = str(tmp_path / "v")
+    V.build(rows, folder, lists=20)
+    for probes in (1, 20):
+        found = V.search(spark, folder, rows, 3, probes)
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # queries were copied for each of 16 lanes
+        assert found.filter("rank = 1").count() == 600
+    exact = {(r["query_id"], r["vec_id"]) for r in S.nearest(rows, rows, 3).collect()}
+    assert {(r["query_id"], r["vec_id"]) for r in found.collect()} == exact

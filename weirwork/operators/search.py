@@ -102,9 +102,10 @@ def _packed(rows: DataFrame, lanes: int, name: str, dtype: str) -> DataFrame:
     return rows.repartition(lanes).mapInArrow(run, schema).repartitionById(lanes, F.col(f"{name}_lane"))
 
 
-def best_of_blocks(k: int, dtype: str):
+def best_of_blocks(k: int, dtype: str, asked=None):
     """A function of mapInArrow: of pairs of blocks (columns q_ and v_: block, width, ids, data; the pairs of one query block
-    side by side) the k nearest vectors of each query."""
+    side by side) the k nearest vectors of each query. asked: of unit vectors of queries, by list (column of that name),
+    which are to be compared with its vectors; all where not given."""
     unit, none, gone, steps = 10**DIGITS, -2 * 10**DIGITS, -3 * 10**DIGITS, SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +137,13 @@ def best_of_blocks(k: int, dtype: str):
                         yield best(ids_q, found)
                     block, found = row["q_block"], []
                     ids_q, x_q, ok_q = side(row, "q")
+                    wanted = asked(x_q) if asked else None
                 ids_v, x_v, ok_v = side(row, "v")
                 n = len(ids_v)
                 take = min(k, n)
-                for at in range(0, len(ids_q), steps):
-                    s = slice(at, at + steps)
+                mine = np.flatnonzero(wanted[:, row["list"]]) if asked else np.arange(len(ids_q))
+                for at in range(0, len(mine), steps):
+                    s = mine[at : at + steps]
                     if row["q_width"] == row["v_width"]:
                         dots = x_q[s] @ x_v.T
                         points = np.copysign(np.floor(np.abs(dots) * unit + 0.5), dots).astype(np.int64)
@@ -150,7 +153,7 @@ def best_of_blocks(k: int, dtype: str):
                     points[ids_q[s, None] == ids_v] = gone
                     key = points * n + np.arange(n - 1, -1, -1)  # no two alike: ties go to the smaller id
                     top_ = np.argpartition(key, n - take, axis=1)[:, n - take :]
-                    found.append((np.repeat(np.arange(at, at + len(points)), take), ids_v[top_].ravel(), np.take_along_axis(points, top_, axis=1).ravel()))
+                    found.append((np.repeat(s, take), ids_v[top_].ravel(), np.take_along_axis(points, top_, axis=1).ravel()))
         if found:
             yield best(ids_q, found)
 

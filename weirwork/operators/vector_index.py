@@ -4,7 +4,8 @@ Centres are fitted by cosine on at most SAMPLE_PER_LIST vectors a list, those wi
 of their id (the bound is a parameter); every vector is then put into the list of its nearest
 centre and written in blocks, sorted by list, so that a list of any size is many rows. A search
 finds the `probes` nearest centres of each query and compares it, exactly, with the vectors of
-those lists. How many probes it takes is measured when the index is built: CALIBRATION vectors are
+those lists: blocks of queries meet blocks of lists, and which of them probe a list is worked out there.
+How many probes it takes is measured when the index is built: CALIBRATION vectors are
 searched for exactly, and the least number that reaches TARGET of their neighbours is kept with the
 index. Vectors that form no clusters need many. `search.nearest` is the exact way; `recall` says how
 much of its result was found.
@@ -27,11 +28,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .search import BLOCK, SLICE, best_of_blocks, nearest
+from .search import BLOCK, SLICE, _packed, best_of_blocks, nearest
 
 SAMPLE_PER_LIST = 256
 MOST_LISTS = 1 << 14
-LANES = 16  # parts into which a list's blocks are dealt for a search
+LANE_LISTS = 32  # blocks of lists that a task compares with one block of queries
 NO_LIST = -1
 CALIBRATION = 200  # vectors that are searched for exactly when an index is built
 TARGET = 0.93  # of their NEIGHBOURS nearest that a search must find
@@ -148,13 +149,22 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, probes:
     if not centres:
         return none
     c = spark.sparkContext.broadcast(np.array([r["centre"] for r in centres]))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     asked = _rows(queries, id_col, vector_col)
     asked = asked.filter(_usable(F.col("vector"), c.value.shape[1]))
-    q = _blocks(_nearest_lists(asked, c, probes), parts, SLICE, "q").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
-    v = spark.read.parquet(f"{folder}/lists").filter(F.col("list") != NO_LIST).withColumn("lane", F.pmod(F.xxhash64("v_block"), F.lit(LANES)).cast("int"))
-    pairs = q.join(v, ["list", "lane"]).sortWithinPartitions("q_block", "v_block").drop("list", "lane")
-    scored = pairs.mapInArrow(best_of_blocks(k, "float64"), "query_id long, vec_id long, score double")
+    v = spark.read.parquet(f"{folder}/lists").filter(F.col("list") != NO_LIST)
+    least, many = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), min(probes, len(centres))
+
+    def probed(x: np.ndarray) -> np.ndarray:
+        best = np.argpartition(-(x @ c.value.T), many - 1, axis=1)[:, :many]
+        out = np.zeros((len(x), c.value.shape[0]), bool)
+        np.put_along_axis(out, best, True, axis=1)
+        return out
+
+    # a query is sent as often as there are lanes of lists, whatever its probes
+    lanes_q, lanes_v = max(1, -(-asked.count() // BLOCK)), max(least, -(-v.count() // LANE_LISTS))
+    lanes = v.withColumn("lane", F.pmod(F.xxhash64("v_block"), F.lit(lanes_v)).cast("int")).repartitionById(lanes_v, F.col("lane")).drop("lane")
+    pairs = _packed(asked, lanes_q, "q", "float64").hint("shuffle_replicate_nl").crossJoin(lanes)
+    scored = pairs.mapInArrow(best_of_blocks(k, "float64", probed), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
