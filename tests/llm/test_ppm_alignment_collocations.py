@@ -205,6 +205,38 @@ def test_collocations_equal_plain_counts(spark, monkeypatch, common_words, bits,
     assert collocations.collocations(docs.limit(0)).count() == 0
 
 
+def test_frequent_phrases_take_one_worker_a_task(spark):
+    """Runs are counted and named by one function: two in a row hold two workers for every core, and their memory."""
+
+    class Kept:
+        def cut(self, df):
+            return df
+
+    words = spark.sparkContext.broadcast(collocations.Words([b"en\ta", b"en\tb"], [30, 20], np.zeros(2, np.uint64)))
+    key = (1 << collocations.ID_BITS) | 2
+    rows = [(key, None, 6), (key, None, 5), (key + 1, None, 9), (None, b"en\ta rare", 12)]
+    partial = spark.createDataFrame(rows, "packed long, spelled binary, n long")
+    found = collocations.frequent(partial, words, 2, Kept())
+    assert sorted((r["lang"], r["phrase"], r["a"], r["f1"], r["f2"]) for r in found.collect()) == [("en", "a b", 11, 30, 20), ("en", "a rare", 12, 30, None)]
+    depth = [len(x) - len(x.lstrip(" :+-|")) for x in found._jdf.queryExecution().sparkPlan().toString().split("\n") if "MapInArrow" in x]
+    assert len(depth) == 2 and depth[0] == depth[1]  # side by side below the union, none above the other
+
+
+def test_worker_gives_memory_back_after_a_task(monkeypatch):
+    freed = []
+    monkeypatch.setattr(common, "free_worker", lambda: freed.append(len(given)))
+    given = []
+
+    @common.lean
+    def task(batches):
+        for b in batches:
+            yield b
+
+    for b in task(iter([1, 2])):
+        given.append(b)
+    assert given == [1, 2] and freed == [0, 2]
+
+
 def test_scores_beyond_64_bits(spark):
     a, left, right = 3 * 10**13 + 7, 4 * 10**14 + 1, 5 * 10**13 + 9
     two = spark.createDataFrame([("en", "a b", ["a", "b"], a, left, right)], "lang string, phrase string, w array<string>, a long, f1 long, f2 long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import Tables, Tally, cut, free_worker, hot, slices, strings, utf8
+from .common import Tables, Tally, cut, hot, lean, slices, strings, utf8
 
 LEAST = 10  # occurrences of a candidate
 TOP = 2000  # phrases of each language
@@ -35,8 +35,8 @@ ID_BITS = 21
 COMMON = (1 << 20) - 1
 BITMAP_BITS = 27
 SCALE = 1_000_000
-SLICE = 2 << 20  # bytes of text that are taken apart at once
-SORTED_KEYS = 2 << 20  # packed keys that a task sorts at once
+SLICE = 1 << 20  # bytes of text that are taken apart at once
+SORTED_KEYS = 1 << 20  # packed keys that a task sorts at once
 OUTSIDE = np.zeros(256, bool)
 OUTSIDE[list(b" \t.,;:!?\n\x0b\x0c\r")] = True
 BREAK = OUTSIDE.copy()
@@ -76,9 +76,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for t in tables:
             yield from pa.table([t["key"].cast(pa.binary()), t["n"]], ["key", "n"]).to_batches(1 << 17)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_worker()
-        tally = Tally(1 << 19)
+        tally = Tally(1 << 18)
         for part in slices(batches, "text", SLICE):
             codes, _, keys, _ = sentence_words(part)
             yield from batches_of(tally.add(keys, np.bincount(codes, minlength=len(keys))))
@@ -108,6 +108,7 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 def hash_rows(keys: DataFrame) -> DataFrame:
     """h: the hash of the word in the only column, or of the pair of words in the two columns."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [K.hashes_of(c.cast(pa.large_binary())) for c in b.columns]
@@ -143,8 +144,8 @@ class Words:
 def id_runs(docs: DataFrame, words) -> DataFrame:
     """Texts as 32-bit ids: common words above 0, 0 where a run breaks, below 0 (from -1) the place of a tail word among `tail` of the row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_worker()
         known = words.value
         for part in slices(batches, "text", SLICE):
             codes, joined, keys, _ = sentence_words(part)
@@ -165,15 +166,16 @@ def phrases(runs: DataFrame, words, size: int, pairs=None) -> DataFrame:
     words, pairs: broadcast Words, and for three words the bitmap of frequent pairs.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_worker()
         known = words.value
         held: list[np.ndarray] = []
         spelled = Tally(1 << 17)
 
         def packed_rows() -> Iterator[pa.RecordBatch]:
-            keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.int64)
+            keys = np.concatenate(held) if held else np.zeros(0, np.int64)
             held.clear()
+            keys.sort()
             edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else keys
             n = np.diff(np.append(edge, len(keys)))
             yield from pa.table([pa.array(keys[edge]), pa.nulls(len(edge), pa.binary()), pa.array(n)], ["packed", "spelled", "n"]).to_batches(1 << 17)
@@ -229,29 +231,25 @@ def _spell(common: pa.Array, tail: pa.Array, ids: np.ndarray, at: np.ndarray, si
     return pc.binary_join_element_wise(*names, pa.scalar(b" ", pa.large_binary())), n.astype(np.int64)
 
 
-def _runs(sorted_rows: DataFrame, least: int) -> DataFrame:
-    """key and n of the runs of equal keys that sum to `least` or more, over partitions sorted by key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys, n = b.column("key").to_numpy(), b.column("n").to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            sums, heads = np.add.reduceat(n, first), keys[first]
-            if last is not None:
-                if heads[0] == last:
-                    sums[0] += held
-                else:
-                    heads, sums = np.concatenate([[last], heads]), np.concatenate([[held], sums])
-            last, held = heads[-1], sums[-1]
-            heads, sums = heads[:-1], sums[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(heads[sums >= least]), pa.array(sums[sums >= least])], ["key", "n"])
-        if last is not None and held >= least:
-            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([held], pa.int64())], ["key", "n"])
-
-    return sorted_rows.mapInArrow(run, "key long, n long")
+def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and sums n of the runs of equal keys that sum to `least` or more, over batches sorted by key."""
+    last, held = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys, n = b.column("key").to_numpy(), b.column("n").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sums, heads = np.add.reduceat(n, first), keys[first]
+        if last is not None:
+            if heads[0] == last:
+                sums[0] += held
+            else:
+                heads, sums = np.concatenate([[last], heads]), np.concatenate([[held], sums])
+        last, held = heads[-1], sums[-1]
+        heads, sums = heads[:-1], sums[:-1]
+        yield heads[sums >= least], sums[sums >= least]
+    if last is not None and held >= least:
+        yield np.array([last]), np.array([held])
 
 
 def frequent(partial: DataFrame, words, size: int, tables: Tables, least: int = LEAST) -> DataFrame:
@@ -261,20 +259,22 @@ def frequent(partial: DataFrame, words, size: int, tables: Tables, least: int =
     packed = partial.filter("packed IS NOT NULL").select(F.col("packed").alias("key"), "n").repartitionByRange(count, "key").sortWithinPartitions("key")
     counts = ", ".join(f"f{k + 1} long" for k in range(size))
 
+    @lean
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value
-        for b in batches:
-            keys = b.column("key").to_numpy()
+        for keys, n in _runs(batches, least):
             ids = [((keys >> ((size - 1 - k) * ID_BITS)) & ((1 << ID_BITS) - 1)) - 1 for k in range(size)]
             names = [known.keys.take(pa.array(i)) for i in ids]
             names[1:] = [pc.replace_substring_regex(x, r"(?s)\A.*\t", "") for x in names[1:]]
             key = pc.binary_join_element_wise(*names, pa.scalar(b" ", pa.large_binary())).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([key, b.column("n"), *(pa.array(known.counts[i]) for i in ids)], out)
+            yield pa.RecordBatch.from_arrays([key, pa.array(n), *(pa.array(known.counts[i]) for i in ids)], out)
 
     out = ["key", "a", *(f"f{k + 1}" for k in range(size))]
-    by_key = _runs(packed, least).mapInArrow(name, f"key binary, a long, {counts}")
+    # runs are counted and named by one function: of two in a row each would hold a worker for every task
+    by_key = packed.mapInArrow(name, f"key binary, a long, {counts}")
     spelled = partial.filter("spelled IS NOT NULL").groupBy(F.col("spelled").alias("key")).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
 
+    @lean
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value
         for b in batches:
