@@ -150,3 +150,12 @@ def test_unusable_vectors(spark):
     linked = [(7, 4, 7, True), (7, 4, 7, True), (8, 4, 7, False), (None, 4, 7, False), (11, 4, 7, False)]
     assert got == sorted([(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 9)] + linked, key=str)
     assert ego_join.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_classes_travel_as_gaps():
+    """Of a class only 64 bits go with its n-grams, as steps between ascending numbers, which pack into less than ten bytes a class did."""
+    sets = np.sort(np.random.default_rng(5).integers(0, 1 << 64, 3000, np.uint64))
+    packed = ngram_join._pack(ngram_join._gaps(sets))
+    assert (np.cumsum(ngram_join._unpack(packed)[0], dtype=np.uint64) == sets).all()
+    assert len(packed) < 7.5 * len(sets)
+    assert not len(ngram_join._gaps(sets[:0]))

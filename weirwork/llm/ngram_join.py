@@ -22,7 +22,7 @@ unshared n-grams fill its prefix links with none and goes no further.
    than a share of all rows (few, by their share) are broadcast, so none is a hot key.
 
 What is exact: words and sets of n-grams are known by hashes, words and n-grams by 64 bits (one
-in 2^51 names of those that travel as HOT), sets by 128 bits (by 80 of them where they go with
+in 2^51 names of those that travel as HOT), sets by 128 bits (by 64 of them where they go with
 n-grams, which is checked). Two different n-grams of one pair of documents that agree in all bits
 would change a count; nothing else rests on a hash.
 
@@ -117,6 +117,11 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, n
     return gram, sizes, sets
 
 
+def _gaps(ascending: np.ndarray) -> np.ndarray:
+    """Ascending numbers as the first and the steps between them: of classes dealt over all ranges most have a top byte less."""
+    return np.diff(ascending, prepend=U(0))
+
+
 def _spread(keys: np.ndarray, parts: int) -> np.ndarray:
     return (K.mix(keys) % U(parts)).astype(np.int64)
 
@@ -171,7 +176,7 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
         for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             o, k = owner[cuts[b] : cuts[b + 1]], key[cuts[b] : cuts[b + 1]]
             head = _runs(o)
-            out.append((b, kind, _pack(sets[o[head[:-1]], 0], sets[o[head[:-1]], 1].astype(np.uint16), np.diff(head).astype(np.uint32), k)))
+            out.append((b, kind, _pack(_gaps(sets[o[head[:-1]], 0]), np.diff(head).astype(np.uint32), k)))
         return out
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
@@ -205,7 +210,7 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             if e > s:
                 used, place = np.unique(owner[s:e], return_inverse=True)
                 place = place.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
-                out.append((b, RUNS, _pack(np.diff(gram[s:e], prepend=gram[s : s + 1]), gram[s : s + 1], place, sets_of[used, 0], sets_of[used, 1].astype(np.uint16))))
+                out.append((b, RUNS, _pack(np.diff(gram[s:e], prepend=gram[s : s + 1]), gram[s : s + 1], place, _gaps(sets_of[used, 0]))))
         target = _spread(sets_of[:, 0], parts)
         for b in np.unique(target[size_of > 0]).tolist():
             these = np.flatnonzero((target == b) & (size_of > 0))
@@ -234,14 +239,14 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
-        grams, places, sets, told, base, here = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros((0, 2), U)], [np.zeros(0, U)], 0, 0
+        grams, places, sets, told, base, here = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, U)], 0, 0
         for part, kind, blob in blobs_of(batches):
             if kind == RUNS:
-                step, first, place, one, two = _unpack(blob)
+                step, first, place, one = _unpack(blob)
                 step[0] = first[0]
                 grams.append(np.cumsum(step, dtype=U))
                 places.append(place.astype(np.int64) + base)
-                sets.append(np.stack([one, two.astype(U)], axis=1))
+                sets.append(np.cumsum(one, dtype=U))
                 base += len(one)
                 here = part
             elif kind == TOLD:
@@ -259,8 +264,8 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
         heavy = told[np.minimum(np.searchsorted(told, gram), len(told) - 1)] == gram if len(told) else np.zeros(len(gram), bool)
         many = np.concatenate([[False], again]) | np.concatenate([again, [False]]) | heavy
         gram, place, heavy = gram[many], place[many], heavy[many]
-        first, which = _distinct(sets)
-        sets, cls = sets[first], which[place]
+        sets, which = np.unique(sets, return_inverse=True)
+        sets, cls = sets[:, None], which[place]
         order = np.lexsort((cls, gram))
         gram, cls, heavy = gram[order], cls[order], heavy[order]
         fresh = np.ones(len(gram), bool)
@@ -284,7 +289,7 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
-        known, heads, runs, keys, here = [], [np.zeros((0, 2), U)], [np.zeros(0, np.uint32)], [np.zeros(0, U)], 0
+        known, heads, runs, keys, here = [], [np.zeros(0, U)], [np.zeros(0, np.uint32)], [np.zeros(0, U)], 0
         for part, kind, blob in blobs_of(batches):
             here = part
             got = _unpack(blob)
@@ -296,9 +301,9 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             elif kind == CLASSES:
                 known.append(np.stack(got, axis=1))
             else:
-                heads.append(np.stack([got[0], got[1].astype(U)], axis=1))
-                runs.append(got[2])
-                keys.append(got[3])
+                heads.append(np.cumsum(got[0], dtype=U))
+                runs.append(got[1])
+                keys.append(got[2])
         if not known:
             return
         known = np.concatenate(known)
@@ -310,10 +315,10 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
         cls = (here << 40) + np.arange(len(first), dtype=np.int64)
         # the keys of each class, in global order
         heads = np.concatenate(heads)
-        short = sets & np.array([~U(0), U(0xFFFF)])
-        if len(_distinct(short)[0]) < len(sets):
-            raise ValueError("two sets of n-grams agree in 80 bits, not in 128: choose other SALTS")
-        _, which = _distinct(np.concatenate([short, heads]))
+        short = sets[:, 0]
+        if len(np.unique(short)) < len(sets):
+            raise ValueError("two sets of n-grams agree in 64 bits, not in 128: choose other SALTS")
+        _, which = np.unique(np.concatenate([short, heads]), return_inverse=True)
         owner, key = np.repeat(which[len(sets) :], np.concatenate(runs)), np.concatenate(keys)
         order = np.lexsort((key, owner))
         owner, key = owner[order], key[order]
