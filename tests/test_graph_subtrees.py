@@ -44,6 +44,17 @@ def test_associations_and_ranks_equal_plain_ones(spark):
     assert G.expand(graph, ["x"], 3) == ["x", "y"]
 
 
+def test_a_round_shuffles_no_arcs(spark):
+    arcs = spark.range(500).selectExpr("cast(id % 50 AS string) AS source", "cast(id AS string) AS target", "0.1D AS share").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source").persist()
+    arcs.count()
+    start = spark.createDataFrame([("1", 1.0)], "term string, start double")
+    ranks = spark.range(50).selectExpr("cast(id AS string) AS term", "0.02D AS rank")
+    plan = G._round(ranks.hint("merge"), arcs, start, 0.85)._jdf.queryExecution().executedPlan().toString()
+    arcs.unpersist()
+    below = [x for x in plan.split("InMemoryTableScan")[0].split("\n") if "hashpartitioning(source" in x]
+    assert "InMemoryTableScan" in plan and not below
+
+
 def test_trees_with_moves(spark):
     left = {"a/b/1": "p", "a/b/2": "q", "a/c/3": "r", "old/x/4": "s", "old/x/y/5": "t", "f": "u", "g": "v", "dup1": "w", "dup2": "w", "k/6": "m", "k/7": None}
     right = {"a/b/1": "p", "a/b/2": "q", "a/c/3": "changed", "new/z/4": "s", "new/z/y/5": "t", "h": "u", "g": "v", "dup3": "w", "i": "n", "k/6": "m", "k/7": None}
