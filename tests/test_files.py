@@ -170,6 +170,34 @@ def test_hierarchies_write_pieces_of_paths_and_keep_all_ways(spark, monkeypatch)
     assert all(r["depth"] == r["path"].count("/") and (r["parent"] is None or r["path"].endswith(f"{r['parent']}/{r['node']}")) for r in got)
 
 
+
+def test_leaves_of_hierarchies_have_no_pieces_and_rounds_go(spark, monkeypatch):
+    from weirwork.sources import scratch
+
+    with_path, held, plain_cut, plain_table = [], [], C.cut, scratch.Tables.cut
+
+    def cut(df):
+        out = plain_cut(df)
+        with_path.append(out.count() if "path" in out.columns else 0)
+        return out
+
+    def table(self, df):
+        out = plain_table(self, df)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        held.append(len(folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)))
+        return out
+
+    monkeypatch.setattr(C, "cut", cut)
+    monkeypatch.setattr(scratch.Tables, "cut", table)
+    levels = 40
+    edges = [(0, None), *((10 * i + k, 10 * (i - 1)) for i in range(1, levels) for k in range(8))]  # 7 leaves on a level
+    found = C.hierarchy(spark.createDataFrame(edges, "node long, parent long")).collect()
+    way = lambda n: "/".join(map(str, [*range(0, n // 10 * 10, 10), n]))
+    assert sorted((r["node"], r["path"]) for r in found) == sorted((n, way(n)) for n, _ in edges)
+    assert max(with_path) <= levels  # every leaf had a row with a piece of its own
+    assert max(held) <= 2  # the tables of all rounds were held
+
+
 def test_heads_of_many_files(spark, tmp_path):
     from weirwork.plans.file_queries import write_files
     from weirwork.sources.files import read_heads, remove_below
