@@ -1,6 +1,7 @@
 """Reading catalogues from files, end to end, and an index that goes on after trouble."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +221,20 @@ def test_compaction_sorts_a_bounded_number_of_rows_a_task(spark, tmp_path, monke
     per = I._read(spark, b, "postings", I.POSTINGS).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
     assert per <= 300  # a term's thousand rows were in one task
     assert sorted(map(tuple, I.read_index(spark, b).collect())) == sorted((t, i, 1) for i in range(1000) for t in ("cat", "dog"))
+
+
+def test_an_index_keeps_documents_packed_until_the_live_ones_are_known(spark, tmp_path):
+    from collections import Counter
+
+    folder = str(tmp_path / "i")
+    texts = {1: "b a B; a-a 9 \u00e9", 2: None, 3: "", 4: "12 --", 5: "x", 6: " ".join(["aa", "a", "ab"] * 500 + ["zz"])}
+    I.upsert(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 0, folder)
+    want = sorted((t, i, n) for i, text in texts.items() for t, n in Counter(re.findall("[a-z]+", (text or "").lower())).items())
+    index = I.read_index(spark, folder)
+    assert sorted(map(tuple, index.collect())) == want
+    assert spark.read.parquet(f"{folder}/words").count() == len(texts)  # a row for every term was shuffled and kept
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.index("Generate") < plan.index("Join")  # terms were joined with the live documents one by one
+    I.compact(spark, folder, str(tmp_path / "b"), 2)
+    assert sorted(map(tuple, I.read_index(spark, str(tmp_path / "b")).collect())) == want
+    assert I.index_stats(spark, str(tmp_path / "b")).first()["documents"] == len(texts)

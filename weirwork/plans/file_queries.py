@@ -336,6 +336,7 @@ def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     incremental.upsert(twice, 0, f"{folder}/a", order_col="n")
     incremental.upsert(docs.filter("doc_id % 2 = 0"), 1, f"{folder}/a")
     incremental.compact(spark, f"{folder}/a", f"{folder}/b", 4)
+    incremental.clear(spark, f"{folder}/a")
     incremental.upsert(docs, 0, f"{folder}/b")
     found = cut(incremental.read_index(spark, f"{folder}/b"))
     remove(spark, folder)
